@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,3 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session, once for each Spark context.
+
+    Workers then find it whatever folder and path they were started with.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_siftstone_shipped", None) is None:
+        package = os.path.dirname(os.path.abspath(__file__))
+        with tempfile.TemporaryDirectory() as stage:
+            shutil.copytree(package, os.path.join(stage, "in", "siftstone"), ignore=shutil.ignore_patterns("__pycache__"))
+            sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "siftstone"), "zip", os.path.join(stage, "in")))
+        sc._siftstone_shipped = True
+    return spark
