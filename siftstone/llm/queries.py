@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import mixing, packing, substring_dedup, url_filters
-from siftstone.session import shared_dir
+from siftstone.llm import jaccard, mixing, packing, substring_dedup, url_filters
+from siftstone.session import shared_dir, ship
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,7 +23,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    shared_dir(spark)
+    shared_dir(ship(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +31,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -47,6 +51,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_packing": op9_packing,
