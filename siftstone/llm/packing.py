@@ -29,7 +29,7 @@ OPEN_WINDOWS = 16
 #: The id that ends each document.
 END = 0
 #: Pieces of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -92,6 +92,16 @@ class CachedTokenizer:
             return self.encode(text)
 
 
+_tokenizers: dict[str, CachedTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> CachedTokenizer:
+    """The worker's tokenizer, which lives as long as the worker and keeps its memory from task to task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = CachedTokenizer(path)
+    return _tokenizers[path]
+
+
 class Piece(NamedTuple):
     """Ids ``start`` to ``start + len(ids) / 4`` of a document of ``total`` ids."""
 
@@ -168,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = CachedTokenizer(tokenizer), END.to_bytes(4, "little")
+        tokens, end = tokenizer_of(tokenizer), END.to_bytes(4, "little")
         rows: list[tuple] = []
         sequence = TaskContext.get().partitionId() << 33
 
