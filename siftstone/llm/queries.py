@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import jaccard, mixing, packing, substring_dedup, url_filters
-from siftstone.session import shared_dir, ship
+from siftstone.llm import jaccard, mixing, packing, substring_dedup, url_filters, warc
+from siftstone.session import scratch_path, shared_dir, ship
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    records = warc.read_archives(spark, archives, payloads=False)
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,6 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
@@ -66,4 +74,11 @@ fits AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, len
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op3_url_filters": _OP3}
+_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> m THEN m END AS refers_to FROM r
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op3_url_filters": _OP3}
