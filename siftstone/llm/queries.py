@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import jaccard, mixing, packing, substring_dedup, url_filters, warc
+from siftstone.llm import jaccard, mixing, packing, substring_dedup, toxicity, url_filters, warc
 from siftstone.session import scratch_path, shared_dir, ship
 
 
@@ -52,6 +52,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.is_held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
 }
 
