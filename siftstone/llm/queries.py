@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import html_text, jaccard, mixing, packing, substring_dedup, toxicity, url_filters, warc
+from siftstone.llm import fingerprints, html_text, jaccard, mixing, packing, substring_dedup, toxicity, url_filters, warc
 from siftstone.session import scratch_path, shared_dir, ship
 
 
@@ -34,6 +34,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_fingerprints": op2_fingerprints,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
