@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import fingerprints, html_text, jaccard, mixing, packing, substring_dedup, toxicity, url_filters, warc
+from siftstone.llm import embedding_dedup, fingerprints, html_text, jaccard, mixing, packing, substring_dedup, toxicity, url_filters, warc
 from siftstone.session import scratch_path, shared_dir, ship
 
 
@@ -71,6 +71,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_fingerprints": op2_fingerprints,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 _OP3 = """
