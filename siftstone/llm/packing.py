@@ -13,12 +13,13 @@ as many pieces as it takes; repeated rows and null ids are documents of their ow
 
 from __future__ import annotations
 
-import sys
+import json
+import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,43 +29,45 @@ WINDOW = 1024
 OPEN_WINDOWS = 16
 #: The id that ends each document.
 END = 0
-#: Pieces of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Fixed value: the split pattern of byte-level pre-tokenizers.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters outside common Latin text, on which libraries may differ in what is a letter or white space.
+_RARE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u017f\\u2013\\u2014\\u2018-\\u201f\\u2022\\u2026\\u20ac]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-class _Odd(Exception):
-    """A piece with white space at an edge, which its neighbours may share."""
+def _core(path: str):
+    """A ``tiktoken`` encoding of the byte-level BPE in the file, or None where ranks and ids don't agree."""
+    import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if spec.get("normalizer") or not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if [vocab.get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+        return None
+    letter = {c: b for b, c in enumerate(_byte_letters())}
+    ranks = {bytes(letter[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
-class _Memory(dict):
-    """Ids of pieces that follow a single space, in two generations."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode, self.old = encode, {}
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.pop(piece, None)
-        if ids is None:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise _Odd
-            ids = self.encode(f" {piece}")
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
 
+class TextTokenizer:
+    """Ids of texts, as the ``tokenizers`` file gives them.
 
-class CachedTokenizer:
-    """Ids of a text as little-endian 32-bit bytes.
-
-    The byte-level pre-tokenizer never joins characters across a single space between two characters that are no white
-    space, and that space goes to what follows. So a text in which all spaces are of that kind is cut at them, and the
-    ids of its pieces, which recur, are remembered. Any other text, and one that holds the string of an added token,
-    goes to the tokenizer whole.
+    Texts of common characters are encoded by the faster byte-pair core of ``tiktoken``, built from the same file where
+    its merges rank as its ids do; both libraries then give the same ids. Texts with any other character, or with the
+    string of an added token, go to ``tokenizers`` itself, as all do where that core can't be built.
     """
 
     def __init__(self, path: str):
@@ -72,33 +75,21 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = _Memory(self.encode)
-
-    def encode(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        self.core = _core(path)
 
-    def __call__(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        if not rest or not first or first[0].isspace() or first[-1].isspace():
-            return self.encode(text)
-        try:
-            return self.encode(first) + b"".join(map(self.memory.__getitem__, rest))
-        except _Odd:
-            return self.encode(text)
+    def __call__(self, text: str) -> np.ndarray:
+        if self.core is None or _RARE.search(text) or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.core.encode_ordinary(text), np.uint32)
 
 
-_tokenizers: dict[str, CachedTokenizer] = {}
+_tokenizers: dict[str, TextTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> CachedTokenizer:
-    """The worker's tokenizer, which lives as long as the worker and keeps its memory from task to task."""
+def tokenizer_of(path: str) -> TextTokenizer:
+    """The worker's tokenizer, which lives as long as the worker."""
     if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
+        _tokenizers[path] = TextTokenizer(path)
     return _tokenizers[path]
 
 
@@ -178,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = tokenizer_of(tokenizer), END.to_bytes(4, "little")
+        tokens = tokenizer_of(tokenizer)
         rows: list[tuple] = []
         sequence = TaskContext.get().partitionId() << 33
 
@@ -198,7 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
         packer = Packer(emit, window, open_windows)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens(text or "") + end
+                ids = np.append(tokens(text or ""), END).astype("<u4").tobytes()
                 packer.add(Piece(doc_id, 0, memoryview(ids), len(ids) // 4))
                 if len(rows) >= 50_000:
                     yield taken()
