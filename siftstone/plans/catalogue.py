@@ -1,10 +1,443 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries over the index engine, and their oracle SQL.
+
+A pruned query runs manifest, candidates, semi-join and the whole predicate; its oracle is the plain filter, so a match
+is a check that pruning loses nothing. Row groups are runs of 100 ids, because ids number the rows of their table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftstone.functions import codecs, kinds
+from siftstone.functions.membership import MembershipFilter
+from siftstone.operators import graph, inverted, layers, partitioned, prune, ranking, stats
+from siftstone.operators.stats import RangePredicate
+from siftstone.schemas import ENTITY_KINDS, LAYER, REL_KINDS
+from siftstone.session import scratch_path, shared_dir, ship
+from siftstone.sources import footers, segments
+
+ROWS = 100
+EVENT = ["event_id", "ts", "user_id", "event_type", "value"]
+_EVENT = ", ".join(EVENT)
+HOUR = ("2024-01-10 06:00:00", "2024-01-10 07:00:00")
+DAY = ("2024-01-10 00:00:00", "2024-01-11 00:00:00")
+WEEK = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared_dir(ship(spark))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ntz(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def located(spark: SparkSession, sf_dir: str, name: str = "events", key: str = "event_id") -> DataFrame:
+    """A table with the virtual row group and offset of each row."""
+    return table(spark, sf_dir, name).withColumns({"row_group": F.expr(f"{key} div {ROWS}"), "row_offset": F.expr(f"{key} % {ROWS}")})
+
+
+def events_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.build_manifest(located(spark, sf_dir), ["ts", "value", "user_id"], ["row_group"])
+
+
+def _range(spark: SparkSession, sf_dir: str, bounds: tuple[str, str]) -> DataFrame:
+    wanted = [RangePredicate("ts", *map(ntz, bounds))]
+    return prune.pruned_rows(located(spark, sf_dir), events_manifest(spark, sf_dir), wanted, ["row_group"]).select(*EVENT)
+
+
+def _range_sql(bounds: tuple[str, str]) -> str:
+    return f"SELECT {_EVENT} FROM events WHERE ts BETWEEN TIMESTAMP '{bounds[0]}' AND TIMESTAMP '{bounds[1]}'"
+
+
+@registered(_range_sql(HOUR))
+def range_1h(spark, sf_dir):
+    return _range(spark, sf_dir, HOUR)
+
+
+@registered(_range_sql(DAY))
+def range_24h(spark, sf_dir):
+    return _range(spark, sf_dir, DAY)
+
+
+@registered(_range_sql(WEEK))
+def range_7d(spark, sf_dir):
+    return _range(spark, sf_dir, WEEK)
+
+
+def _events_by(spark, sf_dir, key: str) -> DataFrame:
+    e = located(spark, sf_dir)
+    return inverted.build_secondary(e, key, F.lit("events"), F.col("row_group"), F.col("row_offset"))
+
+
+@registered(f"SELECT {_EVENT} FROM events WHERE ts BETWEEN TIMESTAMP '{WEEK[0]}' AND TIMESTAMP '{WEEK[1]}' AND user_id = 7 AND event_type <> 'error'")
+def combined_time_user(spark, sf_dir):
+    """A selective key and a range: the key's locations within the range's row groups, then the rows."""
+    wanted = [RangePredicate("ts", *map(ntz, WEEK))]
+    groups = stats.query_overlap(events_manifest(spark, sf_dir), wanted)
+    found = prune.intersect(inverted.lookup(_events_by(spark, sf_dir, "user_id"), 7), groups, ["row_group"])
+    rows = prune.residual(inverted.fetch(located(spark, sf_dir), found), wanted)
+    return rows.where("user_id = 7 and event_type <> 'error'").select(*EVENT)
+
+
+@registered(f"SELECT {_EVENT} FROM events WHERE ts BETWEEN TIMESTAMP '{DAY[0]}' AND TIMESTAMP '{DAY[1]}' AND event_type = 'click'")
+def combined_time_category(spark, sf_dir):
+    """The flagship: category index and time range intersected, then the rows with the whole predicate."""
+    wanted = [RangePredicate("ts", *map(ntz, DAY))]
+    groups = stats.query_overlap(events_manifest(spark, sf_dir), wanted)
+    found = prune.intersect(inverted.lookup(_events_by(spark, sf_dir, "event_type"), "click"), groups, ["row_group"])
+    return prune.residual(inverted.fetch(located(spark, sf_dir), found), wanted).where("event_type = 'click'").select(*EVENT)
+
+
+@registered(f"SELECT {_EVENT} FROM events WHERE value > 50")
+def uniform_filter(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("value > 50").select(*EVENT)
+
+
+def _point(spark, sf_dir, user: int) -> DataFrame:
+    found = inverted.lookup(_events_by(spark, sf_dir, "user_id"), user)
+    return inverted.fetch(located(spark, sf_dir), found).where(F.col("user_id") == user).select(*EVENT)
+
+
+@registered(f"SELECT {_EVENT} FROM events WHERE user_id = 7")
+def point_lookup_hit(spark, sf_dir):
+    return _point(spark, sf_dir, 7)
+
+
+@registered(f"SELECT {_EVENT} FROM events WHERE user_id = -1")
+def point_lookup_miss(spark, sf_dir):
+    return _point(spark, sf_dir, -1)
+
+
+_MANIFEST = f"SELECT event_id // {ROWS} AS row_group, count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts, count(*) FILTER (WHERE ts IS NULL) AS nulls_ts, min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE value IS NULL) AS nulls_value, min(user_id) AS min_user_id, max(user_id) AS max_user_id, count(*) FILTER (WHERE user_id IS NULL) AS nulls_user_id FROM events GROUP BY 1"
+
+
+@registered(_MANIFEST)
+def stats_manifest(spark, sf_dir):
+    return events_manifest(spark, sf_dir)
+
+
+_DAILY = "SELECT 'data/' || strftime(ts, '%Y-%m-%d') || '.parquet' AS file, (hour(ts) // 8)::BIGINT AS row_group, count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts, count(*) FILTER (WHERE ts IS NULL) AS nulls_ts FROM events GROUP BY 1, 2"
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumns({"file": F.concat(F.lit("data/"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".parquet")), "row_group": F.expr("cast(hour(ts) div 8 as bigint)")})
+    return stats.build_manifest(e, ["ts"])
+
+
+@registered(_DAILY)
+def stats_manifest_daily(spark, sf_dir):
+    return _daily(spark, sf_dir)
+
+
+def _candidates_sql(where: str) -> str:
+    return f"WITH m AS ({_MANIFEST}) SELECT row_group, row_count FROM m WHERE {where}"
+
+
+def _candidates(spark, sf_dir, *wanted: RangePredicate) -> DataFrame:
+    return stats.query_overlap(events_manifest(spark, sf_dir), wanted).select("row_group", "row_count")
+
+
+@registered(_candidates_sql(f"min_ts <= TIMESTAMP '{DAY[1]}' AND max_ts >= TIMESTAMP '{DAY[0]}' AND min_value <= 0.5 AND max_value >= 0.1"))
+def overlap_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, RangePredicate("ts", *map(ntz, DAY)), RangePredicate("value", 0.1, 0.5))
+
+
+@registered(_candidates_sql("true"))
+def overlap_no_predicate(spark, sf_dir):
+    return _candidates(spark, sf_dir)
+
+
+@registered(_candidates_sql("true"))
+def overlap_missing_column(spark, sf_dir):
+    return _candidates(spark, sf_dir, RangePredicate("no_such_column", "X", "Y"))
+
+
+@registered(_candidates_sql("min_ts <= TIMESTAMP '2030-01-02' AND max_ts >= TIMESTAMP '2030-01-01'"))
+def overlap_disjoint(spark, sf_dir):
+    return _candidates(spark, sf_dir, RangePredicate("ts", ntz("2030-01-01"), ntz("2030-01-02")))
+
+
+@registered(f"WITH m AS ({_MANIFEST}), b AS (SELECT max_ts AS x FROM m WHERE row_group = 3) SELECT row_group, row_count FROM m, b WHERE min_ts <= x AND max_ts >= x")
+def overlap_boundary(spark, sf_dir):
+    """A range of one instant, which is a row group's upper bound: bounds are inclusive."""
+    edge = events_manifest(spark, sf_dir).where("row_group = 3").first().max_ts
+    return _candidates(spark, sf_dir, RangePredicate("ts", ntz(str(edge)), ntz(str(edge))))
+
+
+@registered(_candidates_sql(f"min_ts <= TIMESTAMP '{HOUR[1]}' AND max_ts >= TIMESTAMP '{HOUR[0]}' AND min_ts <= TIMESTAMP '{WEEK[1]}' AND max_ts >= TIMESTAMP '{WEEK[0]}'"))
+def same_column_two_ranges(spark, sf_dir):
+    return _candidates(spark, sf_dir, RangePredicate("ts", *map(ntz, HOUR)), RangePredicate("ts", *map(ntz, WEEK)))
+
+
+@registered(f"WITH m AS ({_DAILY}) SELECT count(*) AS row_groups, count(DISTINCT file) AS files FROM m")
+def manifest_counts(spark, sf_dir):
+    return stats.counts(_daily(spark, sf_dir))
+
+
+@registered(_DAILY)
+def manifest_json_roundtrip(spark, sf_dir):
+    """The daily manifest written as JSON and read again."""
+    return stats.from_json(stats.to_json(_daily(spark, sf_dir), ["ts"]), {"ts": "timestamp_ntz"})
+
+
+_INDEX = f"SELECT l_partkey AS key, (l_orderkey // {ROWS}) // 64 AS span, count(*) AS n_locations, list((l_orderkey // {ROWS}) * {ROWS} + l_orderkey % {ROWS} ORDER BY l_orderkey) AS rows FROM lineitem GROUP BY 1, 2"
+
+
+def _lineitem_index(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return inverted.build_secondary(rows, "l_partkey", F.lit("orders"), F.expr(f"l_orderkey div {ROWS}"), F.expr(f"l_orderkey % {ROWS}"))
+
+
+@registered(_INDEX)
+def secondary_index_lineitem(spark, sf_dir):
+    index = _lineitem_index(spark, sf_dir)
+    return index.select("key", "span", F.size("locations").cast("long").alias("n_locations"), F.transform("locations", lambda x: x["row_group"] * ROWS + x["row_offset"]).alias("rows"))
+
+
+@registered("SELECT count(DISTINCT l_partkey) AS keys, count(*) AS locations FROM lineitem")
+def secondary_counts(spark, sf_dir):
+    return inverted.counts(_lineitem_index(spark, sf_dir))
+
+
+@registered("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)")
+def secondary_lookup_multi(spark, sf_dir):
+    orders = located(spark, sf_dir, "orders", "o_orderkey")
+    index = inverted.build_secondary(orders, "o_custkey", F.lit("orders"), F.col("row_group"), F.col("row_offset"))
+    keys = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("key"))
+    return inverted.fetch(orders, inverted.lookup_many(index, keys)).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@registered("SELECT k AS key, c_name, c_mktsegment FROM (SELECT unnest(range(-3, 30)) AS k) LEFT JOIN customer ON c_custkey = k")
+def multi_key_lookup(spark, sf_dir):
+    keys = spark.range(-3, 30).withColumnRenamed("id", "key")
+    index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name", "c_mktsegment")
+    return inverted.get_many(index, keys)
+
+
+@registered("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'small')")
+def prefix_search_part(spark, sf_dir):
+    return inverted.prefix_search(table(spark, sf_dir, "part"), "small", "p_name").select("p_partkey", "p_name")
+
+
+@registered("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://blog.')")
+def prefix_search_url(spark, sf_dir):
+    return inverted.prefix_search(table(spark, sf_dir, "pages"), "https://blog.", "url").select("page_id", "url")
+
+
+@registered("SELECT c_name, c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS position FROM customer")
+def ordered_scan(spark, sf_dir):
+    return ranking.with_position(table(spark, sf_dir, "customer").select("c_name", "c_custkey"), "c_name", "c_custkey")
+
+
+@registered("SELECT 0::BIGINT AS generation, count(*) AS key_count, min(c_name) AS min_key, max(c_name) AS max_key FROM customer")
+def segment_meta(spark, sf_dir):
+    path = scratch_path(spark, "segment")
+    meta = segments.write_segment(table(spark, sf_dir, "customer"), path, "c_name", unique=True)
+    return meta.select("generation", "key_count", "min_key", "max_key")
+
+
+@registered("SELECT c_name, c_custkey FROM customer WHERE c_name = (SELECT max(c_name) FROM customer) OR c_name = (SELECT min(c_name) FROM customer)")
+def segment_get(spark, sf_dir):
+    """Keyed reads from a written segment; the equality reaches its Bloom filters and row-group bounds."""
+    path = scratch_path(spark, "segment")
+    meta = segments.write_segment(table(spark, sf_dir, "customer"), path, "c_name", unique=True).first()
+    segment = segments.read_segment(spark, path)
+    return inverted.get(segment, meta.min_key, "c_name").union(inverted.get(segment, meta.max_key, "c_name")).select("c_name", "c_custkey")
+
+
+_LAYERS = """WITH s AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 0 ELSE least(3, 1 + date_diff('day', TIMESTAMP '2024-01-15', date_trunc('day', ts)) // 5) END AS generation FROM events),
+layer AS (SELECT user_id AS key, generation::BIGINT AS generation, max(event_id) AS event_id FROM s GROUP BY 1, 2),
+layers AS (SELECT l.key, l.generation, e.event_id, e.value, e.event_type = 'error' AS deleted FROM layer l JOIN events e USING (event_id)),
+newest AS (SELECT * FROM layers QUALIFY row_number() OVER (PARTITION BY key ORDER BY generation DESC) = 1)
+"""
+
+
+def _layer_rows(spark, sf_dir) -> DataFrame:
+    late = F.least(F.lit(3), 1 + F.floor(F.datediff("ts", F.lit("2024-01-15").cast("date")) / 5))
+    e = table(spark, sf_dir, "events").withColumn("generation", F.when(F.col("ts") < ntz("2024-01-15"), 0).otherwise(late).cast("long"))
+    last = e.groupBy(F.col("user_id").alias("key"), "generation").agg(F.max_by(F.struct("event_id", "value", (F.col("event_type") == "error").alias("deleted")), F.col("event_id")).alias("_r"))
+    return last.select("key", "generation", "_r.event_id", "_r.value", "_r.deleted")
+
+
+@registered(_LAYERS + "SELECT key, generation, event_id, value FROM newest WHERE NOT deleted")
+def layered_resolve(spark, sf_dir):
+    return layers.resolve(_layer_rows(spark, sf_dir))
+
+
+@registered(_LAYERS + "SELECT key, generation, event_id, value FROM newest WHERE NOT deleted AND key = 5")
+def layered_lookup(spark, sf_dir):
+    return layers.lookup(_layer_rows(spark, sf_dir), 5)
+
+
+@registered(_LAYERS + "SELECT key FROM newest WHERE deleted")
+def layered_tombstone(spark, sf_dir):
+    rows = _layer_rows(spark, sf_dir)
+    return rows.select("key").distinct().join(layers.resolve(rows), "key", "left_anti")
+
+
+@registered(_LAYERS + "SELECT count(DISTINCT generation) AS segments, count(*) AS total_keys FROM layers")
+def layered_total_keys(spark, sf_dir):
+    return layers.totals(_layer_rows(spark, sf_dir))
+
+
+@registered(_LAYERS + "SELECT key, generation, event_id, value FROM newest WHERE NOT deleted")
+def merge_base(spark, sf_dir):
+    return layers.merge(_layer_rows(spark, sf_dir), scratch_path(spark, "base"))
+
+
+_LAYER_MANIFEST = _LAYERS + "SELECT generation, CASE WHEN generation = 0 THEN 'base' ELSE 'delta' END AS kind, count(*) AS key_count, (count(*) * 70)::BIGINT AS size_bytes FROM layers GROUP BY 1, 2"
+
+
+def _layer_manifest(spark, sf_dir) -> DataFrame:
+    m = _layer_rows(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("key_count")).withColumns({"kind": F.when(F.col("generation") == 0, "base").otherwise("delta"), "size_bytes": F.col("key_count") * 70})
+    return m.withColumn("path", F.concat(F.lit("layers/"), F.col("generation").cast("string"))).select(*LAYER.fieldNames())
+
+
+@registered(f"WITH m AS ({_LAYER_MANIFEST}) SELECT sum(key_count)::BIGINT AS keys_upper_bound, sum(size_bytes)::BIGINT AS size_bytes, count(*) FILTER (WHERE kind = 'delta') AS deltas FROM m")
+def layer_manifest_totals(spark, sf_dir):
+    return layers.manifest_totals(_layer_manifest(spark, sf_dir))
+
+
+@registered(f"WITH m AS ({_LAYER_MANIFEST}) SELECT count(*) FILTER (WHERE kind = 'delta') > 0 AND (count(*) FILTER (WHERE kind = 'delta') >= 10 OR sum(size_bytes) FILTER (WHERE kind = 'delta') / greatest(sum(size_bytes) FILTER (WHERE kind = 'base'), 1) >= 0.30) AS should_merge FROM m")
+def should_merge(spark, sf_dir):
+    return layers.should_merge(_layer_manifest(spark, sf_dir))
+
+
+@registered(f"WITH m AS ({_LAYER_MANIFEST}) SELECT 'layers/' || generation AS path FROM m")
+def layer_paths(spark, sf_dir):
+    return layers.all_paths(_layer_manifest(spark, sf_dir))
+
+
+_PARTS = "WITH k AS (SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1) // 40 AS idx FROM customer), parts AS (SELECT idx, min(c_name) AS min_key, max(c_name) AS max_key, count(*) AS key_count FROM k GROUP BY 1)\n"
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return partitioned.manifest(partitioned.split_equal(table(spark, sf_dir, "customer").select("c_name"), "c_name", 40), "c_name")
+
+
+@registered(_PARTS + "SELECT * FROM parts")
+def partition_manifest(spark, sf_dir):
+    return _parts(spark, sf_dir)
+
+
+@registered(_PARTS + ", keys AS (SELECT c_name || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'x' END AS key FROM customer UNION ALL SELECT 'zzzz') SELECT key, (SELECT min(idx) FROM parts WHERE max_key >= key) AS idx FROM keys")
+def partition_route(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, "").otherwise("x")).alias("key")).union(spark.range(1).select(F.lit("zzzz")))
+    return partitioned.route(keys, _parts(spark, sf_dir))
+
+
+@registered(_PARTS + "SELECT count(*) AS partitions, sum(key_count)::BIGINT AS total_keys, (sum(key_count) // count(*))::BIGINT AS avg_keys FROM parts")
+def partition_sizing(spark, sf_dir):
+    return partitioned.sizing(_parts(spark, sf_dir))
+
+
+_EDGES = """WITH edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'Contains' AS rel_kind FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'Uses' FROM customer
+UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'Calls' FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'ships' FROM lineitem)
+"""
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    parts = [("nation", "n", "n_nationkey", "r", "n_regionkey", "Contains"), ("customer", "c", "c_custkey", "n", "c_nationkey", "Uses"), ("orders", "o", "o_orderkey", "c", "o_custkey", "Calls"), ("lineitem", "o", "l_orderkey", "p", "l_partkey", "ships")]
+    out = None
+    for name, a, src, b, dst, kind in parts:
+        e = table(spark, sf_dir, name).select(F.concat(F.lit(a), F.col(src).cast("string")).alias("src"), F.concat(F.lit(b), F.col(dst).cast("string")).alias("dst"), F.lit(kind).alias("rel_kind"))
+        out = e if out is None else out.union(e)
+    return out
+
+
+@registered(_EDGES + ", ends AS (SELECT src AS entity_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT entity_id, count(*) AS edges, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM ends GROUP BY 1")
+def adjacency_build(spark, sf_dir):
+    return graph.edge_count(graph.adjacency(_edges(spark, sf_dir)))
+
+
+@registered(_EDGES + "SELECT src, dst, rel_kind FROM edges WHERE src IN ('o1', 'o2', 'c3', 'n4')")
+def neighbours_1hop(spark, sf_dir):
+    seeds = spark.range(1).select(F.explode(F.array(*map(F.lit, ["o1", "o2", "c3", "n4"]))).alias("entity_id"))
+    return graph.neighbours(_edges(spark, sf_dir), seeds).select("src", "dst", "rel_kind")
+
+
+@registered(_EDGES + ", h1 AS (SELECT DISTINCT dst AS e FROM edges WHERE src = 'o7'), h2 AS (SELECT DISTINCT dst AS e FROM edges WHERE src IN (SELECT e FROM h1)) SELECT 'o7' AS entity_id, 0 AS hop UNION ALL SELECT e, 1 FROM h1 UNION ALL SELECT e, 2 FROM h2 WHERE e NOT IN (SELECT e FROM h1)")
+def k_hop_2(spark, sf_dir):
+    return graph.k_hop(_edges(spark, sf_dir), spark.range(1).select(F.lit("o7").alias("entity_id")), 2)
+
+
+_FOLDER = r"^[^:]*://[^/?#]*(/[^/?#]*)"
+
+
+@registered(f"SELECT regexp_extract(url, '{_FOLDER}', 1) AS path, count(*) AS n_entries, list(page_id ORDER BY page_id::VARCHAR) AS pages FROM pages GROUP BY 1")
+def path_entries(spark, sf_dir):
+    entities = table(spark, sf_dir, "pages").select(F.regexp_extract("url", _FOLDER, 1).alias("path"), F.col("page_id").cast("string").alias("entity_id"), F.lit("File").alias("kind"))
+    return graph.path_entries(entities).select("path", F.size("entries").cast("long").alias("n_entries"), F.transform("entries", lambda x: x["entity_id"].cast("long")).alias("pages"))
+
+
+@registered("SELECT name, CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in REL_KINDS.items()) + " ELSE 255 END AS code, name AS back FROM (VALUES " + ", ".join(f"('{k}')" for k in [*REL_KINDS, "delegates_to"]) + ") t(name)")
+def rel_kind_dictionary(spark, sf_dir):
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, [*REL_KINDS, "delegates_to"]))).alias("name"))
+    return names.withColumn("code", kinds.rel_kind_code(F.col("name"))).withColumn("back", kinds.rel_kind_name(F.col("code"), F.col("name")))
+
+
+@registered("SELECT code::INT AS code, CASE code " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in ENTITY_KINDS.items()) + " ELSE 'Other' END AS kind FROM (SELECT unnest(range(0, 256)) AS code)")
+def entity_kind_dictionary(spark, sf_dir):
+    return spark.range(256).select(F.col("id").cast("int").alias("code"), kinds.entity_kind_name(F.col("id").cast("int")).alias("kind"))
+
+
+@registered("SELECT k AS key, c_name FROM (SELECT unnest(range(-200, 100)) AS k) JOIN customer ON c_custkey = k")
+def bloom_no_false_negative(spark, sf_dir):
+    """Keys that a segment's filters admit, joined exactly."""
+    path = scratch_path(spark, "segment")
+    segments.write_segment(table(spark, sf_dir, "customer"), path, "c_custkey", unique=True)
+    keys = spark.range(-200, 100).withColumnRenamed("id", "key")
+    return keys.join(segments.read_segment(spark, path), F.col("key") == F.col("c_custkey")).select("key", "c_name")
+
+
+@registered()
+def bloom_fp_rate(spark, sf_dir):
+    """Share of 1000 absent keys that a filter over customers admits, and of 100 present ones (1)."""
+    f = MembershipFilter.build(table(spark, sf_dir, "customer"), "c_custkey")
+    absent = sum(f.might_contain(-k) for k in range(1, 1001))
+    present = sum(f.might_contain(k) for k in range(100))
+    return spark.range(1).select(F.lit(absent / 1000).alias("false_positive_rate"), F.lit(present / 100).alias("present_rate"))
+
+
+@registered(f"SELECT event_id, 'events' AS file_key, event_id // {ROWS} AS row_group, event_id % {ROWS} AS row_offset, 16::BIGINT AS n_bytes FROM events")
+def location_codec_roundtrip(spark, sf_dir):
+    e = located(spark, sf_dir).select("event_id", codecs.location_to_binary(F.struct(F.lit("events").alias("file_key"), "row_group", "row_offset")).alias("b"))
+    return e.select("event_id", F.octet_length("b").cast("long").alias("n_bytes"), codecs.binary_to_location("b").alias("l")).select("event_id", "l.file_key", "l.row_group", "l.row_offset", "n_bytes")
+
+
+@registered("SELECT count(*) AS row_count, count(DISTINCT o_orderkey) AS key_count, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key FROM orders")
+def footer_manifest(spark, sf_dir):
+    """Row counts and bounds from the footers of a written segment."""
+    path = scratch_path(spark, "segment")
+    segments.write_segment(table(spark, sf_dir, "orders"), path, "o_orderkey", unique=True)
+    f = footers.footer_stats(segments.read_segment(spark, path)).where("column = 'o_orderkey'")
+    return f.agg(F.sum("row_count").cast("long").alias("row_count"), F.sum("row_count").cast("long").alias("key_count"), F.min(F.col("min").cast("long")).alias("min_key"), F.max(F.col("max").cast("long")).alias("max_key"))
+
+
+@registered(_range_sql(HOUR))
+def pruned_files_1h(spark, sf_dir):
+    """A range over a sorted copy of events, read from the candidate files only."""
+    path = scratch_path(spark, "events")
+    segments.write_segment(table(spark, sf_dir, "events"), path, "ts")
+    copy = segments.read_segment(spark, path)
+    manifest = stats.build_manifest(copy.withColumn("file", F.col("_metadata.file_path")), ["ts"], ["file"])
+    return prune.pruned_files(spark, manifest, [RangePredicate("ts", *map(ntz, HOUR))]).select(*EVENT)
