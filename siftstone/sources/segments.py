@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.errors import DuplicateKey, EmptySegment, KeysOutOfOrder
+from siftstone.errors import DuplicateKey, EmptySegment, InvalidFormat, KeysOutOfOrder
 
 MICROS = "_micros"
 
@@ -67,6 +67,11 @@ def write_segment(df: DataFrame, path: str, key: str, options: SegmentOptions =
 
 
 def read_segment(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The segment's table. A file of no bytes is refused, which a scan would take for one of no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at) and any(f.getLen() == 0 for f in fs.listStatus(at) if f.isFile() and f.getPath().getName().startswith("part-")):
+        raise InvalidFormat(f"{path} holds a file of no bytes")
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 

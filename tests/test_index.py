@@ -1,0 +1,177 @@
+"""Segments, lookups, inverted indexes, membership, codecs, damage."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftstone import errors
+from siftstone.functions import codecs, kinds
+from siftstone.functions.membership import MembershipFilter, any_might_contain
+from siftstone.operators import inverted, prune, ranking
+from siftstone.sources import footers, segments
+from siftstone.sources.storage import Storage, object_store_conf
+
+
+def keyed(spark, n):
+    return spark.range(n).select(F.format_string("key_%06d", "id").alias("key"), F.format_string("value_%06d", "id").alias("value"))
+
+
+def test_keyed_segment(spark, tmp_path):
+    path = str(tmp_path / "s")
+    meta = segments.write_segment(keyed(spark, 1000), path, "key", segments.SegmentOptions(files=3), unique=True).first()
+    assert (meta.key_count, meta.min_key, meta.max_key) == (1000, "key_000000", "key_000999") and meta.size_bytes > 0
+    s = segments.read_segment(spark, path)
+    for i in (0, 50, 999):
+        assert inverted.get(s, f"key_{i:06d}").first().value == f"value_{i:06d}"
+    for k in ("key_001000", "aaa_before", "key_000050x"):
+        assert inverted.get(s, k).count() == 0
+    assert inverted.prefix_search(s, "key_00001").count() == 10
+    keys = spark.createDataFrame([("key_000001",), ("none",)], "key string")
+    assert {r.key: r.value for r in inverted.get_many(s, keys).collect()} == {"key_000001": "value_000001", "none": None}
+    ordered = ranking.with_position(s, "key").orderBy("position").collect()
+    assert [r.position for r in ordered] == list(range(1000)) and [r.key for r in ordered] == sorted(r.key for r in ordered)
+
+
+def test_refused_inputs(spark, tmp_path):
+    with pytest.raises(errors.DuplicateKey):
+        segments.write_segment(keyed(spark, 3).union(keyed(spark, 1)), str(tmp_path / "d"), "key", unique=True)
+    with pytest.raises(errors.EmptySegment):
+        segments.write_segment(keyed(spark, 0), str(tmp_path / "e"), "key")
+    order = lambda *ks: spark.createDataFrame(list(enumerate(ks)), "p long, k string")
+    segments.check_ascending(order("a", "b", "c"), "k", "p")
+    with pytest.raises(errors.KeysOutOfOrder):
+        segments.check_ascending(order("bbb", "aaa"), "k", "p")
+    with pytest.raises(errors.DuplicateKey):
+        segments.check_ascending(order("aaa", "aaa"), "k", "p")
+
+
+def test_secondary_index(spark):
+    rows = spark.createDataFrame([("subject_001", "part-000.parquet", 0, 10), ("zzz", "p", 1, 1), ("subject_001", "part-003.parquet", 1, 55), ("aaa", "p", 900, 2), ("aaa", "p", 1, 2), ("aaa", "p", 1, 2)], "k string, f string, g long, o long")
+    index = inverted.build_secondary(rows, "k", F.col("f"), F.col("g"), F.col("o"))
+    assert tuple(inverted.counts(index).first()) == (3, 6)
+    assert [tuple(r) for r in inverted.lookup(index, "subject_001").collect()] == [("subject_001", "part-000.parquet", 0, 10), ("subject_001", "part-003.parquet", 1, 55)]
+    assert inverted.lookup(index, "bbb").count() == 0
+    assert inverted.lookup(index, "aaa").count() == 3  # a bag, over two lists
+    assert index.where("key = 'aaa'").count() == 2
+    many = spark.createDataFrame([("aaa",), ("aaa",), ("zzz",)], "key string")
+    assert inverted.lookup_many(index, many).count() == 4
+    assert tuple(inverted.counts(index.limit(0)).first()) == (0, 0)
+
+
+def test_membership(spark):
+    keys = keyed(spark, 5000)
+    f = MembershipFilter.build(keys, "key", expected=5000)
+    assert all(f.might_contain(f"key_{i:06d}") for i in range(5000))
+    assert sum(f.might_contain(f"absent_{i}") for i in range(1000)) < 20
+    again = MembershipFilter.from_bytes(spark, f.to_bytes(spark))
+    assert again.might_contain("key_000001") and not all(again.might_contain(f"absent_{i}") for i in range(50))
+    assert MembershipFilter.from_bytes(spark, b"").might_contain("anything")
+    assert MembershipFilter.from_bytes(spark, b"\x00\x01damage").might_contain("anything")
+    numbers = MembershipFilter.build(spark.range(100), "id")
+    assert any_might_contain([numbers, f], 5) if numbers.might_contain(5) else False
+
+
+@pytest.mark.parametrize(
+    ("encode", "decode", "value", "size"),
+    [
+        (codecs.encode_location, codecs.decode_location, {"file_key": "é.parquet", "row_group": 4_000_000_000, "row_offset": 7}, 2 + 10 + 8),
+        (codecs.encode_locations, codecs.decode_locations, [], 4),
+        (codecs.encode_locations, codecs.decode_locations, [{"file_key": "a", "row_group": i, "row_offset": i} for i in range(500)], 4 + 500 * 11),
+        (codecs.encode_adjacency, codecs.decode_adjacency, {"outgoing": [{"entity_id": "x", "rel_kind": "Calls"}, {"entity_id": "y", "rel_kind": "delegates_to"}], "incoming": []}, 4 + 4 + 4 + 2 + 12),
+        (codecs.encode_adjacency, codecs.decode_adjacency, {"outgoing": [], "incoming": []}, 4),
+        (codecs.encode_path_entries, codecs.decode_path_entries, [{"entity_id": "f", "kind": "Function"}, {"entity_id": "C", "kind": "Class"}, {"entity_id": "m", "kind": "Method"}], 2 + 12),
+    ],
+)
+def test_codecs(encode, decode, value, size):
+    data = encode(value)
+    assert decode(data) == value and len(data) == size
+    if size > 4:
+        with pytest.raises(errors.TooShort):
+            decode(data[:-1])
+
+
+def test_codec_errors():
+    with pytest.raises(errors.InvalidUtf8):
+        codecs.decode_location(b"\x01\x00\xff" + bytes(8))
+    with pytest.raises(errors.InvalidFormat):
+        codecs.decode_adjacency(b"\x01\x00\x00\x00\x01\x00a\x63")
+    with pytest.raises(errors.ValueDecodeError):
+        codecs.encode_location({"file_key": "x" * 70_000, "row_group": 0, "row_offset": 0})
+    assert codecs.decode_path_entries(b"\x01\x00\x01\x00a\x63") == [{"entity_id": "a", "kind": "Other"}]
+
+
+def test_codecs_as_columns(spark):
+    df = spark.sql("SELECT array(named_struct('file_key', 'f', 'row_group', 1L, 'row_offset', 2L)) AS l UNION ALL SELECT null")
+    back = df.select("l", codecs.binary_to_locations(codecs.locations_to_binary("l")).alias("b"))
+    assert all(r.l == r.b for r in back.collect())
+
+
+def test_dictionaries(spark):
+    df = spark.createDataFrame([("Calls",), ("delegates_to",)], "n string").withColumn("c", kinds.rel_kind_code(F.col("n")))
+    assert [tuple(r) for r in df.withColumn("b", kinds.rel_kind_name(F.col("c"), F.col("n"))).collect()] == [("Calls", 0, "Calls"), ("delegates_to", 255, "delegates_to")]
+    with pytest.raises(Exception, match="unknown relation kind"):
+        spark.range(99, 100).select(kinds.rel_kind_name(F.col("id").cast("int"))).collect()
+    assert spark.range(1).select(kinds.entity_kind_name(F.lit(200)), kinds.entity_kind_code(F.lit("Trait"))).first()[:] == ("Other", 8)
+    marks = spark.createDataFrame([(b"\xff", True), (b"\xff\x01", False), (b"", False), (b"x", False), (None, False)], "v binary, e boolean")
+    assert marks.where(kinds.is_tombstone(F.col("v")) != F.col("e")).count() == 0
+
+
+def test_footers_and_row_locations(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).repartition(2).sortWithinPartitions("id").write.option("parquet.block.size", 16 << 10).option("parquet.page.size", 1 << 10).parquet(path)
+    t = spark.read.parquet(path)
+    f = footers.footer_stats(t).cache()
+    assert f.agg(F.sum("row_count")).first()[0] == 20_000 and f.count() >= 2
+    located = footers.row_locations(t, f)
+    assert located.count() == 20_000
+    bounds = located.groupBy("file_key", "row_group").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("row_offset").alias("o"), F.count("*").alias("n"))
+    joined = bounds.join(f, (F.regexp_replace("file_key", "^file:/+", "/") == F.regexp_replace("file", "^file:/+", "/")) & (bounds.row_group == f.row_group))
+    assert joined.where("lo = cast(min as long) and hi = cast(max as long) and o = n - 1 and n = row_count").count() == bounds.count()
+
+
+@pytest.mark.parametrize("damage", ["flip", "cut", "empty", "footer"])
+def test_damage_is_an_error_and_the_base_is_scanned(spark, tmp_path, damage):
+    path = str(tmp_path / "i")
+    base = keyed(spark, 20_000)
+    segments.write_segment(base, path, "key", segments.SegmentOptions(files=1))
+    file = next(os.path.join(path, f) for f in os.listdir(path) if f.startswith("part"))
+    data = bytearray(open(file, "rb").read())
+    if damage == "flip":
+        for k in range(200, 4000):  # the first data pages
+            data[k] ^= 0xFF
+    data = {"flip": data, "cut": data[: len(data) // 2], "empty": data[:0], "footer": data[:-8] + b"\x00" * 8}[damage]
+    open(file, "wb").write(data)
+    for crc in (f for f in os.listdir(path) if f.endswith(".crc")):
+        os.remove(os.path.join(path, crc))
+    schema = base.schema
+    with pytest.raises(Exception) as e:
+        segments.read_segment(spark, path, schema).agg(F.max("value"), F.max("key"), F.sum(F.xxhash64("key", "value").cast("double"))).collect()
+    assert errors.is_corruption(e.value) and not errors.is_transient(e.value)
+    full = prune.with_fallback(lambda: segments.read_segment(spark, path, schema).where("value like '%9'"), lambda: base.where("value like '%9'"))
+    assert full.count() == 2000
+
+
+def test_error_classes():
+    assert errors.is_corruption(errors.InvalidFormat()) and errors.is_corruption(Exception("[FAILED_READ_FILE.NO_HINT] x"))
+    assert errors.is_transient(errors.StorageFailure("x")) and not errors.is_transient(errors.NotFound("x"))
+    assert not errors.is_corruption(errors.NotFound("x")) and not errors.is_corruption(ValueError("x")) and not errors.is_transient(ValueError("x"))
+    assert errors.is_not_found(Exception("[PATH_NOT_FOUND] Path does not exist"))
+
+
+def test_storage(spark, tmp_path):
+    s = Storage(spark, f"file:{tmp_path}")
+    s.put("a/b.bin", bytes(range(256)))
+    assert s.object_size("a/b.bin") == 256 and s.read_all("a/b.bin") == bytes(range(256))
+    assert s.read_range("a/b.bin", 10, 20) == bytes(range(10, 20)) and s.read_range("a/b.bin", 0, 0) == b""
+    assert s.read_tail("a/b.bin", 3) == b"\xfd\xfe\xff"
+    with pytest.raises(errors.StorageFailure):
+        s.read_range("a/b.bin", 250, 300)
+    with pytest.raises(errors.StorageFailure):
+        s.read_tail("a/b.bin", 300)
+    with pytest.raises(errors.NotFound):
+        s.read_all("none")
+    s.delete("a/b.bin")
+    s.delete("a/b.bin")
+    assert not s.exists("a/b.bin")
+    assert "spark.hadoop.fs.s3a.endpoint" in object_store_conf("http://127.0.0.1:9000") and "spark.hadoop.fs.s3a.endpoint" not in object_store_conf()
