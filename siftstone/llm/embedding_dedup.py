@@ -10,7 +10,8 @@ the recall that is wanted at the threshold itself; likelier pairs are found with
 cut into blocks, and each pair of blocks is a task of bounded size.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing; vectors of
-different lengths don't link; a null id takes part, and its component is the smallest id of its group, if there is one;
+different lengths don't link; a null id takes part, and its component is the smallest id of its group, if there is one (it is
+kept only if there is none);
 repeated rows link with each other; an empty table gives an empty result; extra columns don't matter.
 """
 
@@ -153,4 +154,4 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     info = label.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").select("node", "component_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     ids = rows.select("vec_id", "node").join(info, "node", "left")
     component = F.coalesce("component_id", "vec_id")
-    return ids.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return ids.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("vec_id") == component, F.lit(False))).alias("kept"))

@@ -3,7 +3,7 @@
 The product of the document-by-shingle incidence matrix with its transpose is taken in blocks of shingles and never in
 full. (1) All shingles are counted over all documents, block by block; a document can have a partner only when the
 shingles that other documents have too make up the least overlap that its size allows, which leaves out most
-documents. (2) Equal shingle sets form a class, and one representative stands for it. (3) A representative is posted
+documents. (2) Equal shingle sets form a class, and one set stands for it, named by its signature. (3) A representative is posted
 under its rarest shared shingles, as many as any partner must meet (prefix bound), with its size and what is left of
 it from there. (4) Overlaps are accumulated for candidate pairs that pass the size and position bounds.
 
@@ -12,9 +12,9 @@ representative with the most typical one under each of its shingles, which joins
 all pairs under a shingle that belong to different groups. Pairs within a group can't change it and are never made.
 
 Shingles are compared by 64-bit hashes. Defined cases: a text without words (null, empty, white space) has no
-shingles and links with nothing; one with fewer words than a shingle is one shingle; documents of equal id are one
-document; a null id takes part, and its component is the smallest id of its group, if there is one; an empty table
-gives an empty result; extra columns don't matter.
+shingles and links with nothing; one with fewer words than a shingle is one shingle; repeated rows are documents of
+their own that link; a null id takes part, and its component is the smallest id of its group, if there is one; an empty
+table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
         order = np.argsort(of, kind="stable")
         order = order[alive[of[order]]]
         at = np.concatenate([[0], np.cumsum(np.where(alive, n, 0))])
-        sums = [np.concatenate([[0], np.cumsum(mix(keys[order] ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(keys[order] ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         s1, s2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
         held = order[df[order] > 1]
         held = held[np.lexsort((keys[held], df[held], of[held]))]
@@ -144,10 +144,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
     path = scratch_path(spark, "shingles")
     shingle_sets(docs, shingle, share).write.parquet(f"{path}/documents")
     base = spark.read.parquet(f"{path}/documents")
-    classes = base.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    classes = base.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     one = Window.partitionBy("s1", "s2").orderBy("doc_id")
     given = base.where("grams is not null").withColumn("_k", F.row_number().over(one)).where("_k = 1")
-    given.join(classes, ["s1", "s2"]).select("rep", "n", "grams").write.parquet(f"{path}/sets")
+    given.select(F.col("s1").alias("rep"), "n", "grams").write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
 
     posted = _postings(sets, share)
@@ -169,7 +169,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
     links = spark.read.parquet(f"{path}/links_1", f"{path}/links_2")
     whole = connected_components(links)
 
-    member = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    label = classes.join(whole, F.col("s1") == F.col("node"), "left").select("s1", "s2", "least", F.coalesce("component", "s1").alias("component"))
+    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = label.join(least, "component").select("s1", "s2", "component_id")
     return base.join(member, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
