@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from siftstone.operators.ranking import with_position
 from siftstone.schemas import DEFAULT_KEYS_PER_PARTITION
 
-#: Manifests up to so many partitions are routed by a broadcast array.
-MAX_BROADCAST_PARTITIONS = 100_000
+#: Manifests up to so many partitions are routed by a list in the plan.
+MAX_LISTED_PARTITIONS = 10_000
 
 
 def partition_count(total: int, per_partition: int = DEFAULT_KEYS_PER_PARTITION) -> int:
@@ -41,21 +42,18 @@ def route(keys: DataFrame, parts: DataFrame, key: str = "key") -> DataFrame:
     """``keys`` with ``idx``: the first partition whose largest key isn't below; null beyond the last.
 
     Partitions are ordered and disjoint, so this is a search in the sorted largest keys. A manifest is small (one row
-    for a million keys); it is sent to all tasks after its size is checked, and larger ones are joined by range.
+    for a million keys): after its size is checked it is listed in the plan; a larger one is joined by range.
     """
-    few = parts.select("idx", "max_key").orderBy("max_key").limit(MAX_BROADCAST_PARTITIONS + 1).collect()
-    if len(few) <= MAX_BROADCAST_PARTITIONS:
-        bounds = keys.sparkSession.createDataFrame([([r.max_key for r in few], [int(r.idx) for r in few])], f"bounds array<{dict(keys.dtypes)[key]}>, ids array<long>")
-        joined = keys.crossJoin(F.broadcast(bounds))  # one row, of bounded size
-        return joined.withColumn("idx", F.expr(f"get(ids, {_first_not_below('bounds', key)})")).drop("bounds", "ids")
+    few = parts.select("idx", "max_key").orderBy("max_key").limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(few) <= MAX_LISTED_PARTITIONS:
+        bounds = F.from_json(F.lit(json.dumps([r.max_key for r in few])), f"array<{dict(keys.dtypes)[key]}>")
+        ids = F.from_json(F.lit(json.dumps([int(r.idx) for r in few])), "array<bigint>")
+        below = F.size(F.filter(bounds, lambda b: b < F.col(key)))
+        return keys.withColumn("idx", F.get(ids, below))
     pairs = keys.join(parts.select("idx", "min_key", "max_key"), (F.col(key) >= F.col("min_key")) & (F.col(key) <= F.col("max_key")), "left")
     return pairs.drop("min_key", "max_key")
 
 
-def _first_not_below(bounds: str, key: str) -> str:
-    return f"cast(size({bounds}) - size(filter({bounds}, b -> b >= `{key}`)) as int)"
-
-
 def find_partition(max_keys: Sequence[str], key: str) -> int | None:
     """Position of the first largest key that isn't below ``key``, for a manifest held on the driver."""
     at = bisect.bisect_left(max_keys, key)

@@ -77,7 +77,6 @@ def read_segment(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def segment_meta(df: DataFrame, key: str, path: str = "", generation: int = 0) -> DataFrame:
     """One row: generation, path, size in bytes, number of keys, smallest and largest key (counted, not trusted)."""
-    sizes = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct().agg(F.coalesce(F.sum("s"), F.lit(0)).alias("size_bytes")) if path else None
-    meta = df.agg(F.count("*").alias("key_count"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))
-    meta = meta.crossJoin(F.broadcast(sizes)) if sizes is not None else meta.withColumn("size_bytes", F.lit(0).cast("long"))  # one row by one row
+    size = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct().agg(F.sum("s")).first()[0] if path else None
+    meta = df.agg(F.count("*").alias("key_count"), F.min(key).alias("min_key"), F.max(key).alias("max_key")).withColumn("size_bytes", F.lit(size or 0).cast("long"))
     return meta.select(F.lit(generation).cast("long").alias("generation"), F.lit(path).alias("path"), "size_bytes", "key_count", "min_key", "max_key")
