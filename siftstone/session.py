@@ -53,12 +53,20 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows in a batch that goes to a Python worker. Spark's default of 10,000 whole texts is tens of MB, several times over.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers of the session, once for each Spark context.
 
-    Workers then find it whatever folder and path they were started with.
+    Workers then find it whatever folder and path they were started with. Batches to workers are kept at ``BATCH_ROWS``
+    unless the session has a size of its own.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_siftstone_shipped", None) is None:
         package = os.path.dirname(os.path.abspath(__file__))
         with tempfile.TemporaryDirectory() as stage:
