@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.kernels import pack_sorted, unpack_sorted
 
-#: Bytes of text in a chunk, and keys in a block; each is what one Python call holds.
-CHUNK_BYTES = 8 << 20
-BLOCK_KEYS = 2_000_000
+#: Bytes of text in a chunk, and keys in a block; each is what one Python call holds, and a worker needs about 40 times
+#: the bytes of a chunk. Chunks send to every block, so sessions with large executors and some TB of text should raise
+#: both by the settings below.
+CHUNK_BYTES = 4 << 20
+BLOCK_KEYS = 1_000_000
+CHUNK_SETTING, BLOCK_SETTING = "siftstone.chunkBytes", "siftstone.blockKeys"
 #: Bytes of text for each key, about a word with its space; used only to size blocks.
 BYTES_PER_KEY = 6
 CHUNK = "_chunk"
@@ -41,8 +44,9 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(least, -(-total // CHUNK_BYTES))
-    blocks = max(1, -(-total // (BYTES_PER_KEY * BLOCK_KEYS)), least if total >= least << 16 else 1)
+    chunk_bytes, block_keys = int(spark.conf.get(CHUNK_SETTING, str(CHUNK_BYTES))), int(spark.conf.get(BLOCK_SETTING, str(BLOCK_KEYS)))
+    chunks = max(least, -(-total // chunk_bytes))
+    blocks = max(1, -(-total // (BYTES_PER_KEY * block_keys)), least if total >= least << 16 else 1)
     return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), int(blocks)
 
 

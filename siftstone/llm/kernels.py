@@ -20,7 +20,7 @@ TO_LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes, or words, that are hashed at a time; memory per worker is some ten times 8 bytes of it.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 15
 
