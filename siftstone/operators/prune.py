@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftstone.errors import is_corruption
 from siftstone.operators.stats import RangePredicate, query_overlap
 from siftstone.sources.segments import MICROS
 
+MAX_HELD_ROWS = 1_000_000
+
 
 def intersect(left: DataFrame, right: DataFrame, on: Sequence[str] = ("file", "row_group")) -> DataFrame:
     """Candidates of both."""
@@ -47,10 +51,51 @@ def pruned_files(spark: SparkSession, manifest: DataFrame, predicates: Sequence[
             if not every:
                 raise ValueError("an empty manifest needs a schema")
             schema = spark.read.parquet(every[0][0]).schema
-        return spark.createDataFrame([], schema)
+        return _no_rows(spark, schema)
     return residual((spark.read.schema(schema) if schema is not None else spark.read).parquet(*files), predicates)
 
 
+def _no_rows(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """An empty table that the optimizer knows to be empty, so that nothing is run for it."""
+    fields = schema.fields if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema.fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+class HeldManifest:
+    """A manifest of bounded size held on the driver, so that a query is pruned without a Spark job.
+
+    Bounds are kept as arrays, one pair for each column; a bound that isn't known keeps its file. Of a larger manifest
+    than ``MAX_HELD_ROWS`` use ``pruned_files``, which filters it as a table.
+    """
+
+    def __init__(self, manifest: DataFrame, columns: Sequence[str], schema: StructType, file: str = "file"):
+        table = manifest.select(file, *[f"{side}_{c}" for c in columns for side in ("min", "max")]).limit(MAX_HELD_ROWS + 1).toPandas()
+        if len(table) > MAX_HELD_ROWS:
+            raise ValueError(f"more than {MAX_HELD_ROWS} rows; filter the manifest as a table")
+        self.spark, self.schema = manifest.sparkSession, schema
+        self.files = table[file].to_numpy()
+        self.bounds = {c: (table[f"min_{c}"], table[f"max_{c}"]) for c in columns}
+
+    def candidates(self, predicates: Sequence[RangePredicate]) -> list[str]:
+        """Files that may hold a match; the predicates' bounds are Python values."""
+        keep = np.ones(len(self.files), bool)
+        for p in predicates:
+            if p.column in self.bounds:
+                low, high = self.bounds[p.column]
+                unknown = (low.isna() | high.isna()).to_numpy()
+                keep &= unknown | ((low <= p.high) & (high >= p.low)).to_numpy()
+        return sorted(set(self.files[keep]))
+
+    def read(self, predicates: Sequence[RangePredicate]) -> DataFrame:
+        """Rows that match, from the candidate files only."""
+        files = self.candidates(predicates)
+        if not files:
+            return _no_rows(self.spark, self.schema)
+        kinds = {f.name: f.dataType for f in self.schema}
+        typed = [RangePredicate(p.column, *(F.lit(x).cast(kinds[p.column]) for x in (p.low, p.high))) for p in predicates]
+        return residual(self.spark.read.schema(self.schema).parquet(*files), typed)
+
+
 def with_fallback(indexed: Callable[[], DataFrame], scan: Callable[[], DataFrame]) -> DataFrame:
     """``indexed()``, or ``scan()`` of the base table when the index turns out to be damaged; other errors are raised."""
     try:

@@ -121,3 +121,24 @@ def test_range_reaches_the_scan(spark, sf, tmp_path):
     assert len(got.inputFiles()) < len(copy.inputFiles()) == 4
     none = prune.pruned_files(spark, m, [RangePredicate("ts", *(F.lit(x).cast("timestamp_ntz") for x in ("2030-01-01", "2030-01-02")))])
     assert none.count() == 0 and none.columns == copy.columns
+
+
+def test_held_manifest(spark, sf, tmp_path):
+    from datetime import datetime
+
+    from siftstone.sources import segments
+
+    path = str(tmp_path / "events")
+    segments.write_segment(spark.read.parquet(f"{sf}/events.parquet"), path, "ts", segments.SegmentOptions(files=6))
+    copy = segments.read_segment(spark, path)
+    m = stats.build_manifest(copy.withColumn("file", F.col("_metadata.file_path")), ["ts", "user_id"], ["file"])
+    held = prune.HeldManifest(m, ["ts", "user_id"], copy.schema)
+    low, high = datetime(2024, 1, 3), datetime(2024, 1, 4)
+    wanted = [RangePredicate("ts", low, high)]
+    assert 0 < len(held.candidates(wanted)) < 6 and len(held.candidates([])) == 6
+    plain = copy.where("ts between timestamp_ntz'2024-01-03' and timestamp_ntz'2024-01-04'")
+    assert sorted(held.read(wanted).collect()) == sorted(plain.collect())
+    assert held.read([RangePredicate("user_id", -2, -1)]).count() == 0 and held.candidates([RangePredicate("user_id", -2, -1)]) == []
+    assert len(held.candidates([RangePredicate("unknown", 1, 2)])) == 6
+    gap = spark.createDataFrame([("a", 1, 2), ("b", None, None)], "file string, min_x long, max_x long")
+    assert prune.HeldManifest(gap, ["x"], copy.schema).candidates([RangePredicate("x", 5, 6)]) == ["b"]
