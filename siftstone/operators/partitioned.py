@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,10 +47,14 @@ def route(keys: DataFrame, parts: DataFrame, key: str = "key") -> DataFrame:
     """
     few = parts.select("idx", "max_key").orderBy("max_key").limit(MAX_LISTED_PARTITIONS + 1).collect()
     if len(few) <= MAX_LISTED_PARTITIONS:
-        bounds = F.from_json(F.lit(json.dumps([r.max_key for r in few])), f"array<{dict(keys.dtypes)[key]}>")
-        ids = F.from_json(F.lit(json.dumps([int(r.idx) for r in few])), "array<bigint>")
-        below = F.size(F.filter(bounds, lambda b: b < F.col(key)))
-        return keys.withColumn("idx", F.get(ids, below))
+        kind = dict(keys.dtypes)[key]
+        listed = lambda values, of: F.from_json(F.lit(json.dumps(values)), f"array<{of}>")
+        bounds, ids = [r.max_key for r in few], [int(r.idx) for r in few]
+        # a search in two steps of about the root of the number of partitions
+        step = max(1, math.isqrt(len(few)))
+        below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
+        skipped = below(listed(bounds[step - 1 :: step], kind)) * step
+        return keys.withColumn("idx", F.get(listed(ids, "bigint"), skipped + below(F.slice(listed(bounds, kind), skipped + 1, F.lit(step)))))
     pairs = keys.join(parts.select("idx", "min_key", "max_key"), (F.col(key) >= F.col("min_key")) & (F.col(key) <= F.col("max_key")), "left")
     return pairs.drop("min_key", "max_key")
 

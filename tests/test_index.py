@@ -175,3 +175,22 @@ def test_storage(spark, tmp_path):
     s.delete("a/b.bin")
     assert not s.exists("a/b.bin")
     assert "spark.hadoop.fs.s3a.endpoint" in object_store_conf("http://127.0.0.1:9000") and "spark.hadoop.fs.s3a.endpoint" not in object_store_conf()
+
+
+def test_row_groups_are_read_alone(spark, sf, tmp_path):
+    from siftstone.operators import stats
+    from siftstone.sources.rowgroups import read_row_groups
+
+    path = str(tmp_path / "t")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(2).sortWithinPartitions("event_id").write.option("parquet.block.size", 4 << 10).option("parquet.page.size", 1 << 10).option("parquet.block.size.row.check.min", 10).parquet(path)
+    t = spark.read.parquet(path)
+    f = footers.footer_stats(t).where("column = 'event_id'").selectExpr("file", "row_group", "row_count", "cast(min as long) as min_event_id", "cast(max as long) as max_event_id")
+    wanted = [stats.RangePredicate("event_id", 100, 130)]
+    some = stats.query_overlap(f, wanted)
+    got = read_row_groups(some.union(some), t.schema)
+    assert got.count() == some.agg(F.sum("row_count")).first()[0]
+    assert sorted(prune.residual(got, wanted).collect()) == sorted(t.where("event_id between 100 and 130").collect())
+    assert read_row_groups(f.limit(0), t.schema).count() == 0
+    with pytest.raises(Exception, match="FileNotFound|No such file"):
+        read_row_groups(spark.createDataFrame([("file:/none.parquet", 0)], "file string, row_group long"), t.schema).count()

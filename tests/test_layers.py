@@ -79,6 +79,15 @@ def test_routing(spark):
     assert {r.idx for r in partitioned.route(keys, parts.limit(0)).collect()} == {None}
 
 
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 17])
+def test_routing_agrees_with_a_search(spark, n):
+    bounds = [f"k{3 * i:03d}" for i in range(n)]
+    parts = spark.createDataFrame([(b, i) for i, b in enumerate(bounds)], "max_key string, idx long")
+    keys = [f"k{i:03d}" for i in range(3 * n + 3)]
+    got = {r.key: r.idx for r in partitioned.route(spark.createDataFrame([(k,) for k in keys], "key string"), parts).collect()}
+    assert got == {k: partitioned.find_partition(bounds, k) for k in keys}
+
+
 def test_partition_counts():
     assert [partitioned.partition_count(n, 10**6) for n in (0, 10**6, 10**7, 10**9, 1_500_000)] == [1, 1, 10, 1000, 2]
     with pytest.raises(ValueError):
