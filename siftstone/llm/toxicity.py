@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 20_000
+MAX_BROADCAST_LABELS = 100_000
 THRESHOLD = 0.3
 #: Stems run from so many characters to so many; a word's end is a character of its own.
 STEM = (3, 12)
@@ -86,7 +87,7 @@ class Trie:
     def weight(self, word: str) -> float:
         found = self.memory.get(word)
         if found is None:
-            if len(self.memory) > 300_000:
+            if len(self.memory) > 100_000:
                 self.memory.clear()
             found = self.memory[word] = self.walk(word)
         return found
@@ -185,6 +186,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic) on at most ``max_labelled`` of the documents."""
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # the sample is bounded by its parameter, so documents needn't be shuffled to meet it
+    chosen = F.broadcast(chosen) if max_labelled <= MAX_BROADCAST_LABELS else chosen
     labelled = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
     stems = learn_stems(labelled)
 
