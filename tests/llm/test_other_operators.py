@@ -196,6 +196,10 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
 def test_structure():
     assert html_text.main_text(PAGE, None) == "Head line One boldwo\u00adrd & é Two lines a b c1 c2"
     assert html_text.main_text(None, None) == html_text.main_text("", [1]) == html_text.main_text("<nav>x", None) == ""
+    assert html_text.main_text('<div class="content-sidebar-wrap"><p>x</p><article class="post header"><div class="post-header"><h1>T</h1></div>body</article></div>', None) == "T body"
+    assert html_text.main_text('<article>body</article><section class="comments"><article>First</article></section>', None) == "body"
+    assert html_text.main_text('<article class="comment">no</article><main><p>long enough text</p><article>card</article></main>', None) == "long enough text card"
+    assert html_text.main_text('<main><p>teaser</p><article>the whole story is here</article></main>', None) == "the whole story is here"
     assert html_text.main_text("plain &lt;text&gt; <p>a<p>b", None) == "plain <text> a b"
     assert html_text.main_text("<p>open <b>never closed", None) == "open never closed"
     assert html_text.main_text("<p>1 < 2 and 3 > 2</p>", None) == "1 < 2 and 3 > 2"
