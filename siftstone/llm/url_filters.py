@@ -68,5 +68,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: s
     found = found.withColumn("full", seen).withColumn("short", F.substring("full", 1, SHORT)).join(table, "short").where(F.col("full") == F.col("digest"))
     best = found.groupBy(F.col("url").alias("_url")).agg(F.max(F.struct("size", "host_size", (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("_best"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    joined = pages.select(*kept).join(best, F.col("url") == F.col("_url"), "left")
+    # null URLs get keys that match nothing, so that they don't all meet in one task
+    key = F.coalesce(F.col("url"), F.concat(F.lit(":"), F.xxhash64(*kept).cast("string")))
+    joined = pages.select(*kept, key.alias("_key")).join(best, F.col("_key") == F.col("_url"), "left")
     return joined.select(*kept, host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
