@@ -172,7 +172,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
     label = classes.join(whole, F.col("s1") == F.col("node"), "left").select("s1", "s2", "least", F.coalesce("component", "s1").alias("component"))
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
     member = label.join(least, "component").select("s1", "s2", "component_id")
-    return base.join(member, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # documents without a possible partner have no signature, and would all meet in one task of a join
+    alone = base.where("s1 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return alone.union(base.where("s1 is not null").join(member, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
