@@ -3,7 +3,8 @@
 The product of the document-by-shingle incidence matrix with its transpose is taken in blocks of shingles and never in
 full. (1) All shingles are counted over all documents, block by block; a document can have a partner only when the
 shingles that other documents have too make up the least overlap that its size allows, which leaves out most
-documents. (2) Equal shingle sets form a class, and one set stands for it, named by its signature. (3) A representative is posted
+documents. (2) Equal shingle sets form a class, and one set stands for it, named by its signature; what only its own
+members have can't link it, which leaves out most classes. (3) A representative is posted
 under its rarest shared shingles, as many as any partner must meet (prefix bound), with its size and what is left of
 it from there. (4) Overlaps are accumulated for candidate pairs that pass the size and position bounds.
 
@@ -34,6 +35,8 @@ from siftstone.session import scratch_path
 SHINGLE = 5
 #: Link when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
+#: Documents with a shingle are counted up to here in a set.
+MANY = 0xFFFF
 
 
 def needed(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
@@ -42,10 +45,11 @@ def needed(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, n, s1, s2, grams) per document; the last three only where a partner is possible.
+    """(doc_id, n, s1, s2, grams, counts) per document; all but the first two only where a partner is possible.
 
     ``s1``, ``s2`` are a signature of the whole set. ``grams`` are the shared shingles, rarest first, as 64-bit
-    integers; within a chunk they are given once for each signature.
+    integers, and ``counts`` how many documents have each, up to ``MANY``, in 16 bits; within a chunk both are given
+    once for each signature.
     """
     chunked, blocks = dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
@@ -77,15 +81,41 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
         s1, s2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
         held = order[df[order] > 1]
         held = held[np.lexsort((keys[held], df[held], of[held]))]
+        many = np.minimum(df[held], MANY).astype("<u2")
         grams, bounds = keys[held].view(np.int64), np.concatenate([[0], np.cumsum(np.where(alive, shared, 0))])
-        seen, out = set(), []
+        seen, out, counts = set(), [], []
         for d in range(rows):
-            own = (int(s1[d]), int(s2[d]))
-            out.append(grams[bounds[d] : bounds[d + 1]].tobytes() if alive[d] and own not in seen else None)
-            seen.add(own) if alive[d] else None
-        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, mask=~alive), "s2": pa.array(s2, mask=~alive), "grams": pa.array(out, pa.binary())})
+            own, span = (int(s1[d]), int(s2[d])), slice(bounds[d], bounds[d + 1])
+            first = alive[d] and own not in seen
+            out.append(grams[span].tobytes() if first else None)
+            counts.append(many[span].tobytes() if first else None)
+            if first:
+                seen.add(own)
+        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, mask=~alive), "s2": pa.array(s2, mask=~alive), "grams": pa.array(out, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    return count_shared(chunked, blocks, keys_of, finish, "doc_id long, n long, s1 long, s2 long, grams binary")
+    return count_shared(chunked, blocks, keys_of, finish, "doc_id long, n long, s1 long, s2 long, grams binary, counts binary")
+
+
+def _partners(given: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(rep, n, grams) of classes (s1, n, members, grams, counts) that can link with another class.
+
+    A shingle that as many documents have as the class has members is the class's own. What is left must still make up
+    the least overlap.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep, size, out = [], [], []
+            for s1, n, members, g, c in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                count = np.frombuffer(c, "<u2")
+                left = np.frombuffer(g, np.int64)[(count != members) | (count == MANY)]
+                if len(left) >= needed(n, share):
+                    rep.append(s1)
+                    size.append(n)
+                    out.append(left.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["rep", "n", "grams"])
+
+    return given.select("s1", "n", "members", "grams", "counts").mapInArrow(run, "rep long, n long, grams binary")
 
 
 def _postings(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -144,10 +174,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
     path = scratch_path(spark, "shingles")
     shingle_sets(docs, shingle, share).write.parquet(f"{path}/documents")
     base = spark.read.parquet(f"{path}/documents")
-    classes = base.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
+    classes = base.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     one = Window.partitionBy("s1", "s2").orderBy("doc_id")
     given = base.where("grams is not null").withColumn("_k", F.row_number().over(one)).where("_k = 1")
-    given.select(F.col("s1").alias("rep"), "n", "grams").write.parquet(f"{path}/sets")
+    _partners(given.join(classes, ["s1", "s2"]), share).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
 
     posted = _postings(sets, share)
