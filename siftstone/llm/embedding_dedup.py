@@ -33,7 +33,7 @@ THRESHOLD = 0.95
 #: Share of the pairs at the threshold that some table finds.
 RECALL = 0.999
 #: Vectors in a bucket on average, and in a block.
-BUCKET, BLOCK = 1024, 2048
+BUCKET, BLOCK = 2048, 2048
 #: Tables of buckets above a block that are broadcast; larger ones are joined.
 MAX_BROADCAST_BUCKETS = 100_000
 SEED = 20240229
@@ -46,13 +46,13 @@ def hash_shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return signs, max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - met)))
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
+def _vectors(column: pa.Array, dtype: str) -> tuple[np.ndarray, list[np.ndarray | None]]:
     """Node (a hash of the vector, 0 for none) and the vector of each row, None where it links with nothing."""
     out: list[np.ndarray | None] = []
     for v in column:
         x = None
         if v.is_valid and len(v.values) and not v.values.null_count:
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zero
+            x = v.values.to_numpy(zero_copy_only=False).astype(dtype) + np.zeros(1, dtype)  # no negative zero
             x = x if np.isfinite(x).all() and x.any() else None
         out.append(x)
     nodes = np.array([0 if x is None else np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes()) | 1)) for x in out], np.int64)
@@ -63,15 +63,18 @@ def _planes(size: int, signs: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, size]).standard_normal((size, signs * tables))
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _unit(data: list[bytes], dtype: str) -> np.ndarray:
+    """Vectors of unit length in double precision."""
+    x = np.frombuffer(b"".join(data), dtype).reshape(len(data), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hashed(classes: DataFrame, signs: int, tables: int) -> DataFrame:
+def _hashed(classes: DataFrame, signs: int, tables: int, dtype: str) -> DataFrame:
     """(table, bucket, node, many, codes, vector) for each class and table."""
 
+    width = np.dtype(dtype).itemsize
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
@@ -80,10 +83,10 @@ def _hashed(classes: DataFrame, signs: int, tables: int) -> DataFrame:
                 codes = np.empty((len(data), tables), np.int64)
                 for size in {len(d) for d in data}:
                     at = [k for k, d in enumerate(data) if len(d) == size]
-                    bits = _unit([data[k] for k in at]) @ _planes(size // 8, signs, tables) > 0
+                    bits = _unit([data[k] for k in at], dtype) @ _planes(size // width, signs, tables) > 0
                     codes[at] = bits.reshape(len(at), tables, signs) @ (1 << np.arange(signs, dtype=np.int64))
                 # vectors of another length never share a bucket
-                bucket = codes + (np.array([len(d) // 8 for d in data], np.int64) << 32)[:, None]
+                bucket = codes + (np.array([len(d) // width for d in data], np.int64) << 32)[:, None]
                 packed = [c.astype("<i4").tobytes() for c in codes]
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), t, np.int32)), pa.array(bucket[:, t]), pa.array(nodes), pa.array(many), pa.array(packed, pa.binary()), pa.array(data, pa.binary())], names=["table", "bucket", "node", "many", "codes", "vector"])
@@ -91,7 +94,7 @@ def _hashed(classes: DataFrame, signs: int, tables: int) -> DataFrame:
     return classes.select("node", "many", "vector").mapInArrow(run, "table int, bucket long, node long, many long, codes binary, vector binary")
 
 
-def _linked(hashed: DataFrame, threshold: float) -> DataFrame:
+def _linked(hashed: DataFrame, threshold: float, dtype: str) -> DataFrame:
     """(node, links, root): vectors linked in each task and the root of the node in the task's forest."""
     large = hashed.groupBy("table", "bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).checkpoint()
     few = large.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
@@ -104,7 +107,7 @@ def _linked(hashed: DataFrame, threshold: float) -> DataFrame:
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         t, _, i, j = (k.as_py() for k in key)
-        x = _unit(group["vector"].to_pylist())
+        x = _unit(group["vector"].to_pylist(), dtype)
         codes = np.frombuffer(b"".join(group["codes"].to_pylist()), "<i4").reshape(len(x), -1)[:, :t]
         own, nodes, many = group["own"].to_numpy(), group["node"].to_numpy(), group["many"].to_numpy()
         left = np.flatnonzero(own == i)
@@ -134,24 +137,30 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     """(vec_id, n_links, component_id, kept) per row of ``embeddings`` (vec_id, embedding)."""
     spark = embeddings.sparkSession
     path = scratch_path(spark, "embeddings")
+    # vectors travel as wide as they are stored; what is computed is in double precision
+    kind = dict(embeddings.dtypes)["embedding"]
+    dtype = "<f4" if kind == "array<float>" else "<f8"
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, vectors = _vectors(b.column(1))
+            nodes, vectors = _vectors(b.column(1), dtype)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, mask=nodes == 0), pa.array([None if v is None else v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "node", "vector"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(read, "vec_id long, node long, vector binary")
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if dtype == "<f4" else "array<double>")).mapInArrow(read, "vec_id long, node long, vector binary")
     # equal vectors meet first within each task, then among tasks
     classes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.max("vector").alias("vector"))
     classes.write.parquet(f"{path}/classes")
     classes = spark.read.parquet(f"{path}/classes")
     signs, tables = hash_shape(classes.count(), threshold, recall)
-    _linked(_hashed(classes, signs, tables), threshold).write.parquet(f"{path}/links")
+    _linked(_hashed(classes, signs, tables, dtype), threshold, dtype).write.parquet(f"{path}/links")
     found = spark.read.parquet(f"{path}/links")
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     label = classes.join(groups, "node", "left").select("node", "least", "many", F.coalesce("component", "node").alias("component"))
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
     info = label.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").select("node", "component_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    ids = rows.select("vec_id", "node").join(info, "node", "left")
+    # rows without a vector have no node, and would all meet in one task of a join
+    ids = rows.select("vec_id", "node")
+    alone = ids.where("node is null").select("vec_id", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    ids = alone.union(ids.where("node is not null").join(info, "node").select("vec_id", "component_id", "links"))
     component = F.coalesce("component_id", "vec_id")
     return ids.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("vec_id") == component, F.lit(False))).alias("kept"))
