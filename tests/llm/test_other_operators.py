@@ -294,7 +294,8 @@ def test_against_sql(spark, sf, name):
     names = sorted(d[0] for d in r.description)
     assert names == sorted(df.columns)
     at = [[d[0] for d in r.description].index(n) for n in names]
-    assert sorted(map(repr, df.select(*names).collect())) == sorted(map(repr, (df.select(*names).limit(0).collect() or [type(df.first())(**dict(zip(names, [x[k] for k in at], strict=True))) for x in r.fetchall()])))
+    expected = sorted(repr(test_entry.plain([x[k] for k in at])) for x in r.fetchall())
+    assert sorted(repr(test_entry.plain(list(x))) for x in df.select(*names).collect()) == expected
 
 
 def test_pipeline_stages(spark, sf, docs):
