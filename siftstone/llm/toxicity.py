@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from operator import eq
 from typing import NamedTuple
@@ -35,8 +36,9 @@ THRESHOLD = 0.3
 #: Stems run from so many characters to so many; a word's end is a character of its own.
 STEM = (3, 12)
 END = "\x00"
-#: A stem is learned from so many occurrences in toxic texts, at such log-odds a word, and at most so many are kept.
-LEAST_SEEN, LEAST_ODDS, MAX_STEMS = 6, 1.5, 5_000
+#: A stem is learned from so many toxic texts and occurrences in them, of which a text gives a few at most; at such
+#: log-odds a word; and at most so many stems are kept.
+LEAST_TEXTS, LEAST_SEEN, MOST_IN_TEXT, LEAST_ODDS, MAX_STEMS = 3, 5, 3, 1.5, 5_000
 #: Fixed word lists of the four closed classes, in English, German, French and Spanish.
 THREAT = frozenset("kill killing murder hurt beat smash destroy burn shoot stab hang töten umbringen schlagen vernichten tuer tuerai frapper détruire brûler matar golpear destruir quemar".split())
 TARGET = frozenset("you your yours yourself u ur they them their he him she her du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
@@ -134,38 +136,54 @@ class Model(NamedTuple):
     coefficients: list[float]
 
 
-def _word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, toxic, clean): occurrences of each word in the labelled texts; rows of word null hold the totals."""
+def _stems_of(text: str | None) -> dict[str, int]:
+    """Occurrences of each stem in a text, up to ``MOST_IN_TEXT``."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    out: Counter[str] = Counter()
+    for word, n in words.items():
+        n, word = min(n, MOST_IN_TEXT), word + END
+        for k in range(min(STEM[0], len(word)), min(STEM[1], len(word)) + 1):
+            out[word[:k]] += n
+    return {w: min(n, MOST_IN_TEXT) for w, n in out.items()}
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
+def _stem_counts(labelled: DataFrame) -> DataFrame:
+    """(stem, toxic, clean, texts): occurrences in texts of both kinds, and toxic texts that have it; null has the words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
+        texts: Counter[str] = Counter()
+        total = [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update(_WORD.findall((text or "").lower()))
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
+                found = _stems_of(text)
+                counts[toxic].update(found)
+                total[toxic] += len(_WORD.findall((text or "").lower()))
+                if toxic:
+                    texts.update(found.keys())
+        # a stem of no toxic text can't be learned, and the others' clean counts are summed over all tasks
+        stems = [None, *(counts[0].keys() | counts[1].keys())]
+        rows = [total[1], *(counts[1][w] for w in stems[1:])], [total[0], *(counts[0][w] for w in stems[1:])], [0, *(texts[w] for w in stems[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array(r, pa.int64()) for r in rows)], names=["stem", "toxic", "clean", "texts"])
 
-    return labelled.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return labelled.select("text", "toxic").mapInArrow(run, "stem string, toxic long, clean long, texts long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("texts").alias("texts"))
 
 
 def learn_stems(labelled: DataFrame) -> dict[str, float]:
     """Stems of insults by log-odds a word, shrunk to their certain part.
 
-    Every stem of every word is counted; the table that comes to the driver is bounded by ``MAX_STEMS``.
+    Every stem of every word is counted; a text counts a stem only a few times, so that a text which repeats a word
+    doesn't make it an insult. The table that comes to the driver is bounded by ``MAX_STEMS``.
     """
-    words = _word_counts(labelled).withColumn("word", F.concat("word", F.lit(END))).checkpoint()
-    totals = words.agg(F.sum("toxic"), F.sum("clean")).first()
-    toxic, clean = float(totals[0] or 0), float(totals[1] or 0)
-    if not toxic or not clean:
+    # a stem that too few toxic texts have is of no use; the row of null has the words of both kinds
+    counted = _stem_counts(labelled).where(F.col("stem").isNull() | (F.col("texts") >= LEAST_TEXTS) & (F.col("t") >= LEAST_SEEN)).checkpoint()
+    totals = counted.where("stem is null").first()
+    if totals is None or not totals.t or not totals.c:
         return {}
-    stems = words.select(F.explode(F.transform(F.sequence(F.least(F.lit(STEM[0]), F.length("word")), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"), "toxic", "clean")
-    counted = stems.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= LEAST_SEEN)
     # the lower end of the log-odds: each count is moved by about one standard deviation
     t, c = F.col("t") - F.sqrt("t"), F.col("c") + F.sqrt(F.col("c")) + F.lit(0.5)
-    odds = F.log(t / F.lit(toxic)) - F.log(c / F.lit(clean))
-    best = counted.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "stem").limit(MAX_STEMS)
+    odds = F.log(t / F.lit(float(totals.t))) - F.log(c / F.lit(float(totals.c)))
+    best = counted.where("stem is not null").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "stem").limit(MAX_STEMS)
     return {r.stem: float(r.odds) for r in best.collect()}
 
 
@@ -188,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # the sample is bounded by its parameter, so documents needn't be shuffled to meet it
     chosen = F.broadcast(chosen) if max_labelled <= MAX_BROADCAST_LABELS else chosen
-    labelled = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    # copies of a text count once
+    labelled = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     stems = learn_stems(labelled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
