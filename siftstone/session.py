@@ -49,8 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, which ``clear_scratch`` removes."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._siftstone_scratch = [*getattr(sc, "_siftstone_scratch", []), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what operators have written for themselves so far, and count it.
+
+    A result reads such tables until it is written itself, so call this afterwards.
+    """
+    sc = spark.sparkContext
+    paths, sc._siftstone_scratch = getattr(sc, "_siftstone_scratch", []), []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 #: Rows in a batch that goes to a Python worker. Spark's default of 10,000 whole texts is tens of MB, several times over.
