@@ -38,7 +38,6 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     stops_at = Window.orderBy("_stop", "_rank")
     before = stops_at.rowsBetween(Window.unboundedPreceding, -1)
-    onward = stops_at.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     s = (
@@ -48,7 +47,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
         .withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
         .withColumn("_stop", F.col("_cap") / F.col("_weight"))
         .withColumn("_goal", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("_level", (F.col("_goal") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(onward))
+        .withColumn("_level", (F.col("_goal") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))))
         .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_stop"), F.struct(F.col("_stop"), F.col("_rank"), F.col("_level").alias("level")))).over(everything)["level"])
     )
     target = F.least("_cap", F.coalesce(F.col("_weight") * F.col("_level"), F.col("_cap")))
