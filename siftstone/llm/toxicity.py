@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 MAX_LABELLED = 20_000
 MAX_BROADCAST_LABELS = 100_000
+#: Stems that a task counts before it sends what it has.
+HELD_STEMS = 60_000
 THRESHOLD = 0.3
 #: Stems run from so many characters to so many; a word's end is a character of its own.
 STEM = (3, 12)
@@ -151,20 +153,23 @@ def _stem_counts(labelled: DataFrame) -> DataFrame:
     """(stem, toxic, clean, texts): occurrences in texts of both kinds, and toxic texts that have it; null has the words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        texts: Counter[str] = Counter()
-        total = [0, 0]
+        counts: dict[str | None, list[int]] = {}
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0, 2))]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["stem", "toxic", "clean", "texts"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _stems_of(text)
-                counts[toxic].update(found)
-                total[toxic] += len(_WORD.findall((text or "").lower()))
-                if toxic:
-                    texts.update(found.keys())
-        # a stem of no toxic text can't be learned, and the others' clean counts are summed over all tasks
-        stems = [None, *(counts[0].keys() | counts[1].keys())]
-        rows = [total[1], *(counts[1][w] for w in stems[1:])], [total[0], *(counts[0][w] for w in stems[1:])], [0, *(texts[w] for w in stems[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array(r, pa.int64()) for r in rows)], names=["stem", "toxic", "clean", "texts"])
+                counts.setdefault(None, [0, 0, 0])[toxic] += len(_WORD.findall((text or "").lower()))
+                for stem, n in _stems_of(text).items():
+                    c = counts.setdefault(stem, [0, 0, 0])
+                    c[toxic] += n
+                    c[2] += toxic
+                if len(counts) > HELD_STEMS:  # the sums go on after the shuffle
+                    yield flushed()
+        yield flushed()
 
     return labelled.select("text", "toxic").mapInArrow(run, "stem string, toxic long, clean long, texts long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("texts").alias("texts"))
 
