@@ -7,11 +7,12 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.operators.ranking import with_position
 from siftstone.schemas import DEFAULT_KEYS_PER_PARTITION
+from siftstone.session import shared_dir
 
 #: Manifests up to so many partitions are routed by a list in the plan.
 MAX_LISTED_PARTITIONS = 10_000
@@ -40,23 +41,47 @@ def sizing(parts: DataFrame) -> DataFrame:
 
 
 def route(keys: DataFrame, parts: DataFrame, key: str = "key") -> DataFrame:
-    """``keys`` with ``idx``: the first partition whose largest key isn't below; null beyond the last.
+    """``keys`` with ``idx``: the first partition whose largest key isn't below; null beyond the last, and for a null key.
 
     Partitions are ordered and disjoint, so this is a search in the sorted largest keys. A manifest is small (one row
-    for a million keys): after its size is checked it is listed in the plan; a larger one is joined by range.
+    for a million keys): after its size is checked it is listed in the plan; a larger one is sorted with the keys.
     """
-    few = parts.select("idx", "max_key").orderBy("max_key").limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(few) <= MAX_LISTED_PARTITIONS:
-        kind = dict(keys.dtypes)[key]
-        listed = lambda values, of: F.from_json(F.lit(json.dumps(values)), f"array<{of}>")
-        bounds, ids = [r.max_key for r in few], [int(r.idx) for r in few]
-        # a search in two steps of about the root of the number of partitions
-        step = max(1, math.isqrt(len(few)))
-        below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
-        skipped = below(listed(bounds[step - 1 :: step], kind)) * step
-        return keys.withColumn("idx", F.get(listed(ids, "bigint"), skipped + below(F.slice(listed(bounds, kind), skipped + 1, F.lit(step)))))
-    pairs = keys.join(parts.select("idx", "min_key", "max_key"), (F.col(key) >= F.col("min_key")) & (F.col(key) <= F.col("max_key")), "left")
-    return pairs.drop("min_key", "max_key")
+    bounds = parts.where("max_key is not null").groupBy("max_key").agg(F.min("idx").cast("long").alias("idx"))
+    few = bounds.orderBy("max_key").limit(MAX_LISTED_PARTITIONS + 1).collect()
+    if len(few) > MAX_LISTED_PARTITIONS:
+        return _route_sorted(keys, bounds, key)
+    kind = dict(keys.dtypes)[key]
+    listed = lambda values, of: F.from_json(F.lit(json.dumps(values)), f"array<{of}>")
+    ends, ids = [r.max_key for r in few], [r.idx for r in few]
+    # a search in two steps of about the root of the number of partitions
+    step = max(1, math.isqrt(len(few)))
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
+    skipped = below(listed(ends[step - 1 :: step], kind)) * step
+    at = skipped + below(F.slice(listed(ends, kind), skipped + 1, F.lit(step)))
+    return keys.withColumn("idx", F.when(F.col(key).isNotNull(), F.get(listed(ids, "bigint"), at)))
+
+
+def _route_sorted(keys: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
+    """``route`` for any number of distinct ``bounds`` (max_key, idx): keys and bounds in one descending order.
+
+    Each key takes the last bound before it, and a bound comes before the keys that equal it. Rows are range-partitioned
+    once, equal keys spread by row; where a partition has no bound before a key, the nearest one of the partitions
+    before it holds. Only one row for each partition passes through a single task.
+    """
+    shared_dir(keys.sparkSession)
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = [*(c for c in keys.columns if c != "idx"), "idx"]
+    asked = keys.drop("idx").withColumns({"_end": F.col(key), "_bound": F.lit(0), "_row": F.monotonically_increasing_id()})
+    ends = bounds.select(F.col("max_key").alias("_end"), F.col("idx").alias("_idx"), F.lit(1).alias("_bound"), F.lit(0).cast("long").alias("_row"))
+    order = [F.desc("_end"), F.desc("_bound"), F.col("_row")]
+    # range bounds come from a sample and may differ between two runs
+    ordered = asked.unionByName(ends, allowMissingColumns=True).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = ordered.groupBy("_part").agg(F.min_by("_idx", F.when(F.col("_bound") == 1, F.col("_end"))).alias("_lowest"))
+    carried = lowest.withColumn("_carried", F.last("_lowest", ignorenulls=True).over(before)).select("_part", "_carried")
+    own = F.last("_idx", ignorenulls=True).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    routed = ordered.withColumn("_own", own).where("_bound = 0").join(F.broadcast(carried), "_part")
+    return routed.withColumn("idx", F.when(F.col("_end").isNotNull(), F.coalesce("_own", "_carried"))).select(*out)
 
 
 def find_partition(max_keys: Sequence[str], key: str) -> int | None:

@@ -88,6 +88,23 @@ def test_routing_agrees_with_a_search(spark, n):
     assert got == {k: partitioned.find_partition(bounds, k) for k in keys}
 
 
+@pytest.mark.parametrize("listed", [1, 10_000])
+def test_routing_of_any_size(spark, monkeypatch, listed):
+    """Gaps, shared boundaries, hot and null keys give the same results whether the manifest is listed or sorted."""
+    monkeypatch.setattr(partitioned, "MAX_LISTED_PARTITIONS", listed)
+    bounds = sorted([f"k{3 * i:03d}" for i in range(60)] + ["k030", "k030", "k090"])
+    parts = spark.createDataFrame([(b, i) for i, b in enumerate(bounds)], "max_key string, idx long").repartition(3)
+    keys = ["", *(f"k{i:03d}" for i in range(183)), *(f"k{3 * i:03d}x" for i in range(60)), *["k031"] * 500, "zzzz", None]
+    got = partitioned.route(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n long").repartition(5), parts)
+    assert got.columns == ["key", "n", "idx"]
+    want = [(k, i, None if k is None else partitioned.find_partition(bounds, k)) for i, k in enumerate(keys)]
+    assert [tuple(r) for r in got.orderBy("n").collect()] == want
+    # a key that ends one partition and begins the next belongs to the first
+    ranges = spark.createDataFrame([(0, "a", "c"), (1, "c", "e"), (2, "g", "k")], "idx long, min_key string, max_key string")
+    asked = spark.createDataFrame([(k,) for k in ("A", "c", "d", "f", "k", "l")], "key string")
+    assert sorted(tuple(r) for r in partitioned.route(asked, ranges).collect()) == [("A", 0), ("c", 0), ("d", 1), ("f", 2), ("k", 2), ("l", None)]
+
+
 def test_partition_counts():
     assert [partitioned.partition_count(n, 10**6) for n in (0, 10**6, 10**7, 10**9, 1_500_000)] == [1, 1, 10, 1000, 2]
     with pytest.raises(ValueError):
