@@ -235,6 +235,21 @@ def test_differencing_pairs_nearest_paths(spark, docs):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_differencing_within_a_path_and_without_urls(spark, docs):
+    page = lambda body: f"<body><p>Welcome to the site</p>{body}<p>All rights kept</p></body>"
+    rows = [(k, f"http://q.com/index.php?id={k}", page(f"<p>Item {k}</p>")) for k in range(600)]
+    rows += [(1000 + k, None, page(f"<p>Lost {k}</p>")) for k in range(5)] + [(1010 + k, f"no-scheme/{k}", page(f"<p>Odd {k}</p>")) for k in range(5)]
+    # re-crawls, of one address and under several, and another page far behind them
+    rows += [(2000 + k, "http://r.com/a", page("<p>Again</p>")) for k in range(3)] + [(2010 + k, f"http://r.com/b{k:03d}", page(f"<p>Again</p><!-- {k} -->")) for k in range(300)]
+    rows += [(3000, "http://r.com/c", page("<p>Other</p>")), (3001, "http://s.com/?a", page("<p>Same</p>")), (3002, "http://s.com/?b", page("<p>Same</p>"))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == f"Item {k}" for k in range(600))
+    assert all(got[1000 + k] == f"Lost {k}" and got[1010 + k] == f"Odd {k}" for k in range(5))
+    assert {got[k] for k in (*range(2000, 2003), *range(2010, 2310))} == {"Again"} and got[3000] == "Other"
+    assert got[3001] == got[3002] == "Welcome to the site Same All rights kept"
+
+
 # embeddings
 
 
