@@ -207,6 +207,22 @@ def test_structure():
     assert len(html_text.main_text("<article>" + "<p>word word</p>" * 50_000 + "</article>", None)) == 50_000 * 10 - 1
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_structure_keeps_what_an_article_says(tag):
+    inside = lambda body: html_text.main_text(f"<body><nav>Menu</nav><{tag}>{body}</{tag}></body>", None)
+    for word in ("ad-hoc-queries", "login", "social-history", "navigation", "comments"):
+        assert inside(f"<h2 id='{word}'>Title</h2><p id='{word}'>text</p>") == "Title text"
+        assert inside(f'<h3 class="{word}">Title</h3><div id="{word}">text</div>') == "Title text"
+    assert inside("<section id='related-work'><h2>Related work</h2><p>Others</p></section>") == "Related work Others"
+    assert inside('<section class="related-work">Others</section><div class="ad-hoc">query</div>') == "Others query"
+    assert inside('<pre><span class="comment"># note</span> x = <span class="hljs-comment">1</span></pre>') == "# note x = 1"
+    assert inside("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>") == "Let x=1 be"
+    for mark in ("ad", "advert", "comments", "ad-slot", "adSlot", "wide comment-list", "newsletter-signup", "sidebarLeft", "ad-300x250"):
+        assert inside(f'<p>kept</p><div class="{mark}">gone</div>') == "kept"
+    # outside of an article, words in ids and classes mark boilerplate as before
+    assert html_text.main_text('<div id="cookie-notice">gone</div><span class="ad-hoc">gone</span><p>kept</p>', None) == "kept"
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_common_lines_are_a_longest_common_subsequence(seed):
     rng = random.Random(seed)
