@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm.components import connected_components
@@ -44,14 +44,17 @@ def needed(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
     return -(-n * share[0] // share[1])
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE, hashed: bool = False) -> DataFrame:
     """(doc_id, n, s1, s2, grams, counts) per document; all but the first two only where a partner is possible.
 
+    With ``hashed`` each row also has ``text_hash``.
+
     ``s1``, ``s2`` are a signature of the whole set. ``grams`` are the shared shingles, rarest first, as 64-bit
     integers, and ``counts`` how many documents have each, up to ``MANY``, in 16 bits; within a chunk both are given
     once for each signature.
     """
-    chunked, blocks = dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    more = ["text_hash"] if hashed else []
+    chunked, blocks = dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(_text_hash().alias(k) for k in more)))
 
     def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (shingle, text) pairs, by shingle and text."""
@@ -91,9 +94,13 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
             counts.append(many[span].tobytes() if first else None)
             if first:
                 seen.add(own)
-        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, mask=~alive), "s2": pa.array(s2, mask=~alive), "grams": pa.array(out, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, mask=~alive), "s2": pa.array(s2, mask=~alive), "grams": pa.array(out, pa.binary()), "counts": pa.array(counts, pa.binary()), **{k: table[k] for k in more}})
+
+    return count_shared(chunked, blocks, keys_of, finish, ", ".join(["doc_id long, n long, s1 long, s2 long, grams binary, counts binary", *(f"{k} long" for k in more)]))
 
-    return count_shared(chunked, blocks, keys_of, finish, "doc_id long, n long, s1 long, s2 long, grams binary, counts binary")
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _partners(given: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -168,13 +175,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document."""
+def _labelled(docs: DataFrame, shingle: int, share: tuple[int, int], least: Column, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``shingle_sets``, and (s1, s2, least, component) of each class, where ``least`` aggregates its rows."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shingles")
-    shingle_sets(docs, shingle, share).write.parquet(f"{path}/documents")
+    shingle_sets(docs, shingle, share, hashed).write.parquet(f"{path}/documents")
     base = spark.read.parquet(f"{path}/documents")
-    classes = base.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
+    classes = base.where("s1 is not null").groupBy("s1", "s2").agg(least.alias("least"), F.count("*").alias("members"))
     one = Window.partitionBy("s1", "s2").orderBy("doc_id")
     given = base.where("grams is not null").withColumn("_k", F.row_number().over(one)).where("_k = 1")
     _partners(given.join(classes, ["s1", "s2"]), share).write.parquet(f"{path}/sets")
@@ -199,7 +206,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
     links = spark.read.parquet(f"{path}/links_1", f"{path}/links_2")
     whole = connected_components(links)
 
-    label = classes.join(whole, F.col("s1") == F.col("node"), "left").select("s1", "s2", "least", F.coalesce("component", "s1").alias("component"))
+    return base, classes.join(whole, F.col("s1") == F.col("node"), "left").select("s1", "s2", "least", F.coalesce("component", "s1").alias("component"))
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document."""
+    base, label = _labelled(docs, shingle, share, F.min("doc_id"))
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
     member = label.join(least, "component").select("s1", "s2", "component_id")
     # documents without a possible partner have no signature, and would all meet in one task of a join
@@ -211,3 +223,27 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = S
     """The rows of ``docs`` that have no partner, or the smallest id of their group; rows without id stay."""
     gone = groups(docs, shingle, share).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The rows of ``docs`` that have no partner, and exactly one row of each group.
+
+    It is a row with the group's smallest id (none is the largest), and of those with the smallest hash of the text;
+    among rows equal in both, one by a hash of all columns. So repeated rows and copies without id leave one row, and
+    rows that share an id are judged each by its own text.
+    """
+    spark = docs.sparkSession
+    base, label = _labelled(docs, shingle, share, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")), hashed=True)
+    member = label.join(label.groupBy("component").agg(F.min("least").alias("first")), "component").select("s1", "s2", "first")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    judged = base.where("s1 is not null").join(member, ["s1", "s2"]).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), is_first.alias("_first"))
+    path = scratch_path(spark, "judged")
+    # rows that go, and those of which one stays
+    judged.groupBy("_doc", "_text").agg(F.max("_first").alias("_first"), F.count("*").alias("_n")).where("not _first or _n > 1").drop("_n").write.partitionBy("_first").parquet(path)
+    found = spark.read.schema("_doc long, _text long, _first boolean").parquet(path)
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": _text_hash()})
+    on = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text"))
+    repeated = marked.join(found.where("_first"), on, "left_semi")
+    comparable = [c for c, t in docs.dtypes if "map<" not in t]
+    one = repeated.groupBy("_id", "_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*comparable)).alias("_row")).select("_row.*")
+    return marked.join(found, on, "left_anti").select(*docs.columns).union(one)

@@ -137,6 +137,21 @@ def test_groups_of_awkward_documents(spark, docs, no_docs):
     assert jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_one_row_of_each_group_is_kept(spark, docs, no_docs):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(1, text(1))] * 3 + [(2, text(1))] * 2  # the smallest id repeats
+    rows += [(None, text(2))] * 3 + [(None, text(2).upper())]  # copies without id
+    rows += [(5, text(3)), (6, text(3)), (6, text(4))]  # an id of a copy and of a text of its own
+    rows += [(None, text(5)), (9, text(5)), (None, None), (None, None), (10, ""), (10, ""), (11, text(6))]
+    got = jaccard.keep_one_row(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    kept = Counter((r.doc_id, r.text and r.text.lower()) for r in got)
+    assert kept == Counter([(1, text(1)), (None, text(2)), (5, text(3)), (6, text(4)), (9, text(5)), (None, None), (None, None), (10, ""), (10, ""), (11, text(6))])
+    assert jaccard.keep_one_row(no_docs).count() == 0
+    # all columns stay, and of awkward rows only repeated ones (of 8 and 10) go besides
+    by_id, by_row = (Counter(tuple(r) for r in f(docs).collect()) for f in (jaccard.keep_one, jaccard.keep_one_row))
+    assert not by_row - by_id and {r[0]: n for r, n in (by_id - by_row).items()} == {8: 1, 10: 1, None: 1}
+
+
 # mixing
 
 
