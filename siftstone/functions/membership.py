@@ -9,7 +9,9 @@ import base64
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as JavaColumn
 
 #: False-positive rate of a filter with 8-bit entries.
 DEFAULT_FPP = 0.0039
@@ -34,6 +36,14 @@ class MembershipFilter:
             return False
         return bool(self._filter.mightContainLong(key) if isinstance(key, int) else self._filter.mightContainString(key))
 
+    def admits(self, spark: SparkSession, key: Column) -> Column:
+        """``might_contain`` for a column of 64-bit integers, tested in a scan; null for a null key."""
+        if self._filter is None:
+            return F.lit(True)
+        of = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils
+        data = F.lit(self.to_bytes(spark))
+        return JavaColumn(of.column(spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(of.expression(data._jc), of.expression(key.cast("long")._jc))))
+
     def to_bytes(self, spark) -> bytes:
         if self._filter is None:
             return b""

@@ -402,20 +402,26 @@ def entity_kind_dictionary(spark, sf_dir):
 
 @registered("SELECT k AS key, c_name FROM (SELECT unnest(range(-200, 100)) AS k) JOIN customer ON c_custkey = k")
 def bloom_no_false_negative(spark, sf_dir):
-    """Keys that a segment's filters admit, joined exactly."""
+    """Keys that a filter over all customers admits, joined exactly with a segment; a filter that denies a customer is refused."""
     path = scratch_path(spark, "segment")
-    segments.write_segment(table(spark, sf_dir, "customer"), path, "c_custkey", unique=True)
-    keys = spark.range(-200, 100).withColumnRenamed("id", "key")
+    customers = table(spark, sf_dir, "customer")
+    f = MembershipFilter.build(customers, "c_custkey")
+    denied = customers.where(~f.admits(spark, F.col("c_custkey"))).count()
+    if denied:
+        raise ValueError(f"the filter denies {denied} of its keys")
+    segments.write_segment(customers, path, "c_custkey", unique=True)
+    keys = spark.range(-200, 100).withColumnRenamed("id", "key").where(f.admits(spark, F.col("key")))
     return keys.join(segments.read_segment(spark, path), F.col("key") == F.col("c_custkey")).select("key", "c_name")
 
 
 @registered()
 def bloom_fp_rate(spark, sf_dir):
-    """Share of 1000 absent keys that a filter over customers admits, and of 100 present ones (1)."""
-    f = MembershipFilter.build(table(spark, sf_dir, "customer"), "c_custkey")
-    absent = sum(f.might_contain(-k) for k in range(1, 1001))
-    present = sum(f.might_contain(k) for k in range(100))
-    return spark.range(1).select(F.lit(absent / 1000).alias("false_positive_rate"), F.lit(present / 100).alias("present_rate"))
+    """Share of 1000 absent keys that a filter over customers admits, and of all customers (1)."""
+    customers = table(spark, sf_dir, "customer")
+    f = MembershipFilter.build(customers, "c_custkey")
+    rate = lambda df, key: df.agg(F.coalesce(F.avg(f.admits(spark, F.col(key)).cast("double")), F.lit(1.0)).alias("rate"))
+    absent, present = rate(spark.range(-1000, 0), "id"), rate(customers, "c_custkey")
+    return absent.withColumnRenamed("rate", "false_positive_rate").crossJoin(present.withColumnRenamed("rate", "present_rate"))
 
 
 @registered(f"SELECT event_id, 'events' AS file_key, event_id // {ROWS} AS row_group, event_id % {ROWS} AS row_offset, 16::BIGINT AS n_bytes FROM events")

@@ -9,6 +9,7 @@ from siftstone import errors
 from siftstone.functions import codecs, kinds
 from siftstone.functions.membership import MembershipFilter, any_might_contain
 from siftstone.operators import inverted, prune, ranking
+from siftstone.plans import catalogue
 from siftstone.sources import footers, segments
 from siftstone.sources.storage import Storage, object_store_conf
 
@@ -72,6 +73,19 @@ def test_membership(spark):
     assert any_might_contain([numbers, f], 5) if numbers.might_contain(5) else False
 
 
+def test_filters_are_probed_for_every_customer(spark, sf, monkeypatch):
+    f = MembershipFilter.build(spark.range(5000), "id")
+    got = spark.range(-1000, 5000).select("id", f.admits(spark, F.col("id")).alias("a")).collect()
+    assert all(r.a == f.might_contain(r.id) for r in got) and all(r.a for r in got if r.id >= 0)
+    assert spark.range(3).where(MembershipFilter().admits(spark, F.col("id"))).count() == 3
+    # a filter that lacks the customers from 100 on
+    build = MembershipFilter.build
+    monkeypatch.setattr(MembershipFilter, "build", classmethod(lambda cls, df, column: build(df.where(f"{column} < 100"), column)))
+    assert catalogue.QUERIES["bloom_fp_rate"](spark, sf).first().present_rate < 1
+    with pytest.raises(ValueError, match="denies"):
+        catalogue.QUERIES["bloom_no_false_negative"](spark, sf)
+
+
 @pytest.mark.parametrize(
     ("encode", "decode", "value", "size"),
     [
