@@ -218,12 +218,21 @@ def secondary_counts(spark, sf_dir):
     return inverted.counts(_lineitem_index(spark, sf_dir))
 
 
-@registered("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)")
-def secondary_lookup_multi(spark, sf_dir):
+def _orders_of(spark, sf_dir, customers: DataFrame) -> DataFrame:
     orders = located(spark, sf_dir, "orders", "o_orderkey")
     index = inverted.build_secondary(orders, "o_custkey", F.lit("orders"), F.col("row_group"), F.col("row_offset"))
-    keys = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("key"))
-    return inverted.fetch(orders, inverted.lookup_many(index, keys)).select("o_orderkey", "o_custkey", "o_totalprice")
+    return inverted.fetch(orders, inverted.lookup_many(index, customers.select(F.col("c_custkey").alias("key")))).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@registered("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)")
+def secondary_lookup_multi(spark, sf_dir):
+    return _orders_of(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 10 = 3"))
+
+
+@registered("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def secondary_lookup_all(spark, sf_dir):
+    """``secondary_lookup_multi``, whose SQL is fixed, for the keys of all customers."""
+    return _orders_of(spark, sf_dir, table(spark, sf_dir, "customer"))
 
 
 @registered("SELECT k AS key, c_name, c_mktsegment FROM (SELECT unnest(range(-3, 30)) AS k) LEFT JOIN customer ON c_custkey = k")

@@ -73,6 +73,13 @@ def test_membership(spark):
     assert any_might_contain([numbers, f], 5) if numbers.might_contain(5) else False
 
 
+def test_lookup_of_all_customers(spark, sf):
+    found = catalogue.QUERIES["secondary_lookup_all"](spark, sf)
+    orders, customers = (catalogue.table(spark, sf, t) for t in ("orders", "customer"))
+    assert found.count() == orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).count() > 0
+    assert {r[0] for r in found.selectExpr("o_custkey % 10").distinct().collect()} == set(range(10))
+
+
 def test_filters_are_probed_for_every_customer(spark, sf, monkeypatch):
     f = MembershipFilter.build(spark.range(5000), "id")
     got = spark.range(-1000, 5000).select("id", f.admits(spark, F.col("id")).alias("a")).collect()
