@@ -1,224 +1,177 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by a weighted finite-state grammar over clauses (``toxic_grammar``).
 
-Five transducers read the words of a clause and write classes: insult (with a weight), threat, target, negation and
-reported speech. Their composition scores a clause by how the classes meet: an insult counts its weight, more when it
-is aimed at a target, less under negation or in reported speech; a threat counts when it is aimed at a target. A
-document is scored by its matched clauses, against what a clean text of its length would match by accident.
+The grammar composes transducers for insults, threats, targets, negation and reported speech. A document is scored by
+its matched clauses alone: by what they add up to, by the strongest of them and by the number of matches.
 
-The insult transducer is a character trie, and so reads stems as well as words: its outputs are log-odds learned from
-labelled documents, a bounded sample of at most ``max_labelled`` of them (taken by hash of the id). The other
-transducers are fixed word lists. How clause scores make a probability is fitted on the same rows. Only the text is
-read for a score.
+The insult transducer's entries are log-odds learned from labelled documents, a bounded sample of at most
+``max_labelled`` rows (taken by hash of the id). An entry is a whole word, or a stem that many different words
+of toxic texts carry, and each is held to a test that allows for the number of words tried. How
+clause scores make a probability is fitted on the same rows. Only the text is read for a score.
 
 Defined cases: a null or empty text has no clauses and gets the score of a text without matches; texts of any length
 are read whole; repeated rows score alike; null labels and labels of unknown documents are left out of learning; with
-no labels of one kind the trie is empty and every score is the share of the other kind; an empty table gives an empty
-result; extra columns are kept, and ``score``, ``predicted`` and ``clauses`` replace columns of those names.
+no labels of one kind there are no entries and every score is the share of the other kind; an empty table gives an
+empty result; extra columns are kept, and ``score``, ``predicted`` and ``clauses`` replace columns of those names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from operator import eq
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm.toxic_grammar import STOP, WORD, Clause, Grammar
+from siftstone.session import scratch_path
+
 MAX_LABELLED = 20_000
 MAX_BROADCAST_LABELS = 100_000
-#: Stems that a task counts before it sends what it has.
-HELD_STEMS = 60_000
+#: Words that a task counts before it sends what it has.
+HELD_WORDS = 60_000
 THRESHOLD = 0.3
-#: Stems run from so many characters to so many; a word's end is a character of its own.
-STEM = (3, 12)
-END = "\x00"
-#: A stem is learned from so many toxic texts and occurrences in them, of which a text gives a few at most; at such
-#: log-odds a word; and at most so many stems are kept.
-LEAST_TEXTS, LEAST_SEEN, MOST_IN_TEXT, LEAST_ODDS, MAX_STEMS = 3, 5, 3, 1.5, 5_000
-#: Fixed word lists of the four closed classes, in English, German, French and Spanish.
-THREAT = frozenset("kill killing murder hurt beat smash destroy burn shoot stab hang töten umbringen schlagen vernichten tuer tuerai frapper détruire brûler matar golpear destruir quemar".split())
-TARGET = frozenset("you your yours yourself u ur they them their he him she her du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
-NEGATION = frozenset("not no never nor neither without isn't aren't wasn't don't doesn't didn't cannot can't won't nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans nunca jamás tampoco sin ni".split())
-REPORTED = frozenset("said says say saying told tells claimed claims reported reports quoted quotes wrote writes called sagte sagt schrieb behauptet dit disait affirme écrit dijo dice afirma escribió".split())
-#: Fixed factors of the composition: under negation, in reported speech, and next to a target.
-NEGATED, QUOTED, AIMED = 0.5, 0.6, 1.25
-#: Weight of a threat that is aimed at a target.
-AIMED_THREAT = 2.0
-_CLAUSE = re.compile(r"[.!?;:\n,()\"“”«»|]+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-FEATURES = 10
-
-
-class Clause(NamedTuple):
-    """A matched clause's score and the insult words in it."""
-
-    score: float
-    hits: int
-
-
-class Trie:
-    """The insult transducer: the weight of the most certain stem on a word's path, 0 if there is none."""
-
-    def __init__(self, stems: dict[str, float]):
-        self.states: list[dict[str, int]] = [{}]
-        self.outputs = [0.0]
-        for stem, weight in stems.items():
-            at = 0
-            for c in stem:
-                if c not in self.states[at]:
-                    self.states[at][c] = len(self.states)
-                    self.states.append({})
-                    self.outputs.append(0.0)
-                at = self.states[at][c]
-            self.outputs[at] = weight
-        self.memory: dict[str, float] = {}
-
-    def walk(self, word: str) -> float:
-        at, best = 0, 0.0
-        for c in f"{word}{END}":
-            at = self.states[at].get(c, -1)
-            if at < 0:
-                break
-            best = max(best, self.outputs[at])
-        return best
-
-    def weight(self, word: str) -> float:
-        found = self.memory.get(word)
-        if found is None:
-            if len(self.memory) > 100_000:
-                self.memory.clear()
-            found = self.memory[word] = self.walk(word)
-        return found
-
-
-def clauses(text: str, trie: Trie) -> tuple[list[Clause], int]:
-    """Matched clauses of a text and the number of its words."""
-    out, words = [], 0
-    weight = trie.weight
-    for part in _CLAUSE.split(text.lower()):
-        tokens = _WORD.findall(part)
-        words += len(tokens)
-        weights = [w for w in map(weight, tokens) if w]
-        if not weights and THREAT.isdisjoint(tokens):
-            continue
-        aimed = not TARGET.isdisjoint(tokens)
-        threat = aimed and not THREAT.isdisjoint(tokens)
-        if not weights and not threat:
-            continue
-        score = sum(weights) * (AIMED if aimed else 1.0) + AIMED_THREAT * threat
-        score *= (1.0 if NEGATION.isdisjoint(tokens) else NEGATED) * (1.0 if REPORTED.isdisjoint(tokens) else QUOTED)
-        out.append(Clause(score, len(weights)))
-    return out, words
-
-
-def features(text: str | None, trie: Trie) -> tuple[list[float], list[Clause]]:
-    """What the clauses of a text amount to, and the clauses."""
-    text = text or ""
-    found, words = clauses(text, trie)
-    total, hits = sum(c.score for c in found), sum(c.hits for c in found)
-    n = words + 1.0
-    strong = [c.score for c in found if c.score >= 4.0]
-    # machine-made texts: repeated words, tables, shouting
-    parts = text.split()
-    noise = [sum(map(eq, parts, parts[1:])), text.count("|"), text.count("!!")]
-    grammar = [min(total / n * 20.0, 6.0), math.log1p(total), math.log1p(hits), min(sum(strong) / n * 20.0, 6.0), math.log1p(len(strong)), math.log(n) / 5.0]
-    return [1.0, *grammar, *(min(1.0, 2.0 * k / (len(parts) + 1.0)) for k in noise)], found
+#: A stem has so many characters at least, and is carried by so many different words of toxic texts.
+STEM_CHARACTERS, STEM_WORDS = 3, 6
+#: An entry is in so many toxic texts at least, and has such log-odds.
+LEAST_TEXTS, LEAST_ODDS = 3, 2.0
+FEATURES = 4
 
 
-class Model(NamedTuple):
-    """Stems with their weights, and the coefficients over ``features``."""
+def features(found: list[Clause], tokens: int) -> list[float]:
+    """What the clauses of a text amount to."""
+    total = sum(c.score for c in found)
+    return [1.0, math.log1p(total), max((c.score for c in found), default=0.0) / 5.0, math.log1p(sum(c.hits for c in found))]
 
-    stems: dict[str, float]
-    coefficients: list[float]
 
+class Model(NamedTuple):
+    """Entries of the insult transducer with their weights, and the coefficients over ``features``."""
 
-def _stems_of(text: str | None) -> dict[str, int]:
-    """Occurrences of each stem in a text, up to ``MOST_IN_TEXT``."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out: Counter[str] = Counter()
-    for word, n in words.items():
-        n, word = min(n, MOST_IN_TEXT), word + END
-        for k in range(min(STEM[0], len(word)), min(STEM[1], len(word)) + 1):
-            out[word[:k]] += n
-    return {w: min(n, MOST_IN_TEXT) for w, n in out.items()}
+    entries: dict[str, float]
+    coefficients: list[float]
 
 
-def _stem_counts(labelled: DataFrame) -> DataFrame:
-    """(stem, toxic, clean, texts): occurrences in texts of both kinds, and toxic texts that have it; null has the words."""
+def _word_counts(labelled: DataFrame) -> DataFrame:
+    """(word, toxic, clean): texts of both kinds that have a word; the null word has all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str | None, list[int]] = {}
+        counts: tuple[Counter, Counter] = Counter(), Counter()
 
         def flushed() -> pa.RecordBatch:
-            columns = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0, 2))]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["stem", "toxic", "clean", "texts"])
+            words = list(counts[0].keys() | counts[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
+            for c in counts:
+                c.clear()
+            return out
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(None, [0, 0, 0])[toxic] += len(_WORD.findall((text or "").lower()))
-                for stem, n in _stems_of(text).items():
-                    c = counts.setdefault(stem, [0, 0, 0])
-                    c[toxic] += n
-                    c[2] += toxic
-                if len(counts) > HELD_STEMS:  # the sums go on after the shuffle
+                counts[toxic].update({None, *WORD.findall((text or "").lower())})
+                if len(counts[0]) + len(counts[1]) > HELD_WORDS:  # the sums go on after the shuffle
                     yield flushed()
         yield flushed()
 
-    return labelled.select("text", "toxic").mapInArrow(run, "stem string, toxic long, clean long, texts long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("texts").alias("texts"))
+    rows = labelled.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long")
+    return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
 
+def _evidence(t: Column, c: Column, toxic: int, clean: int) -> tuple[Column, Column]:
+    """Log-odds of t toxic and c clean texts, their lower end; and the log-likelihood ratio against chance."""
+    sure, share = F.greatest(t - F.sqrt(t), F.lit(0.5)), toxic / (toxic + clean)
+    odds = F.log(sure / toxic) - F.log((c + F.sqrt(c) + 0.5) / clean)
+    n = t + c
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * F.lit(p)))).otherwise(0.0)
+    return odds, part(t, share) + part(c, 1.0 - share)
 
-def learn_stems(labelled: DataFrame) -> dict[str, float]:
-    """Stems of insults by log-odds a word, shrunk to their certain part.
 
-    Every stem of every word is counted; a text counts a stem only a few times, so that a text which repeats a word
-    doesn't make it an insult. The table that comes to the driver is bounded by ``MAX_STEMS``.
+def learn_entries(labelled: DataFrame) -> dict[str, float]:
+    """Words and stems of insults, by log-odds of the texts that have them.
+
+    Every word of the sample is counted. A stem is judged without its commonest continuation: what is left must still
+    be many words and prove it. So neither a single word nor a longer stem makes stems of its own beginnings.
     """
-    # a stem that too few toxic texts have is of no use; the row of null has the words of both kinds
-    counted = _stem_counts(labelled).where(F.col("stem").isNull() | (F.col("texts") >= LEAST_TEXTS) & (F.col("t") >= LEAST_SEEN)).checkpoint()
-    totals = counted.where("stem is null").first()
-    if totals is None or not totals.t or not totals.c:
+    spark = labelled.sparkSession
+    path = scratch_path(spark, "words")
+    _word_counts(labelled).write.parquet(path)
+    counted = spark.read.parquet(path)
+    totals = counted.where("word is null").first()
+    if totals is None or not totals.toxic or not totals.clean:
         return {}
-    # the lower end of the log-odds: each count is moved by about one standard deviation
-    t, c = F.col("t") - F.sqrt("t"), F.col("c") + F.sqrt(F.col("c")) + F.lit(0.5)
-    odds = F.log(t / F.lit(float(totals.t))) - F.log(c / F.lit(float(totals.c)))
-    best = counted.where("stem is not null").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "stem").limit(MAX_STEMS)
-    return {r.stem: float(r.odds) for r in best.collect()}
+    words = counted.where("word is not null")
+    tried = math.log(max(2, words.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).count()))
+
+    def proven(df: DataFrame) -> DataFrame:
+        odds, ratio = _evidence(F.col("t").cast("double"), F.col("c").cast("double"), totals.toxic, totals.clean)
+        found = df.where(F.col("t") >= LEAST_TEXTS).withColumns({"odds": odds, "ratio": ratio})
+        return found.where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= tried + 2.0)).select("entry", "odds")
+
+    whole = proven(words.select(F.concat("word", F.lit(STOP)).alias("entry"), F.col("toxic").alias("t"), F.col("clean").alias("c")))
+    ended = F.concat("word", F.lit(STOP))
+    lengths = F.sequence(F.lit(STEM_CHARACTERS), F.length("word"))
+    heads = words.where(F.length("word") >= STEM_CHARACTERS).select("toxic", "clean", F.explode(F.transform(lengths, lambda k: F.struct(F.substring("word", F.lit(1), k).alias("entry"), F.substring(ended, k + 1, F.lit(1)).alias("next")))).alias("h"))
+    # a word's texts count once each, so the sums over a stem's words are of (word, text) pairs
+    by_next = heads.groupBy("h.entry", "h.next").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.count_if(F.col("toxic") > 0).alias("words"))
+    top = F.max(F.struct("t", "c", "words"))
+    rest = by_next.groupBy("entry").agg(*[(F.sum(k) - top[k]).alias(k) for k in ("t", "c", "words")])
+    stems = proven(rest.where(F.col("words") >= STEM_WORDS))
+    return {r.entry: float(r.odds) for r in whole.union(stems).collect()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic regression with a small ridge, by Newton steps."""
-    b = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 0.05)
-    ridge[0] = 1e-6
-    for _ in range(30):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * b)
-        b += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
+    """Logistic regression with a small ridge, by Newton steps.
+
+    More or stronger matches never lower a score: a feature whose coefficient would be negative is left out.
+    """
+    used = list(range(x.shape[1]))
+    while True:
+        part = x[:, used]
+        b, ridge = np.zeros(len(used)), np.full(len(used), 0.05)
+        ridge[0] = 1e-6
+        for _ in range(50):
+            p = 1.0 / (1.0 + np.exp(-np.clip(part @ b, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p) + 1e-9)[:, None]).T @ part + np.diag(ridge), part.T @ (y - p) - ridge * b)
+            b += np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-8:
+                break
+        least = 1 + int(np.argmin(b[1:])) if len(used) > 1 else 0
+        if not least or b[least] >= 0:
             break
-    return b.tolist()
+        del used[least]
+    out = np.zeros(x.shape[1])
+    out[used] = b
+    return out.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn from the rows of ``labels`` (doc_id, toxic) on at most ``max_labelled`` of the documents."""
-    chosen = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+def sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(text, toxic) of at most ``max_labelled`` rows, whatever ids repeat; copies of a text are one row."""
+    spark = docs.sparkSession
+    chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # the sample is bounded by its parameter, so documents needn't be shuffled to meet it
     chosen = F.broadcast(chosen) if max_labelled <= MAX_BROADCAST_LABELS else chosen
-    # copies of a text count once
-    labelled = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    stems = learn_stems(labelled)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    path = scratch_path(spark, "labelled")
+    # as many files as tasks are wanted: reading the texts is the work
+    texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    texts = spark.read.schema("text string, toxic int").parquet(path)
+    # an id may stand for many rows
+    if texts.count() > max_labelled:
+        cut = texts.select(F.xxhash64("text").alias("h")).orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+        texts = texts.where(F.xxhash64("text") <= cut)
+    return texts
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Learn from the rows of ``labels`` (doc_id, toxic) on at most ``max_labelled`` of the documents."""
+    labelled = sample(docs, labels, max_labelled)
+    entries = learn_entries(labelled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(stems)
+        grammar = Grammar(entries)
         for batch in batches:
-            rows = [features(t, trie)[0] for t in batch.column(0).to_pylist()]
+            rows = [features(*grammar.clauses(t or "")) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     table = labelled.mapInArrow(run, "x array<double>, toxic int").toArrow()
@@ -226,22 +179,21 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 0.5) / (len(y) + 1.0)
         return Model({}, [math.log(share / (1 - share)), *[0.0] * (FEATURES - 1)])
-    return Model(stems, _fit(np.array(table["x"].to_pylist()), y))
+    return Model(entries, _fit(np.array(table["x"].to_pylist()), y))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` and the number of matched ``clauses``."""
     docs = docs.drop("score", "predicted", "clauses")
+    text_at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, b = Trie(model.stems), np.array(model.coefficients)
+        grammar, b = Grammar(model.entries), np.array(model.coefficients)
         for batch in batches:
-            x, matched = [], []
-            for t in batch.column("text").to_pylist():
-                row, found = features(t, trie)
-                x.append(row)
-                matched.append(len(found))
-            p = 1.0 / (1.0 + np.exp(-np.clip(np.array(x).reshape(-1, FEATURES) @ b, -30, 30)))
+            found = [grammar.clauses(t or "") for t in batch.column(text_at).to_pylist()]
+            x = np.array([features(*f) for f in found]).reshape(-1, FEATURES)
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -30, 30)))
+            matched = [len(clauses) for clauses, _ in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(matched, pa.int32())], names=[*batch.schema.names, "score", "predicted", "clauses"])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "score double, predicted int, clauses int"]))
@@ -255,5 +207,6 @@ def is_held_out(doc_id: str = "doc_id"):
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model, learned from ``labels``, doesn't reject."""
     model = train(docs, labels.where(~is_held_out()))
-    kept = docs.withColumns({f"_kept_{c}": F.col(c) for c in docs.columns if c in ("score", "predicted", "clauses")})
-    return score(kept, model, threshold).where("predicted = 0").select(*[F.col(f"_kept_{c}" if c in ("score", "predicted", "clauses") else c).alias(c) for c in docs.columns])
+    # all columns travel as one, so that none can clash with what ``score`` adds
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    return score(rows, model, threshold).where("predicted = 0").select("row.*")

@@ -1,11 +1,10 @@
-"""WARC, URL filters, toxicity, HTML extraction, embedding near-dedup, pipeline."""
+"""WARC, URL filters, HTML extraction, embedding near-dedup, pipeline."""
 
 import gzip
 import hashlib
 import math
 import os
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -119,71 +118,6 @@ def test_url_verdicts(spark, pages):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
-# toxicity
-
-
-def toxic_corpus(n=600, seed=5):
-    rng = random.Random(seed)
-    stems, plain = ["vrilk", "zondu"], [f"{a}{b}" for a in ("the", "ona", "rit", "lum", "sev", "kam") for b in ("", "en", "or", "ist", "al", "um")]
-    rows, labels = [], []
-    for k in range(n):
-        w = [rng.choice(plain) for _ in range(rng.randrange(20, 200))]
-        bad = k % 6 == 0
-        if bad:
-            for _ in range(max(2, len(w) // 40)):
-                w[rng.randrange(len(w))] = rng.choice(["Moronic", "blarghead", rng.choice(stems) + rng.choice(plain)])
-        rows.append((k, ". ".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))))
-        labels.append((k, int(bad)))
-    return rows, labels
-
-
-def test_toxicity_learns_words_and_stems(spark, docs):
-    rows, labels = toxic_corpus()
-    d, held = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("kept"), "clauses": F.lit(9)}), {k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2}
-    lab = spark.createDataFrame([*labels, (None, 1), (3, None), (999_999, 1)], "doc_id long, toxic int")
-    assert {r.doc_id for r in d.where(toxicity.is_held_out()).collect()} == held
-    model = toxicity.train(d, lab.where(~toxicity.is_held_out()))
-    trie = toxicity.Trie(model.stems)
-    assert trie.weight("blarghead") > 2 and trie.weight("vrilkanything") > 2 and trie.weight("theor") == 0
-    scored = {r.doc_id: r for r in toxicity.score(d, model).collect()}
-    right = [scored[k].predicted == y for k, y in labels if k in held]
-    assert sum(right) / len(right) > 0.97 and all(0 <= r.score <= 1 and math.isfinite(r.score) for r in scored.values())
-    clean = toxicity.drop_toxic(d, lab)
-    assert clean.columns == d.columns and dict(clean.dtypes) == dict(d.dtypes)
-    assert abs(clean.count() - sum(1 - y for _, y in labels)) < 15
-
-
-def test_toxicity_of_awkward_documents(spark, docs, no_docs):
-    labels = spark.createDataFrame([], "doc_id long, toxic int")
-    for lab in (labels, spark.createDataFrame([(3, 1), (4, 1)], "doc_id long, toxic int"), spark.createDataFrame([(3, 1), (7, 0), (8, 0)], "doc_id long, toxic int")):
-        model = toxicity.train(docs, lab)
-        got = toxicity.score(docs, model).collect()
-        assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
-        assert toxicity.score(no_docs, model).count() == 0
-    assert toxicity.train(no_docs, labels).stems == {}
-
-
-def test_grammar_scores_clauses():
-    trie = toxicity.Trie({"idiot": 5.0, "fool\x00": 3.0})
-    one = lambda t: sum(c.score for c in toxicity.clauses(t, trie)[0])
-    assert one("such an idiot") == 5.0 and one("IDIOTIC plan") == 5.0 and one("a foolish fool") == 3.0
-    assert one("you idiot") > one("an idiot") > one("he said an idiot") and one("an idiot") > one("not an idiot") > 0
-    assert one("i will kill you") > 0 and one("they kill time") > 0 and one("to kill time") == 0
-    assert one("not now. an idiot") == 5.0  # negation stays in its clause
-    assert one("") == 0 and toxicity.clauses("a b, c", trie)[1] == 3
-
-
-def test_toxicity_on_labelled_documents(spark, sf):
-    d = "/root/testdata/sf0.1"
-    if not os.path.isdir(d):
-        pytest.skip("no labelled documents")
-    got = QUERIES["op7_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
-    y, s = got.toxic.to_numpy(), got.score.to_numpy()
-    rank = s.argsort().argsort()
-    auc = (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
-    assert auc > 0.96 and (got.predicted & y).sum() / y.sum() > 0.9 and (got.predicted & y).sum() / got.predicted.sum() > 0.9
-
-
 # HTML
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body class="page">
