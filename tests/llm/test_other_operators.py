@@ -175,7 +175,10 @@ def test_differencing_pairs_nearest_paths(spark, docs):
     page = lambda body: f"<body><p>Welcome to the site</p>{body}<p>All rights kept</p></body>"
     rows = [(k, f"http://h.com/news/{k:03d}", page(f"<p>Story {k}</p>")) for k in range(40)]
     rows += [(100, "http://other.com/a", page("<p>alone</p>")), (101, "http://h.com/news/000", page("<p>Story 0</p>")), (102, None, page("<p>x</p>")), (103, "http://h.com/shop/1", "<p>Shop one</p><p>Buy</p>"), (104, "http://h.com/shop/2", "<p>Shop two</p><p>Buy</p>"), (105, "http://h.com/z", "<article><p>Buy</p></article><p>Buy</p>"), (None, "http://h.com/news/001", None)]
-    got = {(r.page_id, r.url): (r.text, r.n_chars, r.html2) for r in html_text.extract(spark.createDataFrame(rows, PAGES).withColumns({"html2": F.lit("k"), "text": F.lit(1), "host": F.lit(2)}).repartition(5)).collect()}
+    frame = spark.createDataFrame(rows, PAGES).withColumns({"html2": F.lit("k"), "Text": F.lit(1), **{c: F.lit(2) for c in ("host", "path", "place", "row", "lines", "plain", "same", "neighbour", "_host", "_neighbour", "a.b")}})
+    done = html_text.extract(frame.repartition(5))
+    assert done.columns == [*(c for c in frame.columns if c not in ("html", "Text")), "text", "n_chars"]
+    got = {(r.page_id, r.url): (r.text, r.n_chars, r.html2) for r in done.collect()}
     assert len(got) == len(rows)
     for k in range(40):
         assert got[(k, f"http://h.com/news/{k:03d}")] == (f"Story {k}", len(f"Story {k}"), "k")
@@ -200,6 +203,24 @@ def test_differencing_within_a_path_and_without_urls(spark, docs):
     assert got[3001] == got[3002] == "Welcome to the site Same All rights kept"
 
 
+def test_differencing_decides_what_is_unmarked(spark, docs, monkeypatch):
+    page = lambda k: f"<body><p>Shop of things</p><h1>Title {k}</h1><article><p>Story {k}</p><p>Licence</p></article><p>Imprint</p></body>"
+    frame = spark.createDataFrame([(k, f"http://h.com/{k}", page(k)) for k in range(20)], PAGES)
+    assert {r.page_id: r.text for r in html_text.extract(frame).collect()} == {k: f"Title {k} Story {k} Licence" for k in range(20)}
+    # without pairs nothing shows which unmarked lines are the page's own
+    monkeypatch.setattr(html_text, "_paired", lambda pages: pages.select("host", "path", "same", F.col("plain").alias("neighbour")).limit(0))
+    assert {r.page_id: r.text for r in html_text.extract(frame).collect()} == {k: f"Story {k} Licence" for k in range(20)}
+
+
+def test_long_urls_and_repeated_pages(spark, docs):
+    rows = [(k, "http://h.com/" + "p" * 40_000 + f"/{k % 60}", f"<p>Top</p><p>Own {k % 60}</p>") for k in range(100)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got == {k: f"Own {k % 60}" for k in range(100)}
+    pairs = [("", ""), ("abc", "abd"), ("漢字x", "漢字y"), ("same", "same"), ("a", "abc"), ("x", "y"), ("k" * 70_000 + "a", "k" * 70_000 + "b")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(html_text.shared_length(F.col("a"), F.col("b"))).collect()]
+    assert got == [len(os.path.commonprefix(p)) for p in pairs]
+
+
 # embeddings
 
 
