@@ -8,6 +8,7 @@ chunk then works its texts again with the answers. The texts are shuffled once;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -15,17 +16,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftstone.llm.kernels import pack_sorted, unpack_sorted
 
-#: Bytes of text in a chunk, and keys in a block; each is what one Python call holds, and a worker needs about 40 times
-#: the bytes of a chunk. Chunks send to every block, so sessions with large executors and some TB of text should raise
-#: both by the settings below.
+#: Least bytes of text in a chunk, and least keys in a block; each is what one Python call holds, and a worker needs about
+#: 40 times the bytes of a chunk. Sessions may set them; both grow with the root of the input, see ``shape``.
 CHUNK_BYTES = 4 << 20
 BLOCK_KEYS = 1_000_000
 CHUNK_SETTING, BLOCK_SETTING = "siftstone.chunkBytes", "siftstone.blockKeys"
 #: Bytes of text for each key, about a word with its space; used only to size blocks.
 BYTES_PER_KEY = 6
+#: Keys that a chunk sends to a block, on average, at least.
+MESSAGE_KEYS = 128
+#: Tables of heavy groups of equal rows up to here are broadcast; larger ones are joined.
+MAX_BROADCAST_GROUPS = 100_000
+#: Equal rows that may go to one chunk whatever their size.
+EQUAL_ROWS = 4096
 CHUNK = "_chunk"
 
 
@@ -36,18 +43,44 @@ class Keys(NamedTuple):
     counts: np.ndarray
 
 
+def shape(total: int, least: int, chunk_bytes: int = CHUNK_BYTES, block_keys: int = BLOCK_KEYS) -> tuple[int, int]:
+    """Chunks and blocks for ``total`` bytes of text: at least ``least`` of both, unless blocks would be tiny.
+
+    Every chunk sends to every block, so a message has (keys in a chunk) * (keys in a block) / (all keys) keys. To hold
+    that at ``MESSAGE_KEYS``, chunks and blocks both grow with the root of the input once it is above some 30 GB.
+    """
+    grown = math.isqrt(MESSAGE_KEYS * total // BYTES_PER_KEY)
+    chunk_bytes, block_keys = max(chunk_bytes, grown * BYTES_PER_KEY), max(block_keys, grown)
+    chunks = max(least, -(-total // chunk_bytes))
+    blocks = max(1, -(-total // (BYTES_PER_KEY * block_keys)), least if total >= least << 16 else 1)
+    return int(chunks), int(blocks)
+
+
 def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with a chunk number, and the number of blocks for their keys.
+    """``docs`` (doc_id, text, ...) with a chunk number, and the number of blocks for their keys.
 
-    Both numbers follow the bytes of all texts; small inputs get as many chunks as there are shuffle partitions.
+    Rows go to chunks by a hash of id and text. Rows that are equal in both, and together more than a chunk, are spread
+    by their position in the input, which must then be the same each time it is read, as a table's is.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # equal rows are grouped before the shuffle, so this pass sends a few numbers a row
+    same = docs.groupBy(F.xxhash64("doc_id", "text").alias("_same")).agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunk_bytes, block_keys = int(spark.conf.get(CHUNK_SETTING, str(CHUNK_BYTES))), int(spark.conf.get(BLOCK_SETTING, str(BLOCK_KEYS)))
-    chunks = max(least, -(-total // chunk_bytes))
-    blocks = max(1, -(-total // (BYTES_PER_KEY * block_keys)), least if total >= least << 16 else 1)
-    return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), int(blocks)
+    sizes = int(spark.conf.get(CHUNK_SETTING, str(CHUNK_BYTES))), int(spark.conf.get(BLOCK_SETTING, str(BLOCK_KEYS)))
+    found = same.agg(F.sum("_bytes").alias("total"), F.sum("_n").alias("rows"), F.max(F.when(F.col("_n") > 1, F.struct("_bytes", "_n"))).alias("top")).first()
+    chunks, blocks = shape(found.total or 0, least, *sizes)
+    most_bytes, most_rows = max(sizes[0], (found.total or 0) // chunks), max(EQUAL_ROWS, (found.rows or 0) // chunks)
+    same_as = F.xxhash64("doc_id", "text")
+    at = F.pmod(same_as, F.lit(chunks))
+    heavy = same.where((F.col("_n") > 1) & ((F.col("_bytes") > most_bytes) | (F.col("_n") > most_rows)))
+    groups = heavy.select("_same", F.greatest(F.ceil(F.col("_bytes") / most_bytes), F.ceil(F.col("_n") / most_rows)).alias("_parts")).checkpoint() if found.top else None
+    many = groups.limit(MAX_BROADCAST_GROUPS + 1).count() if groups is not None else 0
+    if many:
+        turned = docs.withColumns({"_at": F.monotonically_increasing_id(), "_key": same_as})
+        joined = turned.join(F.broadcast(groups) if many <= MAX_BROADCAST_GROUPS else groups, F.col("_key") == F.col("_same"), "left")
+        spread = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_key", F.col("_at") % F.col("_parts")), F.lit(chunks))).otherwise(at)
+        return joined.select(*docs.columns, spread.cast("int").alias(CHUNK)), blocks
+    return docs.withColumn(CHUNK, at.cast("int")), blocks
 
 
 def _edges(blocks: int) -> np.ndarray:
@@ -55,7 +88,7 @@ def _edges(blocks: int) -> np.ndarray:
 
 
 def count_shared(
-    chunked: DataFrame, blocks: int, keys_of: Callable[[pa.Table], Keys], finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: str
+    chunked: DataFrame, blocks: int, keys_of: Callable[[pa.Table], Keys], finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType | str
 ) -> DataFrame:
     """Rows of ``finish(texts, totals)`` for each chunk; totals[i] belongs to keys_of(texts).keys[i].
 

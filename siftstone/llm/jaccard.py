@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.llm.columns import as_row, row_columns
 from siftstone.llm.components import connected_components
 from siftstone.llm.exchange import Keys, count_shared, dealt
 from siftstone.llm.kernels import Words, mix
@@ -221,8 +222,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """The rows of ``docs`` that have no partner, or the smallest id of their group; rows without id stay."""
-    gone = groups(docs, shingle, share).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = groups(docs, shingle, share).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*row_columns(docs))
 
 
 def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -236,14 +238,14 @@ def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
     base, label = _labelled(docs, shingle, share, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")), hashed=True)
     member = label.join(label.groupBy("component").agg(F.min("least").alias("first")), "component").select("s1", "s2", "first")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    judged = base.where("s1 is not null").join(member, ["s1", "s2"]).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), is_first.alias("_first"))
+    judged = base.where("s1 is not null").join(member, ["s1", "s2"]).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), is_first.alias("stays"))
     path = scratch_path(spark, "judged")
     # rows that go, and those of which one stays
-    judged.groupBy("_doc", "_text").agg(F.max("_first").alias("_first"), F.count("*").alias("_n")).where("not _first or _n > 1").drop("_n").write.partitionBy("_first").parquet(path)
-    found = spark.read.schema("_doc long, _text long, _first boolean").parquet(path)
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": _text_hash()})
-    on = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text"))
-    repeated = marked.join(found.where("_first"), on, "left_semi")
-    comparable = [c for c, t in docs.dtypes if "map<" not in t]
-    one = repeated.groupBy("_id", "_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*comparable)).alias("_row")).select("_row.*")
-    return marked.join(found, on, "left_anti").select(*docs.columns).union(one)
+    judged.groupBy("id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").drop("n").write.partitionBy("stays").parquet(path)
+    found = spark.read.schema("id long, hash long, stays boolean").parquet(path).alias("found")
+    marked = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash")).alias("marked")
+    on = F.col("marked.id").eqNullSafe(F.col("found.id")) & (F.col("marked.hash") == F.col("found.hash"))
+    repeated = marked.join(found.where("stays"), on, "left_semi")
+    comparable = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = repeated.groupBy("id", "hash").agg(F.min_by("row", F.xxhash64(*comparable)).alias("row")).select("row")
+    return marked.join(found, on, "left_anti").select("row").union(one).select(*row_columns(docs))

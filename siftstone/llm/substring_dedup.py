@@ -9,8 +9,8 @@ Windows are compared by 64-bit hashes: two different windows meet with a chance
 
 Defined cases: a null or empty text has no words and an empty kept text; a text with fewer words than a window stays
 whole; kept words are joined by one space; repeated rows are documents of their own and so lose their long windows;
-null ids are kept; an empty table gives an empty result; extra columns are kept, and the columns in ``ADDED`` replace
-columns of those names.
+null ids are kept; an empty table gives an empty result; extra columns of any name are kept, and the columns in
+``ADDED`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftstone.llm.exchange import CHUNK, Keys, count_shared, dealt
+from siftstone.llm.columns import as_row, others
+from siftstone.llm.exchange import Keys, count_shared, dealt
 from siftstone.llm.kernels import Words
 
 WINDOW = 35
@@ -30,8 +33,9 @@ ADDED = {"n_words": "long", "n_removed": "long", "removed": "array<struct<first:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``removed`` (intervals of word positions) and ``kept_text``."""
-    docs = docs.drop(*ADDED)
-    chunked, blocks = dealt(docs)
+    rest = [*ADDED, "text"]
+    given = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), as_row(docs, rest).alias("row"))
+    chunked, blocks = dealt(given)
 
     def keys_of(table: pa.Table) -> Keys:
         keys, _ = Words(table["text"]).windows(window)
@@ -63,12 +67,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         head, tail = np.flatnonzero(heads), np.flatnonzero(tails)
         base = words.of[np.searchsorted(words.of, head, "right") - 1] if len(head) else head
         spans = pa.StructArray.from_arrays([pa.array(head - base, pa.int64()), pa.array(tail + 1 - base, pa.int64())], names=["first", "end"])
-        columns = {n: table[n] for n in table.column_names if n != CHUNK}
+        columns = {"row": table["row"], "text": table["text"]}
         columns["n_words"] = pa.array(np.diff(words.of), pa.int64())
         columns["n_removed"] = pa.array(removed, pa.int64())
         columns["removed"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(head, words.of), pa.int32()), spans)
         columns["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
         return pa.table(columns)
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), *(f"{n} {t}" for n, t in ADDED.items())])
-    return count_shared(chunked, blocks, keys_of, finish, schema)
+    added = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in ADDED.items()))
+    schema = T.StructType([given.schema["row"], given.schema["text"], *added.fields])
+    done = count_shared(chunked, blocks, keys_of, finish, schema)
+    kept = [F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in others(docs, ADDED)]
+    return done.select(*kept, *ADDED)

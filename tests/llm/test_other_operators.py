@@ -109,12 +109,14 @@ URLS = [None, "", "x", "http://", "http:///en/", "HTTP://WWW.Example.COM/en/7",
 
 
 def test_url_verdicts(spark, pages):
-    df = spark.createDataFrame([(k % 15, u) for k, u in enumerate(URLS * 2)], "page_id long, url string").withColumns({"path": F.lit(1), "rule": F.lit(2), "short": F.lit(3), "digest": F.lit(4)})
+    df = spark.createDataFrame([(k % 15, u) for k, u in enumerate(URLS * 2)], "page_id long, url string").withColumns({"path": F.lit(1), "Rule": F.lit(2), **{c: F.lit(4) for c in ("short", "digest", "_key", "_best", "key", "best", "judged", "row", "a.b")}})
     rules = [*url_filters.RULES, ("allow", "org/es/"), ("allow", "b.net/"), ("block", "www.example.com/en/7")]
     for rs in (url_filters.RULES, rules, []):
         got = url_filters.judge(df, rs)
-        assert set(got.columns) == {*df.columns, "host", "path", "rule", "verdict"}
+        assert set(got.columns) == {*df.columns, "host", "path", "rule", "verdict"} - {"Rule"}
         assert sorted(map(str, (tuple(r) for r in got.select("page_id", "url", "host", "path", "rule", "verdict").collect()))) == sorted(str((k % 15, u, *judge(u, rs))) for k, u in enumerate(URLS * 2))
+    as_table = url_filters.judge(df, spark.createDataFrame([*rules, (None, None)], "verdict string, rule string"))
+    assert sorted(map(str, as_table.collect())) == sorted(map(str, url_filters.judge(df, rules).collect()))
     assert url_filters.judge(df.limit(0)).count() == 0
 
 

@@ -13,15 +13,18 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftstone.llm import fingerprints, jaccard, kernels, mixing, packing, substring_dedup
+from siftstone.llm import exchange, fingerprints, jaccard, kernels, mixing, packing, substring_dedup
 from siftstone.llm.components import connected_components
 from siftstone.llm.queries import QUERIES, tokenizer_path
+from siftstone.session import scratch_path
 
 ADDED = {"size": "string", "target": "long", "rate": "string", "copies": "string", "removed": "long", "n_words": "string", "kept_text": "int", "_row": "string"}
+#: Names that operators use inside.
+INSIDE = ("_chunk", "_source", "_copy", "_same", "row", "key", "own", "hash", "id", "seed", "block", "chunk", "at", "_at", "_key", "stays", "tried", "copy", "_id", "_hash", "a.b", "gone")
 
 
 def clashing(df):
-    return df.withColumns({k: F.lit("1").cast(t) for k, t in ADDED.items()})
+    return df.withColumns({k: F.lit("1").cast(t) for k, t in ADDED.items()} | {k: F.lit(k) for k in INSIDE})
 
 
 # kernels
@@ -79,7 +82,8 @@ def test_repeats_against_brute_force(spark, docs, small):
         rows = [(r.doc_id, r.text) for r in df.collect()]
         expected = Counter((i, *x) for (i, _), x in zip(rows, ref.without_repeats([t for _, t in rows]), strict=True))
         got = substring_dedup.remove_repeats(clashing(df))
-        assert set(got.columns) == {*df.columns, *ADDED, "n_removed"}
+        assert set(got.columns) == {*df.columns, *ADDED, *INSIDE, "n_removed"}
+        assert {r[0] for r in got.select("`a.b`").distinct().collect()} == {"a.b"}
         assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == expected
         assert got.where("n_removed <> aggregate(removed, 0L, (a, x) -> a + x.end - x.first)").count() == 0
         assert got.where("exists(sequence(2, size(removed)), k -> size(removed) > 1 and element_at(removed, k).first <= element_at(removed, k - 1).end)").count() == 0
@@ -92,6 +96,31 @@ def test_repeats_other_window_and_empty(spark, docs, no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_equal_rows_are_spread_over_chunks(spark, docs, small, monkeypatch, doc_id):
+    monkeypatch.setattr(exchange, "EQUAL_ROWS", 50)
+    text = " ".join(f"r{k}" for k in range(40))
+    same = spark.range(600).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    df = same.union(small.select("doc_id", "text").where("doc_id <> 7").limit(60)).repartition(3)
+    path = scratch_path(spark, "rows")
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    chunked, _ = exchange.dealt(df)
+    assert chunked.where(F.col("text") == text).select(exchange.CHUNK).distinct().count() > 1
+    got = substring_dedup.remove_repeats(df).where(F.col("text") == text).select("n_removed").collect()
+    assert len(got) == 600 and {r[0] for r in got} == {40}
+    found = jaccard.groups(df).where("n_shingles = 36").collect()
+    assert sum(r.component_id == doc_id and r.doc_id == doc_id for r in found) == 600
+
+
+def test_chunks_and_blocks_keep_their_messages():
+    for total in (0, 1, 10**6, 10**9, 30 * 10**9, 10**12, 10**14):
+        chunks, blocks = exchange.shape(total, 8)
+        assert chunks >= 8 and blocks >= 1
+        if total >= 10**9:
+            assert total / exchange.BYTES_PER_KEY / chunks / blocks >= 0.9 * exchange.MESSAGE_KEYS
+
+
 # Jaccard
 
 
@@ -175,12 +204,23 @@ def test_mix(spark, docs, no_docs, small):
         assert r.size == len(ref.words(r.text)) and r.taken == r.size * r.copies and r.copies in (int(r.rate), int(r.rate) + 1) and r.copies <= 2
     again = mixing.plan(small).select("doc_id", "copies", "taken").collect()
     assert sorted(again) == sorted(mixing.plan(small.repartition(7)).select("doc_id", "copies", "taken").collect())
+    upper = clashing(docs.withColumnRenamed("text", "Text")).drop("size").withColumn("Size", F.lit("kept"))
+    assert {r[0] for r in mixing.mix(upper).select("Size").distinct().collect()} == {"kept"} and mixing.mix(upper).columns == upper.columns
     mixed = mixing.mix(clashing(docs))
     assert mixed.columns == clashing(docs).columns and mixed.count() == sum(r.copies for r in planned)
     assert dict(mixed.dtypes) == dict(clashing(docs).dtypes)
     assert mixing.plan(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_small_sources_come_near_their_targets(spark, docs):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 12).cast("string")).alias("source"), F.repeat(F.lit("w "), (5 + F.col("id") * F.col("id") % 97).cast("int")).alias("text"))
+    for r in mixing.plan(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.03)
+    # rows without id throw coins by their texts
+    plan = mixing.plan(df.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.col("doc_id").isNull().cast("string"), "source")))
+    assert plan.count() == 600
+
+
 def test_mix_meets_its_targets(spark):
     big = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"))
     for r in mixing.plan(big).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
