@@ -6,7 +6,6 @@ same as the run of code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -153,14 +152,3 @@ def pack_sorted(keys: np.ndarray) -> bytes:
 def unpack_sorted(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def batches(table: pa.Table, column: str, limit: int) -> Iterator[pa.Table]:
-    """Slices of a table whose texts hold about ``limit`` bytes, one row at least."""
-    sizes = np.diff(string_bytes(table[column])[1])
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, "right")))
-        yield table.slice(first, last - first)
-        first = last
