@@ -31,10 +31,10 @@ def open_layers(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def resolve(rows: DataFrame, key: str = "key") -> DataFrame:
-    """The newest row of each key, unless it is a deletion. Generations must be unique for a key."""
+    """The newest row of each key, unless it is a deletion (null isn't one). Generations must be unique for a key."""
     rest = [c for c in rows.columns if c not in (key, "generation")]
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("generation")).alias("_row"), F.max("generation").alias("generation"))
-    return newest.where(~F.col("_row.deleted")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest if c != "deleted"], "generation")
+    return newest.where(~F.coalesce(F.col("_row.deleted"), F.lit(False))).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest if c != "deleted"], "generation")
 
 
 def lookup(rows: DataFrame, value, key: str = "key") -> DataFrame:
@@ -66,6 +66,22 @@ def should_merge(manifest: DataFrame) -> DataFrame:
     return sizes.select(((F.col("n") > 0) & ((F.col("n") >= MAX_DELTA_COUNT) | (F.col("d") / F.greatest("b", F.lit(1)) >= MAX_DELTA_RATIO))).alias("should_merge"))
 
 
+def manifest_to_json(manifest: DataFrame) -> DataFrame:
+    """One row: ``json`` with the base and the deltas, oldest first; a manifest has one row for each layer, so it is small."""
+    ref = F.struct("generation", "path", "key_count", "size_bytes")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, ref)))
+    whole = manifest.agg(of("base").alias("base"), of("delta").alias("deltas"))
+    return whole.select(F.to_json(F.struct(F.lit(1).alias("version"), F.get("base", 0).alias("base"), "deltas")).alias("json"))
+
+
+def manifest_from_json(table: DataFrame, json: str = "json") -> DataFrame:
+    """The layer manifest in rows of JSON."""
+    ref = "struct<generation: bigint, path: string, key_count: bigint, size_bytes: bigint>"
+    parsed = table.select(F.from_json(json, f"version int, base {ref}, deltas array<{ref}>", {"mode": "FAILFAST"}).alias("m"))
+    layer = lambda kind, rows: parsed.select(F.explode(rows).alias("r")).where("r is not null").select("r.path", "r.generation", F.lit(kind).alias("kind"), "r.key_count", "r.size_bytes")
+    return layer("base", F.array("m.base")).union(layer("delta", F.col("m.deltas")))
+
+
 def all_paths(manifest: DataFrame) -> DataFrame:
     """Paths of all layers, the base first and then deltas by age."""
     return manifest.orderBy(F.col("kind") == "delta", "generation").select("path")

@@ -7,15 +7,21 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from siftstone.operators.ranking import with_position
-from siftstone.schemas import DEFAULT_KEYS_PER_PARTITION
+from siftstone.schemas import DEFAULT_KEYS_PER_PARTITION, PARTITION
 from siftstone.session import shared_dir
+from siftstone.sources.segments import no_rows, reader
+from siftstone.sources.storage import Storage
 
 #: Manifests up to so many partitions are routed by a list in the plan.
 MAX_LISTED_PARTITIONS = 10_000
+#: Manifests up to so many partitions are held on the driver by ``PartitionedIndex``.
+MAX_HELD_PARTITIONS = 1_000_000
+MANIFEST = "_partitions.json"
 
 
 def partition_count(total: int, per_partition: int = DEFAULT_KEYS_PER_PARTITION) -> int:
@@ -34,6 +40,69 @@ def manifest(split: DataFrame, key: str) -> DataFrame:
     return split.groupBy("idx").agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.count("*").alias("key_count"))
 
 
+def write_partitions(df: DataFrame, key: str, path: str, per_partition: int = DEFAULT_KEYS_PER_PARTITION) -> DataFrame:
+    """Write ``df`` as equal runs of keys, a folder each, and return the manifest (idx, min_key, max_key, path, key_count,
+    size_bytes), which is stored beside them as JSON for ``PartitionedIndex.open``."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split_equal(df, key, per_partition).repartition(n, "idx").sortWithinPartitions("idx", key).write.partitionBy("idx").parquet(path)
+    file = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+    files = spark.read.parquet(path).select("idx", key, *file).groupBy("idx", "file", "size").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"))
+    bounds = [F.min("lo").alias("min_key"), F.max("hi").alias("max_key")]
+    parts = files.groupBy(F.col("idx").cast("long").alias("idx")).agg(*bounds, F.sum("n").alias("key_count"), F.sum("size").alias("size_bytes"))
+    parts = parts.select("idx", "min_key", "max_key", F.concat(F.lit(f"{path}/idx="), F.col("idx").cast("string")).alias("path"), "key_count", "size_bytes")
+    Storage(spark, path).put(MANIFEST, (to_json(parts).first().json or "").encode())
+    return parts
+
+
+def total_size_bytes(parts: DataFrame) -> DataFrame:
+    """One row: ``size_bytes`` of all partitions, 0 without any."""
+    return parts.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("size_bytes"))
+
+
+def to_json(parts: DataFrame) -> DataFrame:
+    """One row: ``json`` with the partitions in order; keys are strings."""
+    entry = F.struct("idx", F.col("max_key").cast("string").alias("max_key"), "path", "key_count", "size_bytes")
+    whole = parts.agg(F.array_sort(F.collect_list(entry)).alias("partitions"))
+    return whole.select(F.to_json(F.struct(F.lit(1).alias("version"), "partitions")).alias("json"))
+
+
+def from_json(table: DataFrame, json: str = "json") -> DataFrame:
+    """The manifest (``schemas.PARTITION``) in rows of JSON."""
+    schema = StructType([StructField("version", IntegerType()), StructField("partitions", ArrayType(PARTITION))])
+    return table.select(F.inline(F.from_json(json, schema, {"mode": "FAILFAST"})["partitions"]))
+
+
+class PartitionedIndex:
+    """Written partitions, opened: the manifest is held on the driver, and a lookup reads one partition.
+
+    A manifest has a row for a million keys; of larger ones than ``MAX_HELD_PARTITIONS`` use ``route``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType | None = None):
+        self.spark, self.path, self.key = spark, path, key
+        text = Storage(spark, path).read_all(MANIFEST).decode()
+        self.manifest = from_json(spark.range(1).select(F.lit(text).alias("json")))
+        self.entries = self.manifest.orderBy("idx").limit(MAX_HELD_PARTITIONS + 1).collect()
+        if len(self.entries) > MAX_HELD_PARTITIONS:
+            raise ValueError(f"more than {MAX_HELD_PARTITIONS} partitions; route the keys instead")
+        self.max_keys = [e.max_key for e in self.entries]
+        self.table = reader(spark, schema).parquet(path)
+
+    def get(self, value: str) -> DataFrame:
+        """Rows of a key, from the only partition that may have it; none beyond the last partition."""
+        at = find_partition(self.max_keys, value)
+        if at is None:
+            return no_rows(self.spark, self.table.schema)
+        return self.table.where((F.col("idx") == self.entries[at].idx) & (F.col(self.key) == F.lit(value)))
+
+    def get_many(self, keys: DataFrame) -> DataFrame:
+        """Rows of all keys in the column ``key`` of ``keys``; each key is looked up in its partition."""
+        routed = route(keys.select("key").distinct(), self.manifest).where("idx is not null")
+        wanted = routed.select(F.col("idx").alias("wanted_idx"), F.col("key").alias("wanted_key"))
+        return self.table.join(wanted, (F.col("idx") == F.col("wanted_idx")) & (F.col(self.key) == F.col("wanted_key")), "left_semi")
+
+
 def sizing(parts: DataFrame) -> DataFrame:
     """One row: ``partitions``, ``total_keys``, ``avg_keys`` (whole; 0 without partitions)."""
     s = parts.agg(F.count("*").alias("partitions"), F.coalesce(F.sum("key_count"), F.lit(0)).cast("long").alias("total_keys"))
@@ -88,7 +157,3 @@ def find_partition(max_keys: Sequence[str], key: str) -> int | None:
     """Position of the first largest key that isn't below ``key``, for a manifest held on the driver."""
     at = bisect.bisect_left(max_keys, key)
     return at if at < len(max_keys) else None
-
-
-def in_partition(df: DataFrame, idx: int) -> Column:
-    return df["idx"] == idx

@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from siftstone.errors import is_corruption
 from siftstone.operators.stats import RangePredicate, query_overlap
-from siftstone.sources.segments import MICROS
+from siftstone.session import scratch_path
+from siftstone.sources.segments import MICROS, no_rows, reader
 
 MAX_HELD_ROWS = 1_000_000
 
@@ -51,14 +52,8 @@ def pruned_files(spark: SparkSession, manifest: DataFrame, predicates: Sequence[
             if not every:
                 raise ValueError("an empty manifest needs a schema")
             schema = spark.read.parquet(every[0][0]).schema
-        return _no_rows(spark, schema)
-    return residual((spark.read.schema(schema) if schema is not None else spark.read).parquet(*files), predicates)
-
-
-def _no_rows(spark: SparkSession, schema: StructType | str) -> DataFrame:
-    """An empty table that the optimizer knows to be empty, so that nothing is run for it."""
-    fields = schema.fields if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema.fields
-    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        return no_rows(spark, schema)
+    return residual(reader(spark, schema).parquet(*files), predicates)
 
 
 class HeldManifest:
@@ -86,22 +81,27 @@ class HeldManifest:
                 keep &= unknown | ((low <= p.high) & (high >= p.low)).to_numpy()
         return sorted(set(self.files[keep]))
 
-    def read(self, predicates: Sequence[RangePredicate]) -> DataFrame:
-        """Rows that match, from the candidate files only."""
-        files = self.candidates(predicates)
+    def read(self, predicates: Sequence[RangePredicate], files: Sequence[str] | None = None) -> DataFrame:
+        """Rows that match, from ``files`` or else the candidate files only."""
+        files = self.candidates(predicates) if files is None else files
         if not files:
-            return _no_rows(self.spark, self.schema)
+            return no_rows(self.spark, self.schema)
         kinds = {f.name: f.dataType for f in self.schema}
         typed = [RangePredicate(p.column, *(F.lit(x).cast(kinds[p.column]) for x in (p.low, p.high))) for p in predicates]
-        return residual(self.spark.read.schema(self.schema).parquet(*files), typed)
+        return residual(reader(self.spark, self.schema).parquet(*files), typed)
 
 
-def with_fallback(indexed: Callable[[], DataFrame], scan: Callable[[], DataFrame]) -> DataFrame:
-    """``indexed()``, or ``scan()`` of the base table when the index turns out to be damaged; other errors are raised."""
+def with_fallback(spark: SparkSession, indexed: Callable[[], DataFrame], scan: Callable[[], DataFrame]) -> DataFrame:
+    """``indexed()``, or ``scan()`` of the base table when the index turns out to be damaged; other errors are raised.
+
+    Damage may lie in any page, so the indexed rows are read once, in all their columns, into a table of the shared
+    folder; the result is that table.
+    """
+    path = scratch_path(spark, "found")
     try:
         df = indexed()
-        df.count()
-        return df
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     except Exception as e:
         if is_corruption(e):
             return scan()

@@ -1,22 +1,26 @@
 """Registered queries over the index engine, and their oracle SQL.
 
-A pruned query runs manifest, candidates, semi-join and the whole predicate; its oracle is the plain filter, so a match
-is a check that pruning loses nothing. Row groups are runs of 100 ids, because ids number the rows of their table.
+A pruned query takes candidate files from the indexes of a written copy, reads those alone and applies the whole
+predicate; its oracle is the plain filter, so a match is a check that pruning loses nothing. Row groups are runs of 100 ids, because ids number the rows of their table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import codecs, kinds
 from siftstone.functions.membership import MembershipFilter
-from siftstone.operators import graph, inverted, layers, partitioned, prune, ranking, stats
+from siftstone.operators import dataset, graph, inverted, layers, partitioned, prune, ranking, stats
+from siftstone.operators.dataset import Dataset
+from siftstone.operators.partitioned import PartitionedIndex
 from siftstone.operators.stats import RangePredicate
 from siftstone.schemas import ENTITY_KINDS, LAYER, REL_KINDS
-from siftstone.session import scratch_path, shared_dir, ship
+from siftstone.session import built, scratch_path, shared_dir, ship
 from siftstone.sources import footers, segments
 
 ROWS = 100
@@ -59,9 +63,28 @@ def events_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.build_manifest(located(spark, sf_dir), ["ts", "value", "user_id"], ["row_group"])
 
 
+#: Rows of a file of the indexed copy of events.
+FILE_ROWS, MAX_FILES = 1_000, 1_000
+
+
+def events_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Events as an indexed dataset, which is built by the first query of a session and opened once."""
+    held = built(spark)
+    if sf_dir not in held:
+        path = scratch_path(spark, "events")
+        events = table(spark, sf_dir, "events")
+        files = max(8, min(MAX_FILES, events.count() // FILE_ROWS))
+        dataset.build(events, path, "ts", ["user_id", "event_type"], options=segments.SegmentOptions(files=files))
+        held[sf_dir] = Dataset(spark, path)
+    return held[sf_dir]
+
+
+def between(bounds: tuple[str, str], column: str = "ts") -> RangePredicate:
+    return RangePredicate(column, *map(datetime.fromisoformat, bounds))
+
+
 def _range(spark: SparkSession, sf_dir: str, bounds: tuple[str, str]) -> DataFrame:
-    wanted = [RangePredicate("ts", *map(ntz, bounds))]
-    return prune.pruned_rows(located(spark, sf_dir), events_manifest(spark, sf_dir), wanted, ["row_group"]).select(*EVENT)
+    return events_dataset(spark, sf_dir).read([between(bounds)]).select(*EVENT)
 
 
 def _range_sql(bounds: tuple[str, str]) -> str:
@@ -83,28 +106,16 @@ def range_7d(spark, sf_dir):
     return _range(spark, sf_dir, WEEK)
 
 
-def _events_by(spark, sf_dir, key: str) -> DataFrame:
-    e = located(spark, sf_dir)
-    return inverted.build_secondary(e, key, F.lit("events"), F.col("row_group"), F.col("row_offset"))
-
-
 @registered(f"SELECT {_EVENT} FROM events WHERE ts BETWEEN TIMESTAMP '{WEEK[0]}' AND TIMESTAMP '{WEEK[1]}' AND user_id = 7 AND event_type <> 'error'")
 def combined_time_user(spark, sf_dir):
-    """A selective key and a range: the key's locations within the range's row groups, then the rows."""
-    wanted = [RangePredicate("ts", *map(ntz, WEEK))]
-    groups = stats.query_overlap(events_manifest(spark, sf_dir), wanted)
-    found = prune.intersect(inverted.lookup(_events_by(spark, sf_dir, "user_id"), 7), groups, ["row_group"])
-    rows = prune.residual(inverted.fetch(located(spark, sf_dir), found), wanted)
-    return rows.where("user_id = 7 and event_type <> 'error'").select(*EVENT)
+    """A selective key and a range: the files that the key's index and the manifest both name, then the whole predicate."""
+    return events_dataset(spark, sf_dir).read([between(WEEK)], {"user_id": 7}).where("event_type <> 'error'").select(*EVENT)
 
 
 @registered(f"SELECT {_EVENT} FROM events WHERE ts BETWEEN TIMESTAMP '{DAY[0]}' AND TIMESTAMP '{DAY[1]}' AND event_type = 'click'")
 def combined_time_category(spark, sf_dir):
     """The flagship: category index and time range intersected, then the rows with the whole predicate."""
-    wanted = [RangePredicate("ts", *map(ntz, DAY))]
-    groups = stats.query_overlap(events_manifest(spark, sf_dir), wanted)
-    found = prune.intersect(inverted.lookup(_events_by(spark, sf_dir, "event_type"), "click"), groups, ["row_group"])
-    return prune.residual(inverted.fetch(located(spark, sf_dir), found), wanted).where("event_type = 'click'").select(*EVENT)
+    return events_dataset(spark, sf_dir).read([between(DAY)], {"event_type": "click"}).select(*EVENT)
 
 
 @registered(f"SELECT {_EVENT} FROM events WHERE value > 50")
@@ -112,19 +123,24 @@ def uniform_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").where("value > 50").select(*EVENT)
 
 
-def _point(spark, sf_dir, user: int) -> DataFrame:
-    found = inverted.lookup(_events_by(spark, sf_dir, "user_id"), user)
-    return inverted.fetch(located(spark, sf_dir), found).where(F.col("user_id") == user).select(*EVENT)
-
-
 @registered(f"SELECT {_EVENT} FROM events WHERE user_id = 7")
 def point_lookup_hit(spark, sf_dir):
-    return _point(spark, sf_dir, 7)
+    return events_dataset(spark, sf_dir).read(equal={"user_id": 7}).select(*EVENT)
 
 
 @registered(f"SELECT {_EVENT} FROM events WHERE user_id = -1")
 def point_lookup_miss(spark, sf_dir):
-    return _point(spark, sf_dir, -1)
+    """An absent key, which the index's filter denies, so that nothing is read."""
+    return events_dataset(spark, sf_dir).read(equal={"user_id": -1}).select(*EVENT)
+
+
+@registered(f"SELECT {_EVENT} FROM events WHERE user_id = 7")
+def point_lookup_locations(spark, sf_dir):
+    """The rows of a key by their locations: file, row group and offset from the footers of the written copy."""
+    copy = segments.read_segment(spark, f"{events_dataset(spark, sf_dir).path}/data")
+    located = footers.row_locations(copy, footers.footer_stats(copy))
+    index = inverted.build_secondary(located, "user_id", F.col("file_key"), F.col("row_group"), F.col("row_offset"))
+    return inverted.fetch(located, inverted.lookup(index, 7)).select(*EVENT)
 
 
 _MANIFEST = f"SELECT event_id // {ROWS} AS row_group, count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts, count(*) FILTER (WHERE ts IS NULL) AS nulls_ts, min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE value IS NULL) AS nulls_value, min(user_id) AS min_user_id, max(user_id) AS max_user_id, count(*) FILTER (WHERE user_id IS NULL) AS nulls_user_id FROM events GROUP BY 1"
@@ -215,12 +231,21 @@ def secondary_index_lineitem(spark, sf_dir):
 
 @registered("SELECT count(DISTINCT l_partkey) AS keys, count(*) AS locations FROM lineitem")
 def secondary_counts(spark, sf_dir):
-    return inverted.counts(_lineitem_index(spark, sf_dir))
+    rows = table(spark, sf_dir, "lineitem")
+    return inverted.location_counts(inverted.locations_of(rows, "l_partkey", F.lit("orders"), F.expr(f"l_orderkey div {ROWS}"), F.expr(f"l_orderkey % {ROWS}")))
+
+
+@registered("SELECT count(DISTINCT l_partkey) AS keys, count(*) AS locations FROM lineitem")
+def secondary_written(spark, sf_dir):
+    """The counts of an index that is written as a segment and read again."""
+    path = scratch_path(spark, "index")
+    inverted.write_secondary(_lineitem_index(spark, sf_dir), path)
+    return inverted.counts(segments.read_segment(spark, path))
 
 
 def _orders_of(spark, sf_dir, customers: DataFrame) -> DataFrame:
-    orders = located(spark, sf_dir, "orders", "o_orderkey")
-    index = inverted.build_secondary(orders, "o_custkey", F.lit("orders"), F.col("row_group"), F.col("row_offset"))
+    orders = located(spark, sf_dir, "orders", "o_orderkey").withColumn("file_key", F.lit("orders"))
+    index = inverted.build_secondary(orders, "o_custkey", F.col("file_key"), F.col("row_group"), F.col("row_offset"))
     return inverted.fetch(orders, inverted.lookup_many(index, customers.select(F.col("c_custkey").alias("key")))).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
@@ -257,11 +282,23 @@ def ordered_scan(spark, sf_dir):
     return ranking.with_position(table(spark, sf_dir, "customer").select("c_name", "c_custkey"), "c_name", "c_custkey")
 
 
-@registered("SELECT 0::BIGINT AS generation, count(*) AS key_count, min(c_name) AS min_key, max(c_name) AS max_key FROM customer")
+@registered("SELECT 0::BIGINT AS generation, count(*) AS key_count, min(c_name) AS min_key, max(c_name) AS max_key, true AS size_is_exact FROM customer")
 def segment_meta(spark, sf_dir):
+    """A written segment's metadata, whose size is held against the lengths of its files."""
     path = scratch_path(spark, "segment")
     meta = segments.write_segment(table(spark, sf_dir, "customer"), path, "c_name", unique=True)
-    return meta.select("generation", "key_count", "min_key", "max_key")
+    files = spark.read.format("binaryFile").load(f"{path}/*.parquet").agg(F.sum("length")).first()[0]
+    return meta.select("generation", "key_count", "min_key", "max_key", (F.col("size_bytes") == files).alias("size_is_exact"))
+
+
+@registered("SELECT k AS key, c_name FROM (SELECT unnest(range(-5, 12)) AS k) JOIN customer ON c_custkey = k")
+def segment_filter_get(spark, sf_dir):
+    """Single lookups in an opened segment, whose stored filter denies absent keys before anything is read."""
+    path = scratch_path(spark, "segment")
+    segments.write_segment(table(spark, sf_dir, "customer"), path, "c_custkey", segments.SegmentOptions(stored=True), unique=True)
+    opened = segments.Segment(spark, path)
+    found = [opened.get(k).select(F.col("c_custkey").alias("key"), "c_name") for k in range(-5, 12)]
+    return reduce(DataFrame.union, found)
 
 
 @registered("SELECT c_name, c_custkey FROM customer WHERE c_name = (SELECT max(c_name) FROM customer) OR c_name = (SELECT min(c_name) FROM customer)")
@@ -331,9 +368,26 @@ def should_merge(spark, sf_dir):
     return layers.should_merge(_layer_manifest(spark, sf_dir))
 
 
-@registered(f"WITH m AS ({_LAYER_MANIFEST}) SELECT 'layers/' || generation AS path FROM m")
+@registered(f"WITH m AS ({_LAYER_MANIFEST}) SELECT 'layers/' || generation AS path, row_number() OVER (ORDER BY generation) - 1 AS place FROM m")
 def layer_paths(spark, sf_dir):
-    return layers.all_paths(_layer_manifest(spark, sf_dir))
+    """The base first, then deltas by age; the order is part of the result."""
+    paths = [r.path for r in layers.all_paths(_layer_manifest(spark, sf_dir)).collect()]
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, paths))).alias("place", "path")).select("path", F.col("place").cast("long").alias("place"))
+
+
+@registered(f"WITH m AS ({_LAYER_MANIFEST}) SELECT 'layers/' || generation AS path, generation, kind, key_count, size_bytes FROM m")
+def layer_manifest_json(spark, sf_dir):
+    """The layer manifest written as JSON and read again."""
+    return layers.manifest_from_json(layers.manifest_to_json(_layer_manifest(spark, sf_dir)))
+
+
+@registered(_LAYERS + "SELECT key, generation, event_id, value FROM newest WHERE NOT deleted")
+def layers_opened(spark, sf_dir):
+    """Layers written as files, opened by their manifest and resolved."""
+    path, rows = scratch_path(spark, "layers"), _layer_rows(spark, sf_dir)
+    rows.write.partitionBy("generation").parquet(path)
+    m = _layer_manifest(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{path}/generation="), F.col("generation").cast("string")))
+    return layers.resolve(layers.open_layers(spark, m)).select("key", "generation", "event_id", "value")
 
 
 _PARTS = "WITH k AS (SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1) // 40 AS idx FROM customer), parts AS (SELECT idx, min(c_name) AS min_key, max(c_name) AS max_key, count(*) AS key_count FROM k GROUP BY 1)\n"
@@ -359,6 +413,46 @@ def partition_sizing(spark, sf_dir):
     return partitioned.sizing(_parts(spark, sf_dir))
 
 
+def _written_parts(spark, sf_dir) -> tuple[str, DataFrame]:
+    path = scratch_path(spark, "partitions")
+    return path, partitioned.write_partitions(table(spark, sf_dir, "customer"), "c_name", path, 40)
+
+
+@registered(_PARTS + "SELECT idx, max_key, key_count, true AS named FROM parts")
+def partition_json(spark, sf_dir):
+    """The manifest of written partitions as JSON and back."""
+    path, parts = _written_parts(spark, sf_dir)
+    back = partitioned.from_json(partitioned.to_json(parts))
+    return back.select("idx", "max_key", "key_count", (F.col("path") == F.concat(F.lit(f"{path}/idx="), F.col("idx").cast("string"))).alias("named"))
+
+
+@registered(_PARTS + "SELECT count(*) AS partitions, true AS size_is_exact FROM parts")
+def partition_total_size(spark, sf_dir):
+    """Bytes of all partitions, held against the lengths of their files."""
+    path, parts = _written_parts(spark, sf_dir)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length")).first()[0]
+    total = partitioned.total_size_bytes(parts).first().size_bytes
+    return parts.agg(F.count("*").alias("partitions")).withColumn("size_is_exact", F.lit(total == files))
+
+
+@registered("SELECT c_name, c_custkey FROM customer WHERE c_custkey < 6")
+def partition_get(spark, sf_dir):
+    """Single lookups in opened partitions, each in the one that its key is routed to; absent keys give no rows."""
+    path, _ = _written_parts(spark, sf_dir)
+    index = PartitionedIndex(spark, path, "c_name")
+    names = [r.c_name for r in table(spark, sf_dir, "customer").where("c_custkey < 6").collect()]
+    found = [index.get(k).select("c_name", "c_custkey") for k in [*names, "", "zzzz", f"{names[0]}x"]]
+    return reduce(DataFrame.union, found)
+
+
+@registered("SELECT c_name, c_custkey FROM customer")
+def partition_get_many(spark, sf_dir):
+    """Every customer's key, and as many absent ones, routed and looked up at once."""
+    path, _ = _written_parts(spark, sf_dir)
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"))
+    return PartitionedIndex(spark, path, "c_name").get_many(names.union(names.select(F.concat("key", F.lit("x"))))).select("c_name", "c_custkey")
+
+
 _EDGES = """WITH edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'Contains' AS rel_kind FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'Uses' FROM customer
 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'Calls' FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'ships' FROM lineitem)
 """
@@ -378,6 +472,17 @@ def adjacency_build(spark, sf_dir):
     return graph.edge_count(graph.adjacency(_edges(spark, sf_dir)))
 
 
+_ADJACENCY = """, ends AS (SELECT src AS entity_id, dst AS other, rel_kind, true AS o FROM edges UNION ALL SELECT dst, src, rel_kind, false FROM edges)
+SELECT entity_id, coalesce(list(other || ':' || rel_kind ORDER BY other, rel_kind) FILTER (WHERE o), []) AS outgoing, coalesce(list(other || ':' || rel_kind ORDER BY other, rel_kind) FILTER (WHERE NOT o), []) AS incoming FROM ends GROUP BY 1"""
+
+
+@registered(_EDGES + _ADJACENCY)
+def adjacency_lists(spark, sf_dir):
+    """The lists themselves; each entity here has one part."""
+    named = lambda edges: F.transform(edges, lambda e: F.concat(e["entity_id"], F.lit(":"), e["rel_kind"])).alias(edges)
+    return graph.adjacency(_edges(spark, sf_dir)).select("entity_id", named("outgoing"), named("incoming"))
+
+
 @registered(_EDGES + "SELECT src, dst, rel_kind FROM edges WHERE src IN ('o1', 'o2', 'c3', 'n4')")
 def neighbours_1hop(spark, sf_dir):
     seeds = spark.range(1).select(F.explode(F.array(*map(F.lit, ["o1", "o2", "c3", "n4"]))).alias("entity_id"))
@@ -444,8 +549,10 @@ def footer_manifest(spark, sf_dir):
     """Row counts and bounds from the footers of a written segment."""
     path = scratch_path(spark, "segment")
     segments.write_segment(table(spark, sf_dir, "orders"), path, "o_orderkey", unique=True)
+    # keys are counted in the data, rows in the footers
+    meta = segments.segment_meta(segments.read_segment(spark, path), "o_orderkey").first()
     f = footers.footer_stats(segments.read_segment(spark, path)).where("column = 'o_orderkey'")
-    return f.agg(F.sum("row_count").cast("long").alias("row_count"), F.sum("row_count").cast("long").alias("key_count"), F.min(F.col("min").cast("long")).alias("min_key"), F.max(F.col("max").cast("long")).alias("max_key"))
+    return f.agg(F.sum("row_count").cast("long").alias("row_count"), F.lit(meta.key_count).alias("key_count"), F.min(F.col("min").cast("long")).alias("min_key"), F.max(F.col("max").cast("long")).alias("max_key"))
 
 
 @registered(_range_sql(HOUR))

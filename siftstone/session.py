@@ -33,7 +33,8 @@ def local_session(cpus: int = 8, app: str = "siftstone", **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (a local test) a temporary folder is made and set as checkpoint folder.
+    Only where that setting is absent and the master is local (a test) a temporary folder is made and set as checkpoint
+    folder; a cluster without the setting is refused, because its executors don't see the driver's folders.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftstone-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -63,12 +66,21 @@ def clear_scratch(spark: SparkSession) -> int:
     """
     sc = spark.sparkContext
     paths, sc._siftstone_scratch = getattr(sc, "_siftstone_scratch", []), []
+    built(spark).clear()
     for p in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(paths)
 
 
+def built(spark: SparkSession) -> dict:
+    """What a session has built in the shared folder and opened, by its origin; ``clear_scratch`` forgets it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siftstone_built", None) is None:
+        sc._siftstone_built = {}
+    return sc._siftstone_built
+
+
 #: Rows in a batch that goes to a Python worker. Spark's default of 10,000 whole texts is tens of MB, several times over.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -6,14 +6,21 @@ are skipped by it and not by the timestamp.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftstone.errors import DuplicateKey, EmptySegment, InvalidFormat, KeysOutOfOrder
+from siftstone.functions.membership import MembershipFilter
+from siftstone.sources.storage import Storage
 
 MICROS = "_micros"
+META, FILTER = "_segment.json", "_filter.bin"
+#: Types of keys that a filter is built over.
+FILTERED = ("string", "bigint", "int", "smallint", "tinyint")
 
 
 @dataclass(frozen=True)
@@ -26,6 +33,8 @@ class SegmentOptions:
     bloom: bool = True
     bloom_fpp: float = 0.0039
     expected_keys_per_row_group: int = 200_000
+    #: Store the segment's metadata, and a filter over all its keys, beside the data, for ``Segment.open``.
+    stored: bool = False
 
 
 def check_unique(df: DataFrame, key: str) -> None:
@@ -63,7 +72,65 @@ def write_segment(df: DataFrame, path: str, key: str, options: SegmentOptions =
     if options.bloom and not kind.startswith("timestamp"):
         out = out.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", options.expected_keys_per_row_group).option(f"parquet.bloom.filter.fpp#{key}", options.bloom_fpp)
     out.parquet(path)
-    return segment_meta(read_segment(df.sparkSession, path), key, path)
+    meta = segment_meta(read_segment(df.sparkSession, path), key, path)
+    if options.stored:
+        _store(df.sparkSession, path, key, kind, meta, options.bloom_fpp)
+    return meta
+
+
+def _store(spark: SparkSession, path: str, key: str, kind: str, meta: DataFrame, fpp: float) -> None:
+    """Write ``META`` and, for integers and strings, ``FILTER``; Spark's readers pass over names that begin so."""
+    storage, row = Storage(spark, path), meta.first()
+    if kind in FILTERED:
+        keys = read_segment(spark, path).select(F.col(key).cast("string" if kind == "string" else "long").alias("key"))
+        storage.put(FILTER, MembershipFilter.build(keys, "key", fpp, row.key_count).to_bytes(spark))
+    own = {"version": 1, "key": key, "kind": kind, "generation": row.generation, "key_count": row.key_count, "size_bytes": row.size_bytes, "min_key": str(row.min_key), "max_key": str(row.max_key)}
+    storage.put(META, json.dumps(own).encode())
+
+
+class Segment:
+    """An opened segment: its metadata and filter are read once and held, its table is scanned by lookups."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
+        storage = Storage(spark, path)
+        self.spark, self.path = spark, path
+        raw = storage.read_all(META)
+        try:
+            self.meta = json.loads(raw)
+            self.key, self.kind = self.meta["key"], self.meta["kind"]
+        except (ValueError, KeyError) as e:
+            raise InvalidFormat(f"{path}/{META}") from e
+        data = storage.read_all(FILTER) if storage.exists(FILTER) else b""
+        self.filter = MembershipFilter.from_bytes(spark, data)
+        self.memory_usage = len(raw) + len(data)
+        self.table = read_segment(spark, path, schema)
+
+    @property
+    def key_count(self) -> int:
+        return self.meta["key_count"]
+
+    @property
+    def size_bytes(self) -> int:
+        return self.meta["size_bytes"]
+
+    def might_contain(self, value) -> bool:
+        """Whether the key may be in the segment; no data is read."""
+        return self.filter.might_contain(value)
+
+    def get(self, value) -> DataFrame:
+        """Rows of a key. One that the filter denies gives a table which the optimizer knows to be empty."""
+        if not self.might_contain(value):
+            return no_rows(self.spark, self.table.schema)
+        return self.table.where(F.col(self.key) == F.lit(value))
+
+    def in_order(self) -> DataFrame:
+        return self.table.orderBy(self.key)
+
+
+def no_rows(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """An empty table that the optimizer knows to be empty, so that nothing is run for it."""
+    fields = schema.fields if isinstance(schema, StructType) else StructType.fromDDL(schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_segment(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -72,7 +139,13 @@ def read_segment(spark: SparkSession, path: str, schema=None) -> DataFrame:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(at) and any(f.getLen() == 0 for f in fs.listStatus(at) if f.isFile() and f.getPath().getName().startswith("part-")):
         raise InvalidFormat(f"{path} holds a file of no bytes")
-    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+    return reader(spark, schema).parquet(path)
+
+
+def reader(spark: SparkSession, schema: StructType | str | None = None) -> DataFrameReader:
+    """A reader that holds pages to their checksums, which Parquet doesn't do by itself."""
+    checked = spark.read.option("parquet.page.verify-checksum.enabled", "true")
+    return checked.schema(schema) if schema is not None else checked
 
 
 def segment_meta(df: DataFrame, key: str, path: str = "", generation: int = 0) -> DataFrame:

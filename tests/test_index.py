@@ -1,6 +1,7 @@
 """Segments, lookups, inverted indexes, membership, codecs, damage."""
 
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from siftstone import errors
 from siftstone.functions import codecs, kinds
 from siftstone.functions.membership import MembershipFilter, any_might_contain
-from siftstone.operators import inverted, prune, ranking
+from siftstone.operators import dataset, inverted, partitioned, prune, ranking, stats
 from siftstone.plans import catalogue
+from siftstone.session import shared_dir
 from siftstone.sources import footers, segments
 from siftstone.sources.storage import Storage, object_store_conf
 
@@ -169,15 +171,142 @@ def test_damage_is_an_error_and_the_base_is_scanned(spark, tmp_path, damage):
     with pytest.raises(Exception) as e:
         segments.read_segment(spark, path, schema).agg(F.max("value"), F.max("key"), F.sum(F.xxhash64("key", "value").cast("double"))).collect()
     assert errors.is_corruption(e.value) and not errors.is_transient(e.value)
-    full = prune.with_fallback(lambda: segments.read_segment(spark, path, schema).where("value like '%9'"), lambda: base.where("value like '%9'"))
+    shared_dir(spark)
+    full = prune.with_fallback(spark, lambda: segments.read_segment(spark, path, schema).where("value like '%9'"), lambda: base.where("value like '%9'"))
     assert full.count() == 2000
 
 
-def test_error_classes():
-    assert errors.is_corruption(errors.InvalidFormat()) and errors.is_corruption(Exception("[FAILED_READ_FILE.NO_HINT] x"))
+@pytest.mark.parametrize("compression", ["uncompressed", "snappy"])
+def test_a_flip_in_one_page_is_found(spark, tmp_path, compression):
+    path = str(tmp_path / "t")
+    table = spark.range(50_000).selectExpr("id", "cast(id * 2 as double) AS v").coalesce(1)
+    table.write.option("compression", compression).option("parquet.enable.dictionary", "false").parquet(path)
+    file = next(os.path.join(path, f) for f in os.listdir(path) if f.startswith("part"))
+    data = bytearray(open(file, "rb").read())
+    data[len(data) * 3 // 4] ^= 0xFF  # in a page of v
+    open(file, "wb").write(data)
+    for crc in (f for f in os.listdir(path) if f.endswith(".crc")):
+        os.remove(os.path.join(path, crc))
+    damaged = segments.read_segment(spark, path)
+    assert damaged.count() == 50_000 and damaged.agg(F.sum("id")).first()[0] == 50_000 * 49_999 // 2
+    with pytest.raises(Exception) as e:
+        damaged.agg(F.sum("v")).collect()
+    assert errors.is_corruption(e.value)
+    # rows that need only sound pages come from the index, others from the base
+    sound = prune.with_fallback(spark, lambda: damaged.select("id"), lambda: table.select("id").limit(1))
+    assert sound.count() == 50_000
+    whole = prune.with_fallback(spark, lambda: damaged, lambda: table)
+    assert whole.agg(F.sum("v")).first()[0] == 50_000.0 * 49_999
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        prune.with_fallback(spark, lambda: spark.range(1).select(F.expr("1 / id").alias("x")), lambda: table)
+
+
+def test_error_classes(spark, tmp_path):
+    assert errors.is_corruption(errors.InvalidFormat()) and not errors.is_corruption(Exception("[FAILED_READ_FILE.NO_HINT] x"))
     assert errors.is_transient(errors.StorageFailure("x")) and not errors.is_transient(errors.NotFound("x"))
     assert not errors.is_corruption(errors.NotFound("x")) and not errors.is_corruption(ValueError("x")) and not errors.is_transient(ValueError("x"))
-    assert errors.is_not_found(Exception("[PATH_NOT_FOUND] Path does not exist"))
+    # words in a message mean nothing
+    for text in ("label corruption_score not found", "value 15030 is out of range", "TimeoutException", "does not exist"):
+        assert not errors.is_corruption(Exception(text)) and not errors.is_transient(Exception(text)) and not errors.is_not_found(Exception(text))
+    assert errors.is_transient(ConnectionResetError()) and errors.is_transient(TimeoutError()) and errors.is_not_found(FileNotFoundError())
+    with pytest.raises(Exception) as e:
+        spark.read.parquet(str(tmp_path / "none"))
+    assert errors.is_not_found(e.value) and not errors.is_corruption(e.value) and not errors.is_transient(e.value)
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    gone = spark.read.parquet(str(tmp_path / "t"))
+    for f in os.listdir(tmp_path / "t"):
+        os.remove(tmp_path / "t" / f)
+    with pytest.raises(Exception) as e:
+        gone.agg(F.sum("id")).collect()
+    assert errors.is_not_found(e.value) and not errors.is_corruption(e.value)
+    with pytest.raises(Exception) as e:
+        spark.sql("SELECT no_such_corrupt_column").collect()
+    assert not errors.is_corruption(e.value) and not errors.is_not_found(e.value)
+    for kind, passing in (("java.net.SocketTimeoutException", True), ("java.lang.IllegalStateException", False)):
+        raised = Exception("x")
+        cause = spark._jvm.java.lang.Class.forName(kind).getDeclaredConstructor(spark._sc._gateway.new_array(spark._jvm.java.lang.Class, 0)).newInstance(spark._sc._gateway.new_array(spark._jvm.java.lang.Object, 0))
+        raised.java_exception = spark._jvm.java.lang.RuntimeException("503 corrupt", cause)
+        assert errors.is_transient(raised) == passing and not errors.is_corruption(raised)
+
+    def broken(batches):
+        raise errors.InvalidFormat("a worker's own error")
+        yield from batches
+
+    with pytest.raises(Exception) as e:
+        spark.range(3).mapInArrow(broken, "id long").collect()
+    assert errors.is_corruption(e.value)
+
+
+def test_fetch_tells_files_apart(spark):
+    base = spark.createDataFrame([("a", 0, 1, "x"), ("b", 0, 1, "y")], "file_key string, row_group long, row_offset long, v string")
+    assert [r.v for r in inverted.fetch(base, base.where("v = 'y'")).collect()] == ["y"]
+
+
+def test_an_index_without_keys_is_refused(spark, tmp_path):
+    index = inverted.build_secondary(spark.createDataFrame([], "k string, g long"), "k", F.lit("f"), F.col("g"), F.col("g"))
+    with pytest.raises(errors.EmptySegment):
+        inverted.write_secondary(index, str(tmp_path / "i"))
+
+
+def test_opened_segment(spark, tmp_path):
+    path = str(tmp_path / "s")
+    segments.write_segment(keyed(spark, 500), path, "key", segments.SegmentOptions(stored=True), unique=True)
+    s = segments.Segment(spark, path)
+    first = s.in_order().first().key
+    assert s.key_count == 500 and s.size_bytes > 0 and s.memory_usage > 500 and s.meta["min_key"] == first
+    assert s.get(first).count() == 1 and s.might_contain(first) and sum(s.might_contain(f"absent{k}") for k in range(2000)) < 60
+    # a denied key runs no scan
+    absent = next(k for k in map(str, range(1000)) if not s.might_contain(k))
+    assert s.get(absent).count() == 0 and "Scan parquet" not in s.get(absent)._jdf.queryExecution().executedPlan().toString()
+    with open(os.path.join(path, "_segment.json"), "w") as f:
+        f.write("{")
+    os.remove(os.path.join(path, "._segment.json.crc"))
+    with pytest.raises(errors.InvalidFormat):
+        segments.Segment(spark, path)
+    # without a filter everything may be there
+    other = str(tmp_path / "t")
+    segments.write_segment(spark.range(9).select(F.col("id").cast("double").alias("k")), other, "k", segments.SegmentOptions(stored=True))
+    assert segments.Segment(spark, other).might_contain(77.0) and segments.Segment(spark, other).get(3.0).count() == 1
+
+
+def test_dataset(spark, sf, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.expr("if(user_id = 3, null, user_id)"))
+    path = str(tmp_path / "d")
+    dataset.build(events, path, "ts", ["user_id", "event_type"], ["value"], segments.SegmentOptions(files=20))
+    lo, hi = datetime(2024, 1, 10), datetime(2024, 1, 11)
+    for held in (True, False):
+        monkeypatch.setattr(dataset, "MAX_HELD_POSTINGS", 10**9 if held else 0)
+        d = dataset.Dataset(spark, path)
+        every = d.candidates()
+        assert len(every) > 10 and len(d.candidates([stats.RangePredicate("ts", lo, hi)])) < len(every) / 2
+        for ranges, equal in (([], {}), ([stats.RangePredicate("ts", lo, hi)], {}), ([], {"user_id": 5}), ([stats.RangePredicate("ts", lo, hi)], {"event_type": "click"}), ([stats.RangePredicate("value", 1.0, 2.0)], {"user_id": 5, "event_type": "view"}), ([], {"user_id": -1}), ([stats.RangePredicate("no_such", 1, 2)][:0], {"props": "x"})):
+            expected = events
+            for r in ranges:
+                expected = expected.where(F.col(r.column).between(F.lit(r.low).cast(dict(events.dtypes)[r.column]), F.lit(r.high).cast(dict(events.dtypes)[r.column])))
+            for k, v in equal.items():
+                expected = expected.where(F.col(k) == F.lit(v))
+            got = d.read(ranges, equal)
+            assert got.columns == events.columns and sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+        assert d.candidates(equal={"user_id": -1}) == []
+
+
+def test_written_partitions(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    rows = spark.range(1000).select(F.format_string("key_%06d", F.col("id") * 2).alias("k"), "id")
+    parts = partitioned.write_partitions(rows, "k", path, 100)
+    assert [(r.idx, r.max_key, r.key_count) for r in parts.orderBy("idx").collect()] == [(i, f"key_{i * 200 + 198:06d}", 100) for i in range(10)]
+    assert partitioned.total_size_bytes(parts).first()[0] == sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
+    index = partitioned.PartitionedIndex(spark, path, "k")
+    assert [r.id for r in index.get("key_000400").collect()] == [200] and index.get("key_000401").count() == index.get("zzz").count() == 0
+    assert len(index.get("key_000400").inputFiles()) >= 1 and "idx" in index.get("key_000400").columns
+    plan = index.get("key_000400")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(idx" in plan
+    keys = rows.select(F.col("k").alias("key")).union(rows.select(F.concat("k", F.lit("x"))))
+    assert index.get_many(keys).count() == 1000
+    big = spark.range(1000).select(F.col("id").alias("idx"), F.format_string("key_%010d", F.col("id") * 1_000_000).alias("max_key"), F.format_string("parts/%05d", "id").alias("path"), F.lit(1_000_000).cast("long").alias("key_count"), F.lit(60_000_000).cast("long").alias("size_bytes"))
+    text = partitioned.to_json(big).first().json
+    assert len(text) < 200_000 and sorted(partitioned.from_json(spark.createDataFrame([(text,)], "json string")).collect()) == sorted(big.collect())
+    assert partitioned.total_size_bytes(big.limit(0)).first()[0] == 0
 
 
 def test_storage(spark, tmp_path):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftstone.operators import graph, layers, partitioned
+from siftstone.schemas import LAYER
 from siftstone.sources.storage import Storage
 from siftstone.streaming.deltas import write_deltas
 
@@ -147,3 +148,15 @@ def test_streamed_deltas(spark, tmp_path):
         q.awaitTermination()
     m = spark.createDataFrame([(f"{root}/delta-{k:08d}", k, "delta", 0, 0) for k in (1, 2)], "path string, generation long, kind string, key_count long, size_bytes long")
     assert resolved(layers.open_layers(spark, m)) == {"a": "2"}
+
+
+def test_null_deleted_is_no_deletion(spark):
+    df = spark.createDataFrame([("a", "1", None, 1), ("b", "2", True, 1), ("c", "3", False, 1)], "key string, value string, deleted boolean, generation long")
+    assert resolved(df) == {"a": "1", "c": "3"}
+
+
+def test_layer_manifest_json(spark):
+    m = spark.createDataFrame([("l/2", 2, "delta", 5, 50), ("l/0", 0, "base", 100, 7000), ("l/1", 1, "delta", 6, 60)], LAYER)
+    assert sorted(layers.manifest_from_json(layers.manifest_to_json(m)).collect()) == sorted(m.collect())
+    assert layers.manifest_from_json(layers.manifest_to_json(m.where("kind = 'delta'"))).count() == 2
+    assert layers.manifest_from_json(layers.manifest_to_json(m.limit(0))).count() == 0
