@@ -1,16 +1,20 @@
 """N-gram Jaccard join: which documents share enough of their word shingles, and the groups that this makes.
 
-The product of the document-by-shingle incidence matrix with its transpose is taken in blocks of shingles and never in
-full. (1) All shingles are counted over all documents, block by block; a document can have a partner only when the
-shingles that other documents have too make up the least overlap that its size allows, which leaves out most
-documents. (2) Equal shingle sets form a class, and one set stands for it, named by its signature; what only its own
-members have can't link it, which leaves out most classes. (3) A representative is posted
-under its rarest shared shingles, as many as any partner must meet (prefix bound), with its size and what is left of
-it from there. (4) Overlaps are accumulated for candidate pairs that pass the size and position bounds.
-
-A shingle of thousands of near copies would make pairs without end. So candidates come in two steps: first each
+The product of the document-by-shingle incidence matrix with its transpose is taken in blocks of shingles, and only where
+a pair can still reach the bound. (1) All shingles are counted over all documents, block by block; a document can have a
+partner only when the shingles that other documents have too make up the least overlap that its size allows, which
+leaves out most documents. (2) Equal shingle sets form a class, and one set stands for it, named by its signature; what
+only its own members have can't link it, which leaves out most classes. (3) A representative's row of the matrix begins
+with its rarest shared shingles; as many as any partner must meet (its prefix) are posted, with its size and what is
+left of it from there. (4) The columns are dealt by shingle. Under each, pairs whose sizes and places allow a link add
+one to their overlap; the sums over all columns, with what is left of both rows, bound each pair's overlap from above,
+and pairs below the size-derived bound are discarded. (5) The other columns of the rows of what is left are multiplied
+pair by pair, which gives the exact overlap.
+
+A shingle of thousands of near copies would make pairs without end. So pairs come in two steps: first each
 representative with the most typical one under each of its shingles, which joins near copies to groups; then, exactly,
-all pairs under a shingle that belong to different groups. Pairs within a group can't change it and are never made.
+all pairs under a shingle that belong to different groups. Pairs within a group can't change it and are never made. A
+column with many rows is cut into square cells of ``CELL`` rows a side, so that no task takes a whole hot shingle.
 
 Shingles are compared by 64-bit hashes. Defined cases: a text without words (null, empty, white space) has no
 shingles and links with nothing; one with fewer words than a shingle is one shingle; repeated rows are documents of
@@ -38,6 +42,8 @@ SHINGLE = 5
 SHARE = (75, 100)
 #: Documents with a shingle are counted up to here in a set.
 MANY = 0xFFFF
+#: Rows of a shingle's column that meet in one task of the second step.
+CELL = 1024
 
 
 def needed(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
@@ -145,12 +151,38 @@ def _postings(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return sets.select("rep", "n", "grams").mapInArrow(run, "gram long, rep long, n long, left long")
 
 
-def _bounded(share: tuple[int, int]):
+def _overlap(n: Column, m: Column, share: tuple[int, int]) -> Column:
+    """The least overlap with which sets of n and m shingles link: ceil(p * (n + m) / (p + q))."""
+    p, q = share
+    return F.floor((F.lit(p) * (n + m) + F.lit(p + q - 1)) / F.lit(p + q))
+
+
+def _bounded(share: tuple[int, int]) -> Column:
     """Whether sizes and positions of a pair (a, b) that meets at a shingle allow a link."""
     p, q = share
     least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    overlap = F.ceil(F.lit(p) * (F.col("a.n") + F.col("b.n")) / F.lit(float(p + q)) - F.lit(1e-9))
-    return (q * least >= p * most) & (F.least("a.left", "b.left") >= overlap)
+    return (q * least >= p * most) & (F.least("a.left", "b.left") >= _overlap(F.col("a.n"), F.col("b.n"), share))
+
+
+def _across(labelled: DataFrame, mixed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b) pairs of different groups whose overlap may reach the bound, by (gram, rep, n, left, component) rows.
+
+    ``mixed`` has the shingles of several groups and how many rows each has. Rows of a large column go to cells (i, j) of
+    blocks of it; a pair is made in the cell of its own blocks. Its overlap in the posted columns is summed.
+    """
+    blocks = F.ceil(F.col("many") / F.lit(CELL)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    rest = labelled.join(mixed, "gram").select("gram", "rep", "n", "left", "component", own.alias("own"), F.explode(cells).alias("cell"))
+    rest = rest.select("gram", "cell.i", "cell.j", "own", "rep", "n", "left", "component")
+    # the lower group's row stands first; within a cell off the diagonal only rows of different blocks meet
+    same_cell = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    other_block = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
+    met = rest.alias("a").join(rest.alias("b"), same_cell & other_block & (F.col("a.component") < F.col("b.component")) & _bounded(share))
+    sums = [F.count("*").alias("met"), F.min(F.least("a.left", "b.left")).alias("left"), F.first("a.n").alias("na"), F.first("b.n").alias("nb")]
+    pairs = met.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(*sums)
+    # of the last column they met in, one is counted already
+    return pairs.where(F.col("met") + F.col("left") - 1 >= _overlap(F.col("na"), F.col("nb"), share)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -188,21 +220,24 @@ def _labelled(docs: DataFrame, shingle: int, share: tuple[int, int], least: Colu
     _partners(given.join(classes, ["s1", "s2"]), share).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
 
-    posted = _postings(sets, share)
-    typical = posted.groupBy("gram").agg(F.count("*").alias("many"), F.min(F.struct(F.col("n") - F.col("left"), F.col("rep"), F.col("n"), F.col("left"))).alias("t")).where("many > 1")
-    typical.select("gram").write.parquet(f"{path}/grams")
-    met = posted.alias("a").join(typical.select("gram", F.col("t.rep").alias("rep"), F.col("t.n").alias("n"), F.col("t.left").alias("left")).alias("b"), F.col("a.gram") == F.col("b.gram"))
+    # tables are written between the steps, so that joins read plain shuffles, which adaptive execution can split
+    _postings(sets, share).write.parquet(f"{path}/postings")
+    posted = spark.read.parquet(f"{path}/postings")
+    top = F.min(F.struct(F.col("n") - F.col("left"), F.col("rep"), F.col("n"), F.col("left"))).alias("t")
+    typical = posted.groupBy("gram").agg(F.count("*").alias("many"), top).where("many > 1").select("gram", "t.rep", "t.n", "t.left")
+    typical.write.parquet(f"{path}/typical")
+    typical = spark.read.parquet(f"{path}/typical")
+    met = posted.alias("a").join(typical.alias("b"), F.col("a.gram") == F.col("b.gram"))
     near = met.where(F.col("a.rep") != F.col("b.rep")).where(_bounded(share)).select(F.least("a.rep", "b.rep").alias("b"), F.greatest("a.rep", "b.rep").alias("a")).distinct()
     _verified(near, sets, share).write.parquet(f"{path}/links_1")
     first = connected_components(spark.read.parquet(f"{path}/links_1"))
 
-    labelled = posted.join(spark.read.parquet(f"{path}/grams"), "gram", "left_semi").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled.write.parquet(f"{path}/labelled")
+    shared = posted.join(typical.select("gram"), "gram", "left_semi")
+    shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).write.parquet(f"{path}/labelled")
     labelled = spark.read.parquet(f"{path}/labelled")
-    mixed = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    rest = labelled.join(mixed, "gram", "left_semi")
-    across = rest.alias("a").join(rest.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") < F.col("b.component")) & _bounded(share))
-    far = across.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    mixed = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    mixed.select("gram", "many").write.parquet(f"{path}/mixed")
+    far = _across(labelled, spark.read.parquet(f"{path}/mixed"), share)
     _verified(far, sets, share).write.parquet(f"{path}/links_2")
     links = spark.read.parquet(f"{path}/links_1", f"{path}/links_2")
     whole = connected_components(links)

@@ -134,8 +134,10 @@ def variants(rng, base, n, share):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_groups_against_brute_force(spark, docs, small, seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_against_brute_force(spark, docs, small, seed, monkeypatch):
+    if seed == 2:  # columns of more than a few rows are cut into cells
+        monkeypatch.setattr(jaccard, "CELL", 3)
     rng, texts = random.Random(seed), []
     for size in (4, 7, 12, 40, 120):
         base = [f"b{rng.randrange(10**6)}" for _ in range(size)]
@@ -153,6 +155,35 @@ def test_groups_against_brute_force(spark, docs, small, seed):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(small).collect()} == ref.jaccard_groups(rows)
 
 
+def test_overlaps_are_summed_over_columns(spark, docs, monkeypatch):
+    """Pairs of different groups that ``_across`` keeps, against all pairs of posted rows."""
+    rng, share = random.Random(9), (75, 100)
+    rows = {}
+    for rep in range(60):  # rows of three families, rarest shingles first by number
+        base = [f * 100 + k for f in (rep % 3,) for k in range(12)]
+        rows[rep] = sorted(set(base[: 8 + rep % 5]) | {rng.randrange(300, 330) for _ in range(3)})
+    posted = []
+    for rep, grams in rows.items():
+        n = len(grams)
+        for k in range(n - -(-n * 75 // 100) + 1):
+            posted.append((grams[k], rep, n, n - k, rep % 7))
+    expected = set()
+    for a in rows:
+        for b in rows:
+            if a % 7 < b % 7:
+                x, y = ([p for p in posted if p[1] == r] for r in (a, b))
+                need = -(-75 * (len(rows[a]) + len(rows[b])) // 175)
+                both = [min(p[3], q[3]) for p in x for q in y if p[0] == q[0] and min(p[3], q[3]) >= need]
+                sizes = sorted([len(rows[a]), len(rows[b])])
+                if both and 4 * sizes[0] >= 3 * sizes[1] and len(both) + min(both) - 1 >= need:
+                    expected.add((a, b))
+    labelled = spark.createDataFrame(posted, "gram long, rep long, n long, left long, component long")
+    mixed = labelled.groupBy("gram").agg(F.count("*").alias("many"), F.count_distinct("component").alias("c")).where("c > 1").select("gram", "many")
+    for cell in (1024, 4, 1):
+        monkeypatch.setattr(jaccard, "CELL", cell)
+        assert {tuple(r) for r in jaccard._across(labelled, mixed, share).collect()} == expected and expected
+
+
 def test_groups_of_awkward_documents(spark, docs, no_docs):
     got = jaccard.groups(clashing(docs)).collect()
     assert len(got) == docs.count()
