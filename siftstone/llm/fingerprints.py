@@ -23,9 +23,13 @@ WORDS = 2
 BITS = 64 * WORDS
 #: Weight of a word by its length: 1 up to SHORT characters, then STEP for each further one up to LONG.
 SHORT, LONG, STEP = 3, 16, 4
-#: About so many documents make a run of neighbouring ids.
+#: About so many documents make a run of neighbouring ids; more when there would be over MAX_RUNS of them.
 RUN = 500
-MAX_RUNS = 10_000
+MAX_RUNS = 200_000
+#: Ids that are drawn for each run; the more, the more even the runs.
+DRAWN = 8
+#: Bits in which fingerprints of a search differ at most.
+RADIUS = 3
 
 
 def weight(word: Column) -> Column:
@@ -118,33 +122,56 @@ def within(queries: DataFrame, all_fps: DataFrame, radius: int = 3) -> DataFrame
     return met.where(F.col("table") == first).select("query", "fp", "distance")
 
 
+def with_near(prints: DataFrame, is_query: Column, radius: int = RADIUS) -> DataFrame:
+    """``prints`` (with ``fp``) and ``near_fps``: how many other fingerprints are within ``radius`` bits, for the queries.
+
+    The search is by block tables, for the rows that ``is_query`` names against all; other rows have null.
+    """
+    asked = prints.where(is_query)
+    near = within(asked, prints, radius).groupBy(F.col("query").alias("asked")).agg((F.count("*") - 1).alias("near_fps"))
+    rest = prints.where(~F.coalesce(is_query, F.lit(False))).withColumn("near_fps", F.lit(None).cast("long"))
+    return asked.join(near, F.col("fp") == F.col("asked")).drop("asked").unionByName(rest)
+
+
+def run_cuts(ids: DataFrame, run: int = RUN) -> list[int]:
+    """Ids at which the runs of ``ids`` (doc_id) are cut, about one for ``run`` rows: of ids drawn by their hash every
+    DRAWN-th. The list comes to the driver and is bounded by MAX_RUNS * DRAWN."""
+    n = ids.where("doc_id is not null").count()
+    share = max(1, max(run, n // MAX_RUNS) // DRAWN)
+    drawn = ids.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(share)) == 0).distinct().orderBy("doc_id")
+    return [r.doc_id for r in drawn.collect()][DRAWN - 1 :: DRAWN]
+
+
+def below(sorted_values: list[int], value: Column) -> Column:
+    """How many of the sorted values are below ``value``, bit by bit from the highest."""
+    table = F.from_json(F.lit(str(sorted_values)), "array<long>")
+    bits = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(sorted_values).bit_length())))])
+    fits = lambda k: F.coalesce(F.get(table, k - 1) < value, F.lit(False))
+    return F.aggregate(bits, F.lit(0), lambda held, bit: F.when(fits(held + bit), held + bit).otherwise(held))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(run, place, doc_id, text, next_text, own): each document with the text of the next one by descending id.
 
-    After the last comes the first. The ids are cut into runs at quantiles that are ids themselves; the document at a
-    cut goes to both runs (``own`` false in the one that it only ends), so neighbours are found within runs and texts
-    are shuffled once. Null ids are the last; documents of equal id follow each other by text.
+    After the last comes the first. The ids are cut into runs at some of them; the document at a cut goes to both runs
+    (``own`` false in the one that it only ends), so neighbours are found within runs and texts are shuffled once. Null
+    ids are the last; documents of equal id follow each other by text.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = d.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
-    runs = max(1, min(MAX_RUNS, stats.n // RUN))
-    cuts = d.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], 20 * runs)).first()[0] if runs > 1 else []
-    cuts = sorted(set(cuts or []) - {stats.top})
+    top = d.agg(F.max("doc_id")).first()[0]
+    cuts = sorted(set(run_cuts(d.select("doc_id"))) - {top})
     # run k holds the ids above cut k - 1, up to cut k; null ids belong to run 0
-    at = F.lit(0)
+    at, on_cut = F.lit(0), F.lit(False)
     if cuts:
-        table = F.array(*[F.lit(c) for c in cuts]) if len(cuts) <= 200 else F.from_json(F.lit(str(cuts)), "array<long>")
-        at = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(table, lambda c: c < F.col("doc_id"))))
-    d = d.withColumn("_at", at)
-    on_cut = F.array_contains(table, F.col("doc_id")) if cuts else F.lit(False)
-    homes = F.array(F.struct(F.col("_at").alias("run"), F.lit(True).alias("own"), F.lit(0).alias("turn")))
+        at = F.when(F.col("doc_id").isNull(), 0).otherwise(below(cuts, F.col("doc_id")))
+        on_cut = F.coalesce(F.get(F.from_json(F.lit(str(cuts)), "array<long>"), F.col("at")) == F.col("doc_id"), F.lit(False))
+    d = d.withColumn("at", at)
+    home = lambda run, own, turn: F.struct(run.alias("run"), F.lit(own).alias("own"), F.lit(turn).alias("turn"))
     # a document on a cut is next to the lowest id of the run above it; the highest id is next to the very last document
-    also = F.when(F.coalesce(on_cut, F.lit(False)), F.array(F.struct((F.col("_at") + 1).alias("run"), F.lit(False).alias("own"), F.lit(1).alias("turn"))))
-    wrap = F.when(F.col("doc_id").eqNullSafe(F.lit(stats.top)), F.array(F.struct(F.lit(0).alias("run"), F.lit(False).alias("own"), F.lit(2).alias("turn"))))
-    none = F.filter(homes, lambda x: F.lit(False))
-    dealt = d.withColumn("_home", F.explode(F.concat(homes, F.coalesce(also, none), F.coalesce(wrap, none)))).select("doc_id", "text", "_home.*")
+    homes = [home(F.col("at"), True, 0), F.when(on_cut, home(F.col("at") + 1, False, 1)), F.when(F.col("doc_id").eqNullSafe(F.lit(top)), home(F.lit(0), False, 2))]
+    placed = d.withColumn("home", F.explode(F.array_compact(F.array(*homes)))).select("doc_id", "text", "home.*")
     w = Window.partitionBy("run").orderBy("turn", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.withColumn("place", F.row_number().over(w)).withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(w)).drop("turn")
+    return placed.withColumn("place", F.row_number().over(w)).withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(w)).drop("turn")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -154,7 +181,8 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, its edited text's, and its likeness to that and to the next document's.
+    """Per document: its fingerprint (``fp``, and in hexadecimal), its edited text's, and its likeness to that and to the
+    next document's.
 
     One shuffle deals texts to runs; words, votes and neighbours then stay within a run's partition.
     """
@@ -177,4 +205,4 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"_s{k}"), 16, "0") for k in range(4)]))
     return both.select(
         "doc_id", "n_chars", sha.alias("edited_sha256"), hexadecimal(F.col("fp")).alias("fingerprint"), hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "fp")

@@ -35,7 +35,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+    """Besides, every 50th id is a query: how many other fingerprints are within the radius of its own."""
+    path = scratch_path(spark, "fingerprints")
+    fingerprints.compare_edits(table(spark, sf_dir, "documents")).write.parquet(path)
+    return fingerprints.with_near(spark.read.parquet(path), F.col("doc_id") % 50 == 0).drop("fp")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

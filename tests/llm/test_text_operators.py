@@ -270,7 +270,7 @@ def test_edits(spark, docs, no_docs, small):
             following = rows[(k + 1) % len(rows)][1]
             expected.append((i, len(t), hashlib.sha256((t[: len(t) - h] + following[:h]).encode()).hexdigest()))
         got = fingerprints.compare_edits(clashing(df)).collect()
-        assert Counter(tuple(r[:3]) for r in got) == Counter(expected)
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(expected)
         texts = {}
         for i, t in rows:
             texts.setdefault(i, set()).add(t)
@@ -313,6 +313,34 @@ def test_radius_search_against_brute_force(spark, docs, radius):
     assert set(got) == expected and set(got.values()) == {1}
 
 
+def test_near_counts_against_brute_force(spark, docs, sf):
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    fps = [x ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(6))) for x in base for _ in range(5)] + base
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(k if k != 7 else None, [signed(x & (2**64 - 1)), signed(x >> 64)]) for k, x in enumerate(fps)]
+    got = {r.k: r.near_fps for r in fingerprints.with_near(spark.createDataFrame(rows, "k long, fp array<long>"), F.col("k") % 3 == 0).collect()}
+    expected = {k: sum(0 < bin(x ^ y).count("1") <= fingerprints.RADIUS for y in set(fps)) if k % 3 == 0 else None for k, x in enumerate(fps) if k != 7}
+    assert got == {**expected, None: None} and any(expected.values())
+    whole = QUERIES["op2_fingerprints"](spark, sf).collect()
+    prints = {int(r.fingerprint, 16) for r in whole}
+    for r in whole:
+        x = int(r.fingerprint, 16)
+        assert r.near_fps == (sum(0 < bin(x ^ y).count("1") <= fingerprints.RADIUS for y in prints) if r.doc_id % 50 == 0 else None)
+
+
+def test_runs_are_even_and_cuts_are_found(spark, monkeypatch):
+    ids = spark.range(20_000).select((F.col("id") * 3 - 1000).alias("doc_id"))
+    cuts = fingerprints.run_cuts(ids)
+    assert cuts == sorted(set(cuts)) and 25 <= len(cuts) <= 60 and max(np.diff(cuts)) < 3 * 3000
+    got = ids.select("doc_id", fingerprints.below(cuts, F.col("doc_id")).alias("n")).collect()
+    assert [r.n for r in got] == np.searchsorted(cuts, [r.doc_id for r in got]).tolist()
+    for some in ([], [5], [1, 2, 3, 4]):
+        assert [r[0] for r in spark.range(8).select(fingerprints.below(some, F.col("id"))).collect()] == np.searchsorted(some, range(8)).tolist()
+    monkeypatch.setattr(fingerprints, "RUN", 8)
+    assert len(fingerprints.run_cuts(ids, 8)) > 1000
+
+
 # packing
 
 
