@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.session import shared_dir
@@ -11,18 +11,34 @@ from siftstone.session import shared_dir
 PART = 65_535
 
 
+def _part(what: Column, part: int) -> Column:
+    """Part of a list of ``_n`` items (null where they fit one) that an item goes to: half full on average."""
+    return F.pmod(F.xxhash64(what), F.coalesce(F.ceil(F.col("_n") / (part / 2)), F.lit(1)))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(entity_id, out, edge): each edge at both of its ends."""
+    leaving = edges.select(F.col("src").alias("entity_id"), F.lit(True).alias("out"), F.struct(F.col("dst").alias("entity_id"), "rel_kind").alias("edge"))
+    return leaving.union(edges.select("dst", F.lit(False), F.struct(F.col("src").alias("entity_id"), "rel_kind")))
+
+
 def adjacency(edges: DataFrame, part: int = PART) -> DataFrame:
     """(entity_id, part, outgoing, incoming) from edges (src, dst, rel_kind); lists are sorted.
 
     Edges of an entity are dealt to parts by hash when they are more than ``part``, so no list grows with the data.
     """
-    ends = edges.select(F.col("src").alias("entity_id"), F.lit(True).alias("out"), F.struct(F.col("dst").alias("entity_id"), "rel_kind").alias("edge")).union(edges.select("dst", F.lit(False), F.struct(F.col("src").alias("entity_id"), "rel_kind")))
-    degrees = ends.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") > part)
-    dealt = ends.join(degrees, "entity_id", "left").withColumn("part", F.pmod(F.xxhash64("edge", "out"), F.coalesce(F.ceil(F.col("_n") / (part / 2)), F.lit(1))))
+    ends = _ends(edges)
+    sizes = ends.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") > part)
+    dealt = ends.join(sizes, "entity_id", "left").withColumn("part", _part(F.struct("edge", "out"), part))
     side = lambda out: F.array_sort(F.collect_list(F.when(F.col("out") == out, F.col("edge"))))
     return dealt.groupBy("entity_id", "part").agg(side(True).alias("outgoing"), side(False).alias("incoming"))
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """``edge_count`` of the lists that ``adjacency`` would give, counted without building them."""
+    return _ends(edges).groupBy("entity_id").agg(F.count("*").alias("edges"), F.count_if(F.col("out")).alias("out_degree"), F.count_if(~F.col("out")).alias("in_degree"))
+
+
 def edge_count(lists: DataFrame) -> DataFrame:
     """(entity_id, edges, out_degree, in_degree)."""
     return lists.groupBy("entity_id").agg(F.sum(F.size("outgoing") + F.size("incoming")).cast("long").alias("edges"), F.sum(F.size("outgoing")).cast("long").alias("out_degree"), F.sum(F.size("incoming")).cast("long").alias("in_degree"))
@@ -47,6 +63,11 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def path_entries(entities: DataFrame) -> DataFrame:
-    """(path, entries) from rows (path, entity_id, kind); entries are sorted. A path's list is as long as its folder."""
-    return entities.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("entity_id", "kind"))).alias("entries"))
+def path_entries(entities: DataFrame, part: int = PART) -> DataFrame:
+    """(path, part, entries) from rows (path, entity_id, kind); entries are sorted within a part.
+
+    Entries of a path are dealt to parts by hash when they are more than ``part``, so no list grows with its folder.
+    """
+    sizes = entities.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") > part)
+    dealt = entities.join(sizes, "path", "left").select("path", _part(F.struct("entity_id", "kind"), part).alias("part"), F.struct("entity_id", "kind").alias("entry"))
+    return dealt.groupBy("path", "part").agg(F.array_sort(F.collect_list("entry")).alias("entries"))

@@ -469,7 +469,8 @@ def _edges(spark, sf_dir) -> DataFrame:
 
 @registered(_EDGES + ", ends AS (SELECT src AS entity_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT entity_id, count(*) AS edges, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM ends GROUP BY 1")
 def adjacency_build(spark, sf_dir):
-    return graph.edge_count(graph.adjacency(_edges(spark, sf_dir)))
+    """Degrees; ``adjacency_lists`` has the lists."""
+    return graph.degrees(_edges(spark, sf_dir))
 
 
 _ADJACENCY = """, ends AS (SELECT src AS entity_id, dst AS other, rel_kind, true AS o FROM edges UNION ALL SELECT dst, src, rel_kind, false FROM edges)

@@ -1,7 +1,7 @@
 """Statistics from Parquet footers: one row per file, row group and column, without reading data.
 
 Footer bounds of long strings may be truncated, so they are bounds and not values. Spark lists the files; executors
-open the footers by ``pyarrow.fs``, so the paths must be of a file system that it knows.
+open the footers through ``stores``.
 """
 
 from __future__ import annotations
@@ -12,14 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "file string, row_group long, row_count long, first_row long, column string, min string, max string, null_count long"
-
-
-def _open(path: str):
-    from pyarrow import fs
+from siftstone.sources.stores import open_store, store_settings
 
-    path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+SCHEMA = "file string, row_group long, row_count long, first_row long, column string, min string, max string, null_count long"
 
 
 def footer_stats(table: DataFrame) -> DataFrame:
@@ -28,6 +23,8 @@ def footer_stats(table: DataFrame) -> DataFrame:
     ``first_row`` is the row index at which a row group begins, which turns a row index into a row group and offset.
     """
 
+    settings = store_settings(table.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
@@ -35,7 +32,7 @@ def footer_stats(table: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for file in batch.column(0).to_pylist():
-                system, name = _open(file)
+                system, name = open_store(file, settings)
                 with system.open_input_file(name) as f:
                     meta = pq.ParquetFile(f).metadata
                 first = 0

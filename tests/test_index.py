@@ -14,6 +14,7 @@ from siftstone.plans import catalogue
 from siftstone.session import shared_dir
 from siftstone.sources import footers, segments
 from siftstone.sources.storage import Storage, object_store_conf
+from siftstone.sources.stores import open_store, store_settings
 
 
 def keyed(spark, n):
@@ -344,3 +345,17 @@ def test_row_groups_are_read_alone(spark, sf, tmp_path):
     assert read_row_groups(f.limit(0), t.schema).count() == 0
     with pytest.raises(Exception, match="FileNotFound|No such file"):
         read_row_groups(spark.createDataFrame([("file:/none.parquet", 0)], "file string, row_group long"), t.schema).count()
+
+
+def test_stores_by_their_uris(spark):
+    from pyarrow import fs
+
+    assert open_store("/a/b c")[1] == "/a/b c" and open_store("file:/a/b%20c")[1] == open_store("file:///a/b%20c")[1] == "/a/b c"
+    settings = {"fs.s3a.endpoint": "http://127.0.0.1:9", "fs.s3a.access.key": "k", "fs.s3a.secret.key": "s"}
+    system, path = open_store("s3a://bucket/a/b.parquet", settings)
+    assert isinstance(system, fs.S3FileSystem) and path == "bucket/a/b.parquet"
+    with pytest.raises(errors.StorageFailure):
+        open_store("nosuchstore://x/y")
+    spark._jsc.hadoopConfiguration().set("fs.s3a.access.key", "k")
+    assert store_settings(spark)["fs.s3a.access.key"] == "k"
+    spark._jsc.hadoopConfiguration().unset("fs.s3a.access.key")

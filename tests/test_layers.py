@@ -127,6 +127,7 @@ def test_adjacency(spark):
     assert [tuple(e) for e in lists["c"].incoming] == [("a", "Imports"), ("b", "delegates_to")]
     counts = {r.entity_id: (r.edges, r.out_degree, r.in_degree) for r in graph.edge_count(graph.adjacency(edges, part=2)).collect()}
     assert counts == {"a": (3, 3, 0), "b": (3, 1, 2), "c": (2, 0, 2)}
+    assert sorted(graph.degrees(edges).collect()) == sorted(graph.edge_count(graph.adjacency(edges)).collect())
     seeds = spark.createDataFrame([("a",)], "entity_id string")
     assert graph.neighbours(edges, seeds).count() == 3
     assert {r.entity_id: r.hop for r in graph.k_hop(edges, seeds, 3).collect()} == {"a": 0, "b": 1, "c": 1}
@@ -136,6 +137,9 @@ def test_path_entries(spark):
     df = spark.createDataFrame([("p", "f", "Function"), ("p", "C", "Class"), ("q", "m", "Method")], "path string, entity_id string, kind string")
     got = {r.path: [tuple(e) for e in r.entries] for r in graph.path_entries(df).collect()}
     assert got == {"p": [("C", "Class"), ("f", "Function")], "q": [("m", "Method")]}
+    many = spark.range(100).select(F.lit("p").alias("path"), F.col("id").cast("string").alias("entity_id"), F.lit("File").alias("kind"))
+    parts = graph.path_entries(many, part=20).collect()
+    assert len(parts) > 4 and max(len(r.entries) for r in parts) <= 20 and sorted(int(e.entity_id) for r in parts for e in r.entries) == list(range(100))
 
 
 def test_streamed_deltas(spark, tmp_path):
