@@ -8,8 +8,11 @@ chunk then works its texts again with the answers. The texts are shuffled once;
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import math
 from collections.abc import Callable
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -83,6 +86,25 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.withColumn(CHUNK, at.cast("int")), blocks
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    name = ctypes.util.find_library("c")
+    libc = ctypes.CDLL(name) if name else None
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def release() -> None:
+    """Give memory that a finished group has freed back to the system; a worker lives on beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def _finished(result: pa.Table) -> pa.Table:
+    release()
+    return result
+
+
 def _edges(blocks: int) -> np.ndarray:
     return np.array([(b << 64) // blocks for b in range(1, blocks)], np.uint64)
 
@@ -134,9 +156,9 @@ def count_shared(
             totals[begins[b] + np.frombuffer(at, np.uint32)] = np.frombuffer(total, np.uint32)
         return finish(table, totals)
 
-    sent = chunked.groupBy(CHUNK).applyInArrow(send, f"block int, {CHUNK} int, keys binary, many binary")
-    answers = sent.groupBy("block").applyInArrow(add, f"{CHUNK} int, block int, at binary, total binary")
-    return chunked.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(apply, schema)
+    sent = chunked.groupBy(CHUNK).applyInArrow(lambda t: _finished(send(t)), f"block int, {CHUNK} int, keys binary, many binary")
+    answers = sent.groupBy("block").applyInArrow(lambda t: _finished(add(t)), f"{CHUNK} int, block int, at binary, total binary")
+    return chunked.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(lambda t, a: _finished(apply(t, a)), schema)
 
 
 def _many(counts: np.ndarray) -> bytes:

@@ -4,7 +4,7 @@ A reading task owns the records whose gzip member starts inside its byte range.
 accepts a candidate only when its first bytes decode to a WARC header, and from there walks from member to member; the
 last one may end beyond the range. So archives of any size are read in parallel without an index.
 
-Archives lie in a folder that driver and executors share, and are reached through ``pyarrow.fs``. Writing tasks name
+Archives lie in a folder that driver and executors share, and are reached through ``stores``. Writing tasks name
 their file by attempt, and only files of attempts that succeeded are listed, so a lost executor leaves no doubles.
 
 Defined cases: a null payload is an empty one; null or repeated ids give records with that id; a null URL leaves the
@@ -22,11 +22,12 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.sources.stores import open_store, store_settings
+
 #: Payloads below this many bytes are always stored.
 LEAST = 100
 SPLIT_BYTES = 32 << 20
@@ -49,13 +50,6 @@ class CorruptArchive(Exception):
     """A record's payload doesn't have the digest that its header states."""
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder given as a URI or a local path; Hadoop's ``file:/x`` is understood."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST) -> DataFrame:
     """``pages`` with ``payload`` (binary), ``digest``, ``first`` (the response's key, for revisits).
 
@@ -82,9 +76,11 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, date: str = "2024-01-01T00:00:00Z") -> list[Archive]:
     """Write every row as a record, and list the archives: one for each task, in the shared ``folder``."""
 
+    settings = store_settings(pages.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        system, root = open_folder(folder)
+        system, root = open_store(folder, settings)
         system.create_dir(root, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         size = records = 0
@@ -182,6 +178,8 @@ def parse_record(record: bytes) -> tuple:
 def read_archives(spark: SparkSession, archives: list[Archive], split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """One row (``RECORD``) per record of the archives; ``payloads=False`` leaves the payloads out."""
 
+    settings = store_settings(spark)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORD.split(", ")]
         types = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
@@ -191,7 +189,7 @@ def read_archives(spark: SparkSession, archives: list[Archive], split_bytes: int
 
         for batch in batches:
             for path, size, start, end in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                system, name = open_folder(path)
+                system, name = open_store(path, settings)
                 rows, held = [], 0
                 with system.open_input_file(name) as file:
                     for record in members(file, size, start, end):
@@ -203,6 +201,9 @@ def read_archives(spark: SparkSession, archives: list[Archive], split_bytes: int
                             rows, held = [], 0
                 yield batch_of(rows)
 
-    splits = [(a.path, a.size, s, min(s + split_bytes, a.size)) for a in archives for s in range(0, a.size, split_bytes)]
-    table = spark.createDataFrame(splits, "path string, size long, start long, end long").repartition(max(1, len(splits)))
-    return table.mapInArrow(run, RECORD)
+    # the driver names the archives; their splits are made in the plan
+    listed = spark.createDataFrame([(a.path, a.size) for a in archives], "path string, size long").where("size > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
+    splits = listed.select("path", "size", starts).withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
+    tasks = max(1, sum(-(-a.size // split_bytes) for a in archives))
+    return splits.repartition(tasks).mapInArrow(run, RECORD)

@@ -15,6 +15,7 @@ import corpus_pipeline
 from siftstone.llm import embedding_dedup, html_text, mixing, substring_dedup, toxicity, url_filters, warc
 from siftstone.llm.queries import ORACLES, QUERIES
 from siftstone.session import scratch_path
+from siftstone.sources.stores import open_store
 
 PAGES = "page_id long, url string, html string"
 BIG = "<p>" + "payload " * 40 + "</p>"
@@ -80,7 +81,7 @@ def test_damaged_payload_is_an_error(tmp_path):
 def test_stale_attempts_are_not_read(spark, pages):
     folder = scratch_path(spark, "warc")
     archives = warc.write_archives(pages, folder)
-    root = warc.open_folder(folder)[1]
+    root = open_store(folder)[1]
     with open(os.path.join(root, "part-000000-999.warc.gz"), "wb") as f:
         f.write(warc.record_bytes("urn:page:77", None, b"", "", None, "now"))
     assert warc.read_archives(spark, archives).count() == len(ROWS)
@@ -313,8 +314,8 @@ def test_pipeline_stages(spark, sf, docs):
     before, after = seen["packing"]
     assert {r.doc_id: r.n for r in before.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {r.doc_id: r.n for r in after.groupBy("doc_id").agg((F.sum("length") / F.max("doc_tokens")).cast("long").alias("n")).collect()}
     whole = corpus_pipeline.run(spark, sf)
-    assert sorted(map(tuple, whole.select("doc_id", "start", "ids_crc32", "doc_tokens").collect())) is not None
-    assert whole.agg(F.sum("length")).first() == after.agg(F.sum("length")).first()
+    pieces = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, whole.select(*pieces).collect())) == sorted(map(tuple, after.select(*pieces).collect()))
 
 
 def test_pipeline_of_awkward_documents(spark, docs, no_docs, tmp_path):
