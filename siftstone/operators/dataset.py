@@ -17,14 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftstone.errors import NotFound
 from siftstone.operators import stats
-from siftstone.operators.prune import HeldManifest
+from siftstone.operators.prune import HeldManifest, residual
 from siftstone.operators.stats import RangePredicate
-from siftstone.sources.segments import Segment, SegmentOptions, no_rows, read_segment, write_segment
+from siftstone.sources.segments import Segment, SegmentOptions, no_rows, read_segment, reader, write_segment
 from siftstone.sources.storage import Storage
 
 #: Indexes up to so many (value, file) pairs are held on the driver.
 MAX_HELD_POSTINGS = 2_000_000
+#: Up to so many files are named to the reader, which lists them without a job; more are chosen from the held listing.
+FEW_FILES = 32
 DATASET = "_dataset.json"
 
 
@@ -43,6 +46,10 @@ def build(df: DataFrame, path: str, order: str, keys: Sequence[str] = (), bounde
     Storage(spark, path).put(DATASET, json.dumps(own).encode())
 
 
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
 class Postings:
     """An index from a column's values to the files that hold them."""
 
@@ -74,6 +81,11 @@ class Dataset:
         self.columns = StructType.fromJson(own["table"]).fieldNames()
         self.schema = StructType.fromJson(own["schema"])
         self.manifest = HeldManifest(spark.read.parquet(f"{path}/manifest"), own["columns"], self.schema)
+        # the folder is listed once; a query's files are chosen from that listing by the paths that Spark itself gave
+        self.table = reader(spark, self.schema).parquet(f"{path}/data")
+        self.files = set(self.manifest.files)
+        if missing := set(map(_name, self.files)) ^ set(map(_name, self.table.inputFiles())):
+            raise NotFound(f"{path}: data and manifest differ in {len(missing)} files, such as {min(missing)}")
         self.postings = {k: Postings(spark, f"{path}/index/{k}") for k in own["keys"]}
 
     def candidates(self, ranges: Sequence[RangePredicate] = (), equal: Mapping[str, Any] | None = None) -> list[str]:
@@ -89,7 +101,11 @@ class Dataset:
         files = self.candidates(ranges, equal)
         if not files:
             return no_rows(self.spark, self.schema).select(*self.columns)
-        rows = self.manifest.read(ranges, files)
+        if len(files) <= FEW_FILES:
+            rows = reader(self.spark, self.schema).parquet(*files)
+        else:
+            rows = self.table if len(files) == len(self.files) else self.table.where(F.col("_metadata.file_path").isin(files))
+        rows = residual(rows, self.manifest.typed(ranges))
         for column, value in (equal or {}).items():
             rows = rows.where(F.col(column) == F.lit(value))
         return rows.select(*self.columns)

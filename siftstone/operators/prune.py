@@ -81,14 +81,17 @@ class HeldManifest:
                 keep &= unknown | ((low <= p.high) & (high >= p.low)).to_numpy()
         return sorted(set(self.files[keep]))
 
-    def read(self, predicates: Sequence[RangePredicate], files: Sequence[str] | None = None) -> DataFrame:
-        """Rows that match, from ``files`` or else the candidate files only."""
-        files = self.candidates(predicates) if files is None else files
+    def typed(self, predicates: Sequence[RangePredicate]) -> list[RangePredicate]:
+        """The predicates with bounds of their columns' types."""
+        kinds = {f.name: f.dataType for f in self.schema}
+        return [RangePredicate(p.column, *(F.lit(x).cast(kinds[p.column]) for x in (p.low, p.high))) for p in predicates]
+
+    def read(self, predicates: Sequence[RangePredicate]) -> DataFrame:
+        """Rows that match, from the candidate files only."""
+        files = self.candidates(predicates)
         if not files:
             return no_rows(self.spark, self.schema)
-        kinds = {f.name: f.dataType for f in self.schema}
-        typed = [RangePredicate(p.column, *(F.lit(x).cast(kinds[p.column]) for x in (p.low, p.high))) for p in predicates]
-        return residual(reader(self.spark, self.schema).parquet(*files), typed)
+        return residual(reader(self.spark, self.schema).parquet(*files), self.typed(predicates))
 
 
 def with_fallback(spark: SparkSession, indexed: Callable[[], DataFrame], scan: Callable[[], DataFrame]) -> DataFrame:
