@@ -39,16 +39,23 @@ def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with a > b and the same components as ``edges`` (a, b): each partition's spanning stars."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = b = np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            parts = held or [(np.zeros(0, np.int64),) * 2]
+            return forest(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+
         for batch in batches:
-            a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
-            b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(a) > 1 << 20:
-                a, b = forest(a, b)
-                if len(a) > 1 << 19:  # mostly stars already
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            rows += batch.num_rows
+            if rows > 1 << 20:
+                a, b = joined()
+                held, rows = [(a, b)], len(a)
+                if rows > 1 << 19:  # mostly stars already
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                    a = b = np.zeros(0, np.int64)
-        a, b = forest(a, b)
+                    held, rows = [], 0
+        a, b = joined()
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")

@@ -15,7 +15,9 @@ empty table gives an empty result; extra columns don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Bits of a fingerprint, in words of 64.
@@ -133,45 +135,57 @@ def with_near(prints: DataFrame, is_query: Column, radius: int = RADIUS) -> Data
     return asked.join(near, F.col("fp") == F.col("asked")).drop("asked").unionByName(rest)
 
 
-def run_cuts(ids: DataFrame, run: int = RUN) -> list[int]:
-    """Ids at which the runs of ``ids`` (doc_id) are cut, about one for ``run`` rows: of ids drawn by their hash every
+KEY = "struct<given: boolean, id: bigint, hash: bigint>"
+
+
+def order_key() -> Column:
+    """What documents are ordered by: the id (none is the lowest), and rows of one id by the hash of their text."""
+    return F.struct(F.col("doc_id").isNotNull().alias("given"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def run_cuts(keys: DataFrame, run: int = RUN) -> list[Row]:
+    """Keys at which the runs of ``keys`` (key) are cut, about one for ``run`` rows: of keys drawn by their hash every
     DRAWN-th. The list comes to the driver and is bounded by MAX_RUNS * DRAWN."""
-    n = ids.where("doc_id is not null").count()
-    share = max(1, max(run, n // MAX_RUNS) // DRAWN)
-    drawn = ids.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(share)) == 0).distinct().orderBy("doc_id")
-    return [r.doc_id for r in drawn.collect()][DRAWN - 1 :: DRAWN]
+    share = max(1, max(run, keys.count() // MAX_RUNS) // DRAWN)
+    drawn = keys.where(F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(share)) == 0).distinct().orderBy("key")
+    return [r.key for r in drawn.collect()][DRAWN - 1 :: DRAWN]
+
+
+def cut_table(cuts: list[Row]) -> Column:
+    return F.from_json(F.lit(json.dumps([c.asDict() for c in cuts])), f"array<{KEY}>")
 
 
-def below(sorted_values: list[int], value: Column) -> Column:
-    """How many of the sorted values are below ``value``, bit by bit from the highest."""
-    table = F.from_json(F.lit(str(sorted_values)), "array<long>")
-    bits = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(sorted_values).bit_length())))])
-    fits = lambda k: F.coalesce(F.get(table, k - 1) < value, F.lit(False))
+def below(cuts: list[Row], key: Column) -> Column:
+    """How many of the sorted cuts are below ``key``, bit by bit from the highest."""
+    table = cut_table(cuts)
+    bits = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))])
+    fits = lambda k: F.coalesce(F.get(table, k - 1) < key, F.lit(False))
     return F.aggregate(bits, F.lit(0), lambda held, bit: F.when(fits(held + bit), held + bit).otherwise(held))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(run, place, doc_id, text, next_text, own): each document with the text of the next one by descending id.
 
-    After the last comes the first. The ids are cut into runs at some of them; the document at a cut goes to both runs
-    (``own`` false in the one that it only ends), so neighbours are found within runs and texts are shuffled once. Null
-    ids are the last; documents of equal id follow each other by text.
+    After the last comes the first. The documents are cut into runs at some of their keys; the document at a cut goes to
+    both runs (``own`` false in the one that it only ends), so neighbours are found within runs and texts are shuffled
+    once. Null ids are the last; documents of equal id follow each other by the hash of their text.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    top = d.agg(F.max("doc_id")).first()[0]
-    cuts = sorted(set(run_cuts(d.select("doc_id"))) - {top})
-    # run k holds the ids above cut k - 1, up to cut k; null ids belong to run 0
-    at, on_cut = F.lit(0), F.lit(False)
-    if cuts:
-        at = F.when(F.col("doc_id").isNull(), 0).otherwise(below(cuts, F.col("doc_id")))
-        on_cut = F.coalesce(F.get(F.from_json(F.lit(str(cuts)), "array<long>"), F.col("at")) == F.col("doc_id"), F.lit(False))
-    d = d.withColumn("at", at)
+    keys = d.select(order_key().alias("key"))
+    top = keys.agg(F.max("key")).first()[0]
+    cuts = sorted(set(run_cuts(keys)) - {top})
+    d = d.withColumn("key", order_key())
+    # run k holds the keys above cut k - 1, up to cut k
+    d = d.withColumn("at", below(cuts, F.col("key")) if cuts else F.lit(0))
+    on_cut = F.coalesce(F.get(cut_table(cuts), F.col("at")) == F.col("key"), F.lit(False)) if cuts else F.lit(False)
+    is_top = F.col("key") == F.struct(*[F.lit(v).cast(t).alias(n) for (n, v), t in zip(top.asDict().items(), ("boolean", "long", "long"), strict=True)]) if top else F.lit(False)
     home = lambda run, own, turn: F.struct(run.alias("run"), F.lit(own).alias("own"), F.lit(turn).alias("turn"))
-    # a document on a cut is next to the lowest id of the run above it; the highest id is next to the very last document
-    homes = [home(F.col("at"), True, 0), F.when(on_cut, home(F.col("at") + 1, False, 1)), F.when(F.col("doc_id").eqNullSafe(F.lit(top)), home(F.lit(0), False, 2))]
-    placed = d.withColumn("home", F.explode(F.array_compact(F.array(*homes)))).select("doc_id", "text", "home.*")
-    w = Window.partitionBy("run").orderBy("turn", F.col("doc_id").desc_nulls_last(), "text")
-    return placed.withColumn("place", F.row_number().over(w)).withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(w)).drop("turn")
+    # a document on a cut is next to the lowest key of the run above it; the highest key is next to the very last document
+    homes = [home(F.col("at"), True, 0), F.when(on_cut, home(F.col("at") + 1, False, 1)), F.when(is_top, home(F.lit(0), False, 2))]
+    placed = d.withColumn("home", F.explode(F.array_compact(F.array(*homes)))).select("doc_id", "key", "text", "home.*")
+    w = Window.partitionBy("run").orderBy("turn", F.col("key").desc())
+    following = F.lead(F.coalesce("text", F.lit(""))).over(w)
+    return placed.withColumn("place", F.row_number().over(w)).withColumn("next_text", following).drop("turn", "key")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -188,7 +202,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """
     d = with_next(docs)
     text, following = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
-    d = d.select("run", "place", F.col("own").cast("int").alias("own"), "doc_id", F.length(text).cast("long").alias("n_chars"), text.alias("text"), edited_text(text, following).alias("edited"))
+    own = F.col("own").cast("int").alias("own")
+    d = d.select("run", "place", own, "doc_id", F.length(text).cast("long").alias("n_chars"), text.alias("text"), edited_text(text, following).alias("edited"))
     # the digest travels as four numbers, which a hash aggregate can hold
     digest = F.sha2("edited", 256)
     quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"_s{k}") for k in range(4)]

@@ -110,6 +110,11 @@ def _text_hash():
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
 def _partners(given: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(rep, n, grams) of classes (s1, n, members, grams, counts) that can link with another class.
 
@@ -126,29 +131,19 @@ def _partners(given: DataFrame, share: tuple[int, int]) -> DataFrame:
                 if len(left) >= needed(n, share):
                     rep.append(s1)
                     size.append(n)
-                    out.append(left.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["rep", "n", "grams"])
+                    out.append(left)
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), _lists(out)], names=["rep", "n", "grams"])
 
-    return given.select("s1", "n", "members", "grams", "counts").mapInArrow(run, "rep long, n long, grams binary")
+    return given.select("s1", "n", "members", "grams", "counts").mapInArrow(run, "rep long, n long, grams array<long>")
 
 
 def _postings(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(gram, rep, n, left) for the prefix of each set; ``left`` counts its shared shingles from this one on."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                b = batch.slice(part, 2000)
-                reps, sizes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-                grams = [np.frombuffer(g, np.int64) for g in b.column(2).to_pylist()]
-                lengths = np.array([len(g) for g in grams], np.int64)
-                take = lengths - needed(sizes, share) + 1
-                begins = np.concatenate([[0], np.cumsum(take)])[:-1]
-                at = np.arange(take.sum()) - np.repeat(begins, take)
-                columns = [np.concatenate([g[:t] for g, t in zip(grams, take, strict=True)]) if len(grams) else np.zeros(0, np.int64), np.repeat(reps, take), np.repeat(sizes, take), np.repeat(lengths, take) - at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "rep", "n", "left"])
-
-    return sets.select("rep", "n", "grams").mapInArrow(run, "gram long, rep long, n long, left long")
+    p, q = share
+    lengths, least = F.size("grams"), F.floor((F.lit(p) * F.col("n") + F.lit(q - 1)) / F.lit(q))
+    prefix = F.slice("grams", F.lit(1), (lengths - least + 1).cast("int"))
+    posted = sets.select("rep", "n", lengths.alias("all"), F.posexplode(prefix).alias("at", "gram"))
+    return posted.select("gram", "rep", "n", (F.col("all") - F.col("at")).cast("long").alias("left"))
 
 
 def _overlap(n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -186,26 +181,12 @@ def _across(labelled: DataFrame, mixed: DataFrame, share: tuple[int, int]) -> Da
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            last, mine = None, None
-            for x, y, n, m, g, h in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5), strict=True):
-                if x != last:
-                    last, mine = x, np.sort(np.frombuffer(g.as_buffer(), np.int64))
-                other = np.frombuffer(h.as_buffer(), np.int64)
-                at = np.searchsorted(mine, other)
-                both = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
-                if share[1] * both >= share[0] * (n + m - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+    """Those of the distinct pairs (a, b) that link: the product of their whole rows, pair by pair and so of bounded size."""
+    p, q = share
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(run, "a long, b long")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k"))
+    return both.where(q * F.col("k") >= p * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
 def _labelled(docs: DataFrame, shingle: int, share: tuple[int, int], least: Column, hashed: bool = False) -> tuple[DataFrame, DataFrame]:

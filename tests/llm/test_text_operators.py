@@ -1,5 +1,6 @@
 """Fingerprints, Jaccard join, mixing, substring dedup, packing."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -329,16 +330,30 @@ def test_near_counts_against_brute_force(spark, docs, sf):
         assert r.near_fps == (sum(0 < bin(x ^ y).count("1") <= fingerprints.RADIUS for y in prints) if r.doc_id % 50 == 0 else None)
 
 
-def test_runs_are_even_and_cuts_are_found(spark, monkeypatch):
-    ids = spark.range(20_000).select((F.col("id") * 3 - 1000).alias("doc_id"))
-    cuts = fingerprints.run_cuts(ids)
-    assert cuts == sorted(set(cuts)) and 25 <= len(cuts) <= 60 and max(np.diff(cuts)) < 3 * 3000
-    got = ids.select("doc_id", fingerprints.below(cuts, F.col("doc_id")).alias("n")).collect()
-    assert [r.n for r in got] == np.searchsorted(cuts, [r.doc_id for r in got]).tolist()
-    for some in ([], [5], [1, 2, 3, 4]):
-        assert [r[0] for r in spark.range(8).select(fingerprints.below(some, F.col("id"))).collect()] == np.searchsorted(some, range(8)).tolist()
-    monkeypatch.setattr(fingerprints, "RUN", 8)
-    assert len(fingerprints.run_cuts(ids, 8)) > 1000
+def test_runs_are_even_and_cuts_are_found(spark):
+    whole = lambda k: (k["given"], k["id"], k["hash"])
+    for given in (True, False):  # a third of all documents may have no id
+        ids = spark.range(20_000).select(F.when(F.lit(given), F.col("id") * 3 - 1000).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+        keys = ids.select(fingerprints.order_key().alias("key"))
+        cuts = fingerprints.run_cuts(keys)
+        assert list(map(whole, cuts)) == sorted(set(map(whole, cuts))) and 25 <= len(cuts) <= 60
+        got = keys.select("key", fingerprints.below(cuts, F.col("key")).alias("n")).collect()
+        assert [r.n for r in got] == [bisect.bisect_left(list(map(whole, cuts)), whole(r.key)) for r in got]
+        assert max(Counter(r.n for r in got).values()) < 4 * fingerprints.RUN
+        for some in (cuts[:1], cuts[:2], cuts[:3]):
+            assert Counter(r[0] for r in keys.select(fingerprints.below(some, F.col("key"))).collect()) == Counter(bisect.bisect_left(list(map(whole, some)), whole(r.key)) for r in got)
+
+
+def test_next_documents_of_many_runs(spark, docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN", 16)
+    monkeypatch.setattr(fingerprints.run_cuts, "__defaults__", (16,))
+    rows = [(k * 7 if k % 3 else None, f"text {k}") for k in range(600)] + [(7, "another of 7"), (7, "text 1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    expected = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    got = fingerprints.with_next(df).where("own").collect()
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == expected and len({r.run for r in got}) > 20
 
 
 # packing
