@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import jaccard, mixing, packing, substring_dedup, toxicity
 from siftstone.llm.queries import table, tokenizer_path
-from siftstone.session import scratch_path, shared_dir, ship
+from siftstone.session import clear_scratch, scratch_path, scratch_paths, shared_dir, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; the last one's rows.
+
+    Once a stage's output is written, what the stage wrote for itself and the output before it are removed.
+    """
+    docs, before = table(spark, sf_dir, "documents"), scratch_paths(spark)
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clear_scratch(spark, set(scratch_paths(spark)) - {path, *before})
     return docs
 
 

@@ -75,8 +75,8 @@ def events_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
         events = table(spark, sf_dir, "events")
         files = max(8, min(MAX_FILES, events.count() // FILE_ROWS))
         dataset.build(events, path, "ts", ["user_id", "event_type"], options=segments.SegmentOptions(files=files))
-        held[sf_dir] = Dataset(spark, path)
-    return held[sf_dir]
+        held[sf_dir] = path, Dataset(spark, path)
+    return held[sf_dir][1]
 
 
 def between(bounds: tuple[str, str], column: str = "ts") -> RangePredicate:

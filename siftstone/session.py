@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,7 @@ def local_session(cpus: int = 8, app: str = "siftstone", **conf: str) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -59,22 +61,32 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Remove what operators have written for themselves so far, and count it.
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """What operators have written for themselves so far, oldest first."""
+    return list(getattr(spark.sparkContext, "_siftstone_scratch", []))
 
-    A result reads such tables until it is written itself, so call this afterwards.
+
+def clear_scratch(spark: SparkSession, paths: Collection[str] | None = None) -> int:
+    """Remove what operators have written for themselves, all of it or some ``paths``, and count it.
+
+    A result reads such tables until it is written itself, so call this afterwards. Checkpoints are removed by Spark,
+    when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     sc = spark.sparkContext
-    paths, sc._siftstone_scratch = getattr(sc, "_siftstone_scratch", []), []
-    built(spark).clear()
-    for p in paths:
+    known = scratch_paths(spark)
+    gone = known if paths is None else [p for p in known if p in set(paths)]
+    sc._siftstone_scratch = [p for p in known if p not in set(gone)]
+    for origin, (path, _) in list(built(spark).items()):
+        if path in gone:
+            del built(spark)[origin]
+    for p in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
+    return len(gone)
 
 
 def built(spark: SparkSession) -> dict:
-    """What a session has built in the shared folder and opened, by its origin; ``clear_scratch`` forgets it."""
+    """(path, opened) of what a session has built in the shared folder, by its origin; ``clear_scratch`` forgets it."""
     sc = spark.sparkContext
     if getattr(sc, "_siftstone_built", None) is None:
         sc._siftstone_built = {}

@@ -5,7 +5,9 @@ import subprocess
 import sys
 from pathlib import Path
 
-from siftstone.session import BATCH_ROWS, clear_scratch, scratch_path, shared_dir, ship
+import pytest
+
+from siftstone.session import BATCH_ROWS, built, clear_scratch, scratch_path, scratch_paths, shared_dir, ship
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -20,6 +22,43 @@ def test_scratch(spark):
     assert os.path.isdir(local) and clear_scratch(spark) == 2 and not os.path.exists(local) and clear_scratch(spark) == 0
 
 
+def test_some_scratch_tables_are_removed(spark):
+    clear_scratch(spark)
+    a, b = scratch_path(spark, "a"), scratch_path(spark, "b")
+    for path in (a, b):
+        spark.range(3).write.parquet(path)
+    built(spark)["x"] = b, None
+    assert clear_scratch(spark, {a, "elsewhere"}) == 1 and scratch_paths(spark) == [b] and spark.read.parquet(b).count() == 3
+    assert built(spark).pop("x") and clear_scratch(spark) == 1
+
+
+def test_a_cluster_without_shared_folder_is_refused(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Sc:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class Empty:
+                            isDefined = staticmethod(lambda: False)
+
+                        return Empty
+
+                return Sc
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_batches(spark):
     ship(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
