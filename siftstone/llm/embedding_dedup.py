@@ -88,8 +88,10 @@ def _hashed(classes: DataFrame, signs: int, tables: int, dtype: str) -> DataFram
                 # vectors of another length never share a bucket
                 bucket = codes + (np.array([len(d) // width for d in data], np.int64) << 32)[:, None]
                 packed = [c.astype("<i4").tobytes() for c in codes]
+                rest = [pa.array(nodes), pa.array(many), pa.array(packed, pa.binary()), pa.array(data, pa.binary())]
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), t, np.int32)), pa.array(bucket[:, t]), pa.array(nodes), pa.array(many), pa.array(packed, pa.binary()), pa.array(data, pa.binary())], names=["table", "bucket", "node", "many", "codes", "vector"])
+                    columns = [pa.array(np.full(len(data), t, np.int32)), pa.array(bucket[:, t]), *rest]
+                    yield pa.RecordBatch.from_arrays(columns, names=["table", "bucket", "node", "many", "codes", "vector"])
 
     return classes.select("node", "many", "vector").mapInArrow(run, "table int, bucket long, node long, many long, codes binary, vector binary")
 
@@ -103,7 +105,8 @@ def _linked(hashed: DataFrame, threshold: float, dtype: str) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # a vector of block s goes to the tasks (s, j) and (j, s) for every block j
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    placed = sized.select("table", "bucket", "node", "many", "codes", "vector", own.alias("own"), F.explode(pairs).alias("_p")).select("table", "bucket", "_p.i", "_p.j", "own", "node", "many", "codes", "vector")
+    placed = sized.select("table", "bucket", "node", "many", "codes", "vector", own.alias("own"), F.explode(pairs).alias("_p"))
+    placed = placed.select("table", "bucket", "_p.i", "_p.j", "own", "node", "many", "codes", "vector")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         t, _, i, j = (k.as_py() for k in key)
@@ -144,9 +147,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, vectors = _vectors(b.column(1), dtype)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, mask=nodes == 0), pa.array([None if v is None else v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "node", "vector"])
+            packed = pa.array([None if v is None else v.tobytes() for v in vectors], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, mask=nodes == 0), packed], names=["vec_id", "node", "vector"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if dtype == "<f4" else "array<double>")).mapInArrow(read, "vec_id long, node long, vector binary")
+    embedding = F.col("embedding").cast("array<float>" if dtype == "<f4" else "array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long"), embedding).mapInArrow(read, "vec_id long, node long, vector binary")
     # equal vectors meet first within each task, then among tasks
     classes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.max("vector").alias("vector"))
     classes.write.parquet(f"{path}/classes")
@@ -157,10 +162,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     label = classes.join(groups, "node", "left").select("node", "least", "many", F.coalesce("component", "node").alias("component"))
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    info = label.join(least, "component").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").select("node", "component_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    own = (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    info = label.join(least, "component").join(links, "node", "left").select("node", "component_id", own)
     # rows without a vector have no node, and would all meet in one task of a join
     ids = rows.select("vec_id", "node")
     alone = ids.where("node is null").select("vec_id", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("links"))
     ids = alone.union(ids.where("node is not null").join(info, "node").select("vec_id", "component_id", "links"))
     component = F.coalesce("component_id", "vec_id")
-    return ids.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("vec_id") == component, F.lit(False))).alias("kept"))
+    kept = F.when(component.isNull(), True).otherwise(F.coalesce(F.col("vec_id") == component, F.lit(False)))
+    return ids.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))

@@ -1,4 +1,4 @@
-"""Exact counting of 64-bit keys over all documents, answered back to the documents that hold them.
+"""Exact counting of keys (64 bits, or 96) over all documents, answered back to the documents that hold them.
 
 Documents are dealt to chunks by a hash. Each chunk sums its own keys first, so that a key of a third of all documents
 costs one entry a chunk, and sends them by key range to blocks. A block adds up what all chunks sent and answers each
@@ -40,10 +40,21 @@ CHUNK = "_chunk"
 
 
 class Keys(NamedTuple):
-    """What a chunk sends: sorted distinct keys and how often each occurs in the chunk."""
+    """What a chunk sends: sorted distinct keys, how often each occurs in the chunk, and 32 more bits of each, if any."""
 
     keys: np.ndarray
     counts: np.ndarray
+    extra: np.ndarray | None = None
+
+
+def grouped(keys: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys (with equal extra bits) are neighbours, by key first, and where each group begins."""
+    order = np.argsort(keys, kind="stable")
+    new = keys[order][1:] != keys[order][:-1]
+    if extra is not None and ((extra[order][1:] != extra[order][:-1]) & ~new).any():  # keys that meet by chance
+        order = np.lexsort((extra, keys))
+        new = (keys[order][1:] != keys[order][:-1]) | (extra[order][1:] != extra[order][:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), new]))
 
 
 def shape(total: int, least: int, chunk_bytes: int = CHUNK_BYTES, block_keys: int = BLOCK_KEYS) -> tuple[int, int]:
@@ -119,20 +130,21 @@ def count_shared(
     edges = _edges(blocks)
 
     def send(table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(table)
+        keys, counts, extra = keys_of(table)
         at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-        rows = [(b, pack_sorted(keys[i:j]), _many(counts[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        rest = lambda i, j: None if extra is None else np.ascontiguousarray(extra[i:j].view(np.uint8).reshape(-1, 4).T).tobytes()
+        rows = [(b, pack_sorted(keys[i:j]), _many(counts[i:j]), rest(i, j)) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
         chunk = table[CHUNK][0].as_py()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", CHUNK, "keys", "many"])
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int32())]
+        return pa.table([*columns, *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["block", CHUNK, "keys", "many", "extra"])
 
     def add(table: pa.Table) -> pa.Table:
         sent = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         counts = [_counts(len(k), m) for k, m in zip(sent, table["many"].to_pylist(), strict=True)]
         ends = np.cumsum([len(k) for k in sent])
         keys = np.concatenate(sent)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        extra = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in table["extra"].to_pylist() if x is not None]
+        order, first = grouped(keys, np.concatenate(extra) if extra else None)
         sums = np.add.reduceat(np.concatenate(counts)[order], first)
         totals = np.empty(len(keys), np.int64)
         totals[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
@@ -144,19 +156,20 @@ def count_shared(
                 chunk.append(c)
                 at.append(found.astype(np.uint32).tobytes())
                 total.append(np.minimum(own[found], 0xFFFFFFFF).astype(np.uint32).tobytes())
-        return pa.table([pa.array(chunk, pa.int32()), pa.array([block] * len(chunk), pa.int32()), pa.array(at, pa.binary()), pa.array(total, pa.binary())], names=[CHUNK, "block", "at", "total"])
+        columns = [pa.array(chunk, pa.int32()), pa.array([block] * len(chunk), pa.int32()), pa.array(at, pa.binary()), pa.array(total, pa.binary())]
+        return pa.table(columns, names=[CHUNK, "block", "at", "total"])
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return finish(table, np.zeros(0, np.int64))
-        keys, _ = keys_of(table)
+        keys = keys_of(table).keys
         begins = np.concatenate([[0], np.searchsorted(keys, edges)])
         totals = np.ones(len(keys), np.int64)
         for b, at, total in zip(answers["block"].to_pylist(), answers["at"].to_pylist(), answers["total"].to_pylist(), strict=True):
             totals[begins[b] + np.frombuffer(at, np.uint32)] = np.frombuffer(total, np.uint32)
         return finish(table, totals)
 
-    sent = chunked.groupBy(CHUNK).applyInArrow(lambda t: _finished(send(t)), f"block int, {CHUNK} int, keys binary, many binary")
+    sent = chunked.groupBy(CHUNK).applyInArrow(lambda t: _finished(send(t)), f"block int, {CHUNK} int, keys binary, many binary, extra binary")
     answers = sent.groupBy("block").applyInArrow(lambda t: _finished(add(t)), f"{CHUNK} int, block int, at binary, total binary")
     return chunked.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(lambda t, a: _finished(apply(t, a)), schema)
 

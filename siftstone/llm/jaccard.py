@@ -87,7 +87,8 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
         order = np.argsort(of, kind="stable")
         order = order[alive[of[order]]]
         at = np.concatenate([[0], np.cumsum(np.where(alive, n, 0))])
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(keys[order] ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+        salted = (mix(keys[order] ^ np.uint64(salt)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in salted]
         s1, s2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
         held = order[df[order] > 1]
         held = held[np.lexsort((keys[held], df[held], of[held]))]
@@ -101,7 +102,9 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
             counts.append(many[span].tobytes() if first else None)
             if first:
                 seen.add(own)
-        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, mask=~alive), "s2": pa.array(s2, mask=~alive), "grams": pa.array(out, pa.binary()), "counts": pa.array(counts, pa.binary()), **{k: table[k] for k in more}})
+        signed = {"s1": pa.array(s1, mask=~alive), "s2": pa.array(s2, mask=~alive)}
+        packed = {"grams": pa.array(out, pa.binary()), "counts": pa.array(counts, pa.binary())}
+        return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), **signed, **packed, **{k: table[k] for k in more}})
 
     return count_shared(chunked, blocks, keys_of, finish, ", ".join(["doc_id long, n long, s1 long, s2 long, grams binary, counts binary", *(f"{k} long" for k in more)]))
 
@@ -209,7 +212,8 @@ def _labelled(docs: DataFrame, shingle: int, share: tuple[int, int], least: Colu
     typical.write.parquet(f"{path}/typical")
     typical = spark.read.parquet(f"{path}/typical")
     met = posted.alias("a").join(typical.alias("b"), F.col("a.gram") == F.col("b.gram"))
-    near = met.where(F.col("a.rep") != F.col("b.rep")).where(_bounded(share)).select(F.least("a.rep", "b.rep").alias("b"), F.greatest("a.rep", "b.rep").alias("a")).distinct()
+    near = met.where(F.col("a.rep") != F.col("b.rep")).where(_bounded(share))
+    near = near.select(F.least("a.rep", "b.rep").alias("b"), F.greatest("a.rep", "b.rep").alias("a")).distinct()
     _verified(near, sets, share).write.parquet(f"{path}/links_1")
     first = connected_components(spark.read.parquet(f"{path}/links_1"))
 
@@ -233,7 +237,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHA
     member = label.join(least, "component").select("s1", "s2", "component_id")
     # documents without a possible partner have no signature, and would all meet in one task of a join
     alone = base.where("s1 is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return alone.union(base.where("s1 is not null").join(member, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    grouped = base.where("s1 is not null").join(member, ["s1", "s2"])
+    return alone.union(grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -257,7 +262,8 @@ def keep_one_row(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int]
     judged = base.where("s1 is not null").join(member, ["s1", "s2"]).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), is_first.alias("stays"))
     path = scratch_path(spark, "judged")
     # rows that go, and those of which one stays
-    judged.groupBy("id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").drop("n").write.partitionBy("stays").parquet(path)
+    counted = judged.groupBy("id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    counted.where("not stays or n > 1").drop("n").write.partitionBy("stays").parquet(path)
     found = spark.read.schema("id long, hash long, stays boolean").parquet(path).alias("found")
     marked = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash")).alias("marked")
     on = F.col("marked.id").eqNullSafe(F.col("found.id")) & (F.col("marked.hash") == F.col("found.hash"))

@@ -15,25 +15,23 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[ord("A") : ord("Z") + 1] += 32
-#: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd multipliers of the polynomial hashes, the second for windows that are to be told apart by more bits.
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes, or words, that are hashed at a time; memory per worker is some ten times 8 bytes of it.
 SPAN = 1 << 18
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 15
 
-_powers = _inverses = np.ones(1, np.uint64)
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, SPAN + LONG_WORD + 1)
-        steps = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+def _tables(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of ``base``, and of its inverse modulo 2**64."""
+    if base not in _held or len(_held[base][0]) < n:
+        steps = np.full(max(n, SPAN + LONG_WORD + 1), base, np.uint64), np.full(max(n, SPAN + LONG_WORD + 1), pow(base, -1, 1 << 64), np.uint64)
         steps[0][0] = steps[1][0] = 1
-        _powers, _inverses = np.cumprod(steps[0], dtype=np.uint64), np.cumprod(steps[1], dtype=np.uint64)
-    return _powers, _inverses
+        _held[base] = np.cumprod(steps[0], dtype=np.uint64), np.cumprod(steps[1], dtype=np.uint64)
+    return _held[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,13 +107,13 @@ class Words:
             out[k] = int.from_bytes(blake2b(word.tobytes(), digest_size=8).digest(), "little")
         return out
 
-    def windows(self, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, size: int, hashes: np.ndarray | None = None, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of every window of ``size`` words, and the index of each window's first word."""
         h = self.hashes() if hashes is None else hashes
         room = np.repeat(self.of[1:], np.diff(self.of)) - np.arange(len(h)) >= size
         at = np.flatnonzero(room)
         out = np.empty(len(h), np.uint64)
-        powers, inverses = _tables(SPAN + size + 1)
+        powers, inverses = _tables(SPAN + size + 1, base)
         for first in range(0, len(h), SPAN):
             part = h[first : first + SPAN + size - 1]
             total = np.zeros(len(part) + 1, np.uint64)
@@ -136,7 +134,7 @@ class Words:
             extra = np.empty(len(short), np.uint64)
             for k, d in enumerate(short):
                 part = h[self.of[d] : self.of[d + 1]]
-                extra[k] = (part * _powers[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))
+                extra[k] = (part * _tables(len(part))[0][: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))
             keys = np.concatenate([keys, mix(extra)])
             docs = np.concatenate([docs, short])
             order = np.argsort(docs, kind="stable")

@@ -54,8 +54,11 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
         .withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
         .withColumn("_stop", F.col("_cap") / F.col("_weight"))
         .withColumn("_goal", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("_level", (F.col("_goal") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_stop"), F.struct(F.col("_stop"), F.col("_rank"), F.col("_level").alias("level")))).over(everything)["level"])
+        .withColumn("_left", F.col("_goal") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
+        .withColumn("_open", F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
+        .withColumn("_level", F.col("_left") / F.col("_open"))
+        .withColumn("_first", F.when(F.col("_level") <= F.col("_stop"), F.struct("_stop", "_rank", F.col("_level").alias("level"))))
+        .withColumn("_level", F.min("_first").over(everything)["level"])
     )
     target = F.least("_cap", F.coalesce(F.col("_weight") * F.col("_level"), F.col("_cap")))
     return s.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))

@@ -62,7 +62,8 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             words = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
+            numbers = [pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0)]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *numbers], names=["word", "toxic", "clean"])
             for c in counts:
                 c.clear()
             return out
@@ -111,7 +112,8 @@ def learn_entries(labelled: DataFrame) -> dict[str, float]:
     whole = proven(words.select(F.concat("word", F.lit(STOP)).alias("entry"), F.col("toxic").alias("t"), F.col("clean").alias("c")))
     ended = F.concat("word", F.lit(STOP))
     lengths = F.sequence(F.lit(STEM_CHARACTERS), F.length("word"))
-    heads = words.where(F.length("word") >= STEM_CHARACTERS).select("toxic", "clean", F.explode(F.transform(lengths, lambda k: F.struct(F.substring("word", F.lit(1), k).alias("entry"), F.substring(ended, k + 1, F.lit(1)).alias("next")))).alias("h"))
+    head = lambda k: F.struct(F.substring("word", F.lit(1), k).alias("entry"), F.substring(ended, k + 1, F.lit(1)).alias("next"))
+    heads = words.where(F.length("word") >= STEM_CHARACTERS).select("toxic", "clean", F.explode(F.transform(lengths, head)).alias("h"))
     # a word's texts count once each, so the sums over a stem's words are of (word, text) pairs
     by_next = heads.groupBy("h.entry", "h.next").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.count_if(F.col("toxic") > 0).alias("words"))
     top = F.max(F.struct("t", "c", "words"))
@@ -148,7 +150,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
 def sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(text, toxic) of at most ``max_labelled`` rows, whatever ids repeat; copies of a text are one row."""
     spark = docs.sparkSession
-    chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # the sample is bounded by its parameter, so documents needn't be shuffled to meet it
     chosen = F.broadcast(chosen) if max_labelled <= MAX_BROADCAST_LABELS else chosen
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
@@ -194,7 +197,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             x = np.array([features(*f) for f in found]).reshape(-1, FEATURES)
             p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -30, 30)))
             matched = [len(clauses) for clauses, _ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(matched, pa.int32())], names=[*batch.schema.names, "score", "predicted", "clauses"])
+            added = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(matched, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "score", "predicted", "clauses"])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "score double, predicted int, clauses int"]))
 

@@ -56,7 +56,8 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     Only digests that occur more than once are joined back, and adaptive execution splits a hot one.
     """
     p = pages.withColumn("payload", F.coalesce(F.col(payload), F.lit("")).cast("binary")).withColumn("digest", F.sha2("payload", 256))
-    first = p.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("_digest")).agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    alike = p.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("_digest"))
+    first = alike.agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     joined = p.join(first, F.col("digest") == F.col("_digest"), "left")
     return joined.withColumn("first", F.when(~F.col(key).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_digest", "_first", "_n")
 
@@ -73,7 +74,9 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
     return gzip.compress("\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, date: str = "2024-01-01T00:00:00Z") -> list[Archive]:
+def write_archives(
+    pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, date: str = "2024-01-01T00:00:00Z"
+) -> list[Archive]:
     """Write every row as a record, and list the archives: one for each task, in the shared ``folder``."""
 
     settings = store_settings(pages.sparkSession)

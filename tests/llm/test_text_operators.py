@@ -90,6 +90,33 @@ def test_repeats_against_brute_force(spark, docs, small):
         assert got.where("exists(sequence(2, size(removed)), k -> size(removed) > 1 and element_at(removed, k).first <= element_at(removed, k - 1).end)").count() == 0
 
 
+def test_keys_that_meet_by_chance_are_told_apart(spark, docs, small, monkeypatch):
+    keys = np.array([5, 3, 5, 3, 5], np.uint64)
+    order, first = exchange.grouped(keys, np.array([1, 7, 2, 7, 1], np.uint32))
+    assert keys[order].tolist() == [3, 3, 5, 5, 5] and first.tolist() == [0, 2, 4] and [a.tolist() for a in exchange.grouped(keys[:0], keys[:0])] == [[], []]
+    # a second hash of 32 bits is left where the first has 6
+    whole = substring_dedup.wide_windows
+    rows = [(r.doc_id, r.text) for r in small.limit(80).collect()]
+    expected = Counter((i, *x) for (i, _), x in zip(rows, ref.without_repeats([t for _, t in rows]), strict=True))
+    table = pa.table({"text": [t for _, t in rows], "row": [i for i, _ in rows], exchange.CHUNK: pa.array([0] * len(rows), pa.int32())})
+    found = {}
+
+    def one_chunk(chunked, blocks, keys_of, finish, schema):
+        sent = keys_of(table)
+        found["rows"] = finish(table, sent.counts)
+        return spark.createDataFrame([], schema)
+
+    def narrow(words, size):
+        keys, extra, at = whole(words, size)
+        return keys % np.uint64(64), extra, at
+
+    monkeypatch.setattr(substring_dedup, "count_shared", one_chunk)
+    monkeypatch.setattr(substring_dedup, "wide_windows", narrow)
+    substring_dedup.remove_repeats(small.select("doc_id", "text"))
+    r = found["rows"]
+    assert Counter(zip(r["row"].to_pylist(), r["n_words"].to_pylist(), r["n_removed"].to_pylist(), r["kept_text"].to_pylist(), strict=True)) == expected
+
+
 def test_repeats_other_window_and_empty(spark, docs, no_docs):
     rows = [(1, "a b c d e"), (2, "x b c d y"), (3, "b c d"), (4, "q q q q")]
     got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
