@@ -41,7 +41,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def edge_count(lists: DataFrame) -> DataFrame:
     """(entity_id, edges, out_degree, in_degree)."""
-    return lists.groupBy("entity_id").agg(F.sum(F.size("outgoing") + F.size("incoming")).cast("long").alias("edges"), F.sum(F.size("outgoing")).cast("long").alias("out_degree"), F.sum(F.size("incoming")).cast("long").alias("in_degree"))
+    out, into = F.size("outgoing"), F.size("incoming")
+    counts = {"edges": out + into, "out_degree": out, "in_degree": into}
+    return lists.groupBy("entity_id").agg(*[F.sum(c).cast("long").alias(n) for n, c in counts.items()])
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:

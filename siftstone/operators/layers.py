@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions.kinds import is_tombstone
@@ -62,7 +62,8 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
 def should_merge(manifest: DataFrame) -> DataFrame:
     """One row: ``should_merge``, by the number of deltas or their share of the base's bytes."""
     delta = F.col("kind") == "delta"
-    sizes = manifest.agg(F.count_if(delta).alias("n"), F.coalesce(F.sum(F.when(delta, F.col("size_bytes"))), F.lit(0)).alias("d"), F.coalesce(F.sum(F.when(~delta, F.col("size_bytes"))), F.lit(0)).alias("b"))
+    size = lambda which: F.coalesce(F.sum(F.when(which, F.col("size_bytes"))), F.lit(0))
+    sizes = manifest.agg(F.count_if(delta).alias("n"), size(delta).alias("d"), size(~delta).alias("b"))
     return sizes.select(((F.col("n") > 0) & ((F.col("n") >= MAX_DELTA_COUNT) | (F.col("d") / F.greatest("b", F.lit(1)) >= MAX_DELTA_RATIO))).alias("should_merge"))
 
 
@@ -78,7 +79,11 @@ def manifest_from_json(table: DataFrame, json: str = "json") -> DataFrame:
     """The layer manifest in rows of JSON."""
     ref = "struct<generation: bigint, path: string, key_count: bigint, size_bytes: bigint>"
     parsed = table.select(F.from_json(json, f"version int, base {ref}, deltas array<{ref}>", {"mode": "FAILFAST"}).alias("m"))
-    layer = lambda kind, rows: parsed.select(F.explode(rows).alias("r")).where("r is not null").select("r.path", "r.generation", F.lit(kind).alias("kind"), "r.key_count", "r.size_bytes")
+
+    def layer(kind: str, rows: Column) -> DataFrame:
+        found = parsed.select(F.explode(rows).alias("r")).where("r is not null")
+        return found.select("r.path", "r.generation", F.lit(kind).alias("kind"), "r.key_count", "r.size_bytes")
+
     return layer("base", F.array("m.base")).union(layer("delta", F.col("m.deltas")))
 
 

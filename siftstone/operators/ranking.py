@@ -17,7 +17,8 @@ def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFra
     """
     shared_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}).checkpoint()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ordered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_before")
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")

@@ -30,7 +30,8 @@ class RangePredicate(NamedTuple):
 
 def build_manifest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("file", "row_group")) -> DataFrame:
     """One row per ``by`` with ``row_count`` and, for each column c, ``min_c``, ``max_c`` and ``nulls_c``."""
-    stats = [f(c) for c in columns for f in (lambda c: F.min(c).alias(f"min_{c}"), lambda c: F.max(c).alias(f"max_{c}"), lambda c: F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"))]
+    of = lambda c: [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.count_if(F.col(c).isNull()).alias(f"nulls_{c}")]
+    stats = [s for c in columns for s in of(c)]
     return df.groupBy(*by).agg(F.count("*").alias("row_count"), *stats)
 
 
@@ -65,7 +66,8 @@ def all_null(manifest: DataFrame, column: str) -> DataFrame:
 def to_json(manifest: DataFrame, columns: Sequence[str], file: str = "file", row_group: str = "row_group") -> DataFrame:
     """(file, json): each file's row groups with their columns' bounds, typed values as JSON."""
     stats = F.struct(*[F.struct(F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"), F.col(f"nulls_{c}").alias("null_count")).alias(c) for c in columns])
-    groups = manifest.groupBy(F.col(file).alias("file")).agg(F.array_sort(F.collect_list(F.struct(F.col(row_group).alias("row_group"), F.col("row_count"), stats.alias("columns")))).alias("row_groups"))
+    group = F.struct(F.col(row_group).alias("row_group"), F.col("row_count"), stats.alias("columns"))
+    groups = manifest.groupBy(F.col(file).alias("file")).agg(F.array_sort(F.collect_list(group)).alias("row_groups"))
     return groups.select("file", F.to_json(F.struct(F.lit(1).alias("version"), "file", "row_groups"), _TIMES).alias("json"))
 
 
