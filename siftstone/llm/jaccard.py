@@ -204,11 +204,10 @@ def _labelled(docs: DataFrame, shingle: int, share: tuple[int, int], least: Colu
     _partners(given.join(classes, ["s1", "s2"]), share).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
 
-    # tables are written between the steps, so that joins read plain shuffles, which adaptive execution can split
-    _postings(sets, share).write.parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
+    posted = _postings(sets, share)
     top = F.min(F.struct(F.col("n") - F.col("left"), F.col("rep"), F.col("n"), F.col("left"))).alias("t")
     typical = posted.groupBy("gram").agg(F.count("*").alias("many"), top).where("many > 1").select("gram", "t.rep", "t.n", "t.left")
+    # what aggregates give is written, so that joins read plain shuffles, which adaptive execution can split
     typical.write.parquet(f"{path}/typical")
     typical = spark.read.parquet(f"{path}/typical")
     met = posted.alias("a").join(typical.alias("b"), F.col("a.gram") == F.col("b.gram"))
