@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.ranking import with_position
 from siftstone.session import shared_dir
 
 #: A list holds at most so many edges; further ones are in further parts of the same entity.
@@ -66,10 +67,20 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def path_entries(entities: DataFrame, part: int = PART) -> DataFrame:
-    """(path, part, entries) from rows (path, entity_id, kind); entries are sorted within a part.
+    """(path, part, entries) from rows (path, entity_id, kind); entries of a path are sorted, null ids last.
 
-    Entries of a path are dealt to parts by hash when they are more than ``part``, so no list grows with its folder.
+    A part holds at most ``part`` entries, so no list grows with its folder; the parts of a path follow each other, so
+    that one after the other they are its whole sorted list (see ``whole_lists``).
     """
-    sizes = entities.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") > part)
-    dealt = entities.join(sizes, "path", "left").select("path", _part(F.struct("entity_id", "kind"), part).alias("part"), F.struct("entity_id", "kind").alias("entry"))
-    return dealt.groupBy("path", "part").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    absent = F.col("entity_id").isNull().alias("absent")
+    ordered = with_position(entities.select("path", absent, "entity_id", "kind"), "path", "absent", "entity_id", "kind")
+    firsts = ordered.groupBy(F.col("path").alias("of")).agg(F.min("position").alias("first"))
+    dealt = ordered.join(firsts, F.col("path").eqNullSafe(F.col("of"))).withColumn("part", F.floor((F.col("position") - F.col("first")) / part))
+    placed = F.array_sort(F.collect_list(F.struct("position", F.struct("entity_id", "kind").alias("entry"))))
+    return dealt.groupBy("path", "part").agg(F.transform(placed, lambda x: x["entry"]).alias("entries"))
+
+
+def whole_lists(parts: DataFrame, what: str) -> DataFrame:
+    """(path, ``what``): the lists in column ``what`` of a path's parts, joined in order to one list for each path."""
+    placed = F.array_sort(F.collect_list(F.struct("part", F.col(what).alias("list"))))
+    return parts.groupBy("path").agg(F.flatten(F.transform(placed, lambda x: x["list"])).alias(what))

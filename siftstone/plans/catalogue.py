@@ -501,7 +501,8 @@ _FOLDER = r"^[^:]*://[^/?#]*(/[^/?#]*)"
 @registered(f"SELECT regexp_extract(url, '{_FOLDER}', 1) AS path, count(*) AS n_entries, list(page_id ORDER BY page_id::VARCHAR) AS pages FROM pages GROUP BY 1")
 def path_entries(spark, sf_dir):
     entities = table(spark, sf_dir, "pages").select(F.regexp_extract("url", _FOLDER, 1).alias("path"), F.col("page_id").cast("string").alias("entity_id"), F.lit("File").alias("kind"))
-    return graph.path_entries(entities).select("path", F.size("entries").cast("long").alias("n_entries"), F.transform("entries", lambda x: x["entity_id"].cast("long")).alias("pages"))
+    parts = graph.path_entries(entities).select("path", "part", F.transform("entries", lambda x: x["entity_id"].cast("long")).alias("pages"))
+    return graph.whole_lists(parts, "pages").select("path", F.size("pages").cast("long").alias("n_entries"), "pages")
 
 
 @registered("SELECT name, CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in REL_KINDS.items()) + " ELSE 255 END AS code, name AS back FROM (VALUES " + ", ".join(f"('{k}')" for k in [*REL_KINDS, "delegates_to"]) + ") t(name)")

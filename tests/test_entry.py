@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siftstone.plans import catalogue
@@ -48,6 +49,16 @@ def test_query(spark, sf, name):
     assert sorted(repr([plain(x[c]) for c in order]) for x in rows) == expected
 
 
+def test_path_entries_of_large_folders(spark, tmp_path):
+    rows = spark.range(70_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/en/"), "id").alias("url"))
+    odd = spark.createDataFrame([(3, None), (1, None), (7, "none"), (20, "http://h.com/de/1"), (None, "http://h.com/de/1"), (-3, "http://h.com/de/2"), (1, "http://h.com/de/2"), (1, "http://h.com/de/2")], "page_id long, url string")
+    rows.union(odd).repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(repr(tuple(r)) for r in catalogue.QUERIES["path_entries"](spark, str(tmp_path)).select("path", "n_entries", "pages").collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert len(got) == 4 and got == sorted(map(repr, c.sql(catalogue.ORACLES["path_entries"]).fetchall()))
+
+
 def test_membership_rates(spark, sf):
     r = catalogue.QUERIES["bloom_fp_rate"](spark, sf).first()
     assert r.present_rate == 1.0 and r.false_positive_rate < 0.05
