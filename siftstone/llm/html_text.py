@@ -1,22 +1,25 @@
 """Main text of web pages: page structure, and differencing against the page with the nearest URL.
 
 A page is cut into lines, one for each block. Lines in boilerplate elements (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) are dropped by their markup. What a page doesn't mark, neither as boilerplate nor as
-its article, differencing decides: pages of a host are ordered by path, then by the rest of the URL and the id; each is
-paired with the nearest page before or after it whose list of unmarked lines differs, that whose URL shares the longer
-beginning; their unmarked lines are aligned by longest common subsequence, and shared lines are deleted.
-
-Lines inside the page's article (or main) element are not deleted: near copies, quotations and licence texts stand
-there on many pages, and differencing would delete what it should find. Within an article or main element only whole
-classes mark boilerplate. Articles are taken alone when they hold half of the main element's text or more; else the
-main element is taken. Unmarked lines outside of them are kept where a paired page shows that they are the page's own.
+notices, adverts, forms, comments) are dropped by their markup. Every page that has lines left is differenced: its list
+is that of its unmarked lines (neither boilerplate nor in its article), or of all its lines where it leaves none
+unmarked; pages of a host with lists of the same kind are ordered by path, then by the rest of the URL and the id; each
+is paired with the nearest page before or after it whose list differs, that whose URL shares the longer beginning; the
+two lists are aligned by longest common subsequence, and shared lines are deleted.
+
+Then markup checks what was deleted: lines inside the page's article (or main) element are put back, for near copies,
+quotations and licence texts stand there on many pages, and differencing would delete what it should find. Within an
+article or main element only whole classes mark boilerplate. Articles are taken alone when they hold half of the main
+element's text or more; else the main element is taken. On a page whose lines are all in its list, that is judged by
+the lines which differencing left, so that cards which a host repeats don't pass for the story; when they are less than
+a quarter of the text (near copies), by all of them. Unmarked lines are kept where a paired page shows that they are the
+page's own.
 
 Defined cases: null or empty html gives an empty text; unclosed elements end with the page, and a paragraph or list
 item where the next block begins; a null URL, or one without ``://``, has an empty host and path, and such pages are
-each other's pairs; pages with equal lists of unmarked lines (re-crawls, copies) are never each other's pair; of equal
-lists under one host and path, the smallest URL and then id (a null id is the smallest) stands for all; a page without a
-pair keeps its unmarked lines if it has no article or main text, and drops them if it has; repeated rows give equal
-texts; an empty table gives an empty result; extra columns of any name are kept, and ``text`` and ``n_chars`` replace
+each other's pairs; pages with equal lists (re-crawls, copies) are never each other's pair; of equal lists under one
+host and path, the smallest URL and then id (a null id is the smallest) stands for all; a page without a pair keeps its
+unmarked lines if it has no article or main text, and drops them if it has; repeated rows give equal texts; an empty table gives an empty result; extra columns of any name are kept, and ``text`` and ``n_chars`` replace
 columns of those names.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from html import unescape
 from typing import NamedTuple
@@ -36,7 +40,7 @@ from pyspark.sql import types as T
 
 from siftstone.llm.columns import as_row, row_columns
 from siftstone.llm.url_filters import url_parts
-from siftstone.session import scratch_path
+from siftstone.session import shared_dir
 
 #: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -238,16 +242,34 @@ def common(a: list[int], b: list[int]) -> list[bool]:
 
 
 def is_marked(lines: list[Line]) -> bool:
-    """Whether markup alone decides about a page, for it leaves no line unmarked."""
+    """Whether a page leaves no line unmarked."""
     return all(line.main for line in lines)
 
 
+def aligned(lines: list[Line]) -> list[int]:
+    """Hashes of the lines that differencing aligns: the unmarked ones, or all of a page that has no such lines."""
+    marked = is_marked(lines)
+    return [line_hash(line.text) for line in lines if marked or not line.main]
+
+
+def _sizes(lines: Iterable[Line]) -> list[int]:
+    """Characters in all lines, in those of main and article elements, and in those of article elements."""
+    sizes = [0, 0, 0]
+    for line in lines:
+        for level in range(line.main + 1):
+            sizes[level] += len(line.text)
+    return sizes
+
+
 def joined_text(lines: list[Line], neighbour: list[int] | None) -> str:
-    """Text of a page after differencing; ``neighbour`` has the hashes of the paired page's unmarked lines, if any."""
-    sizes = [sum(len(line.text) for line in lines if line.main >= level) for level in (0, 1, 2)]
+    """Text of a page after differencing; ``neighbour`` has the hashes of the paired page's aligned lines, if any."""
+    marked, sizes = is_marked(lines), _sizes(lines)
+    shared = common(aligned(lines), neighbour) if neighbour else None
+    if marked and shared:
+        own = _sizes(line for line, s in zip(lines, shared, strict=True) if not s)
+        sizes = own if NEAR_COPY * own[1] >= sizes[1] else sizes
     level = 2 if sizes[2] and 2 * sizes[2] >= sizes[1] else 1 if sizes[1] else 0
-    plain = [line_hash(line.text) for line in lines if not line.main]
-    gone = iter(common(plain, neighbour) if neighbour else [level > 0] * len(plain))
+    gone = iter(shared if shared and not marked else [level > 0] * len(lines))
     return " ".join(line.text for line in lines if (line.main >= level if line.main else not next(gone)))
 
 
@@ -262,52 +284,61 @@ def _place(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, rest).otherwise(url), F.lit(""))
 
 
-LINE = T.StructType([T.StructField("text", T.StringType()), T.StructField("main", T.IntegerType())])
-ADDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.ArrayType(LINE)), T.StructField("plain", T.ArrayType(T.LongType()))])
+def packed(lines: list[Line]) -> bytes:
+    """Lines as they are shuffled, at half the size of Spark's own form; their texts hold no line feeds."""
+    return zlib.compress("\n".join(f"{line.main}{line.text}" for line in lines).encode(), 1)
+
+
+def unpacked(data: bytes) -> list[Line]:
+    text = zlib.decompress(data).decode()
+    return [Line(x[1:], int(x[0])) for x in text.split("\n")] if text else []
+
+
+KEYS = T.StructType([T.StructField("marked", T.BooleanType()), T.StructField("plain", T.ArrayType(T.LongType()))])
+#: A page whose own lines are less than one part in so many of its main text is a near copy of its pair.
+NEAR_COPY = 4
 #: Consecutive runs of pages that one task looks up together.
 SPAN = 256
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """(host, path, place, page_id, row, text, lines, plain): ``text`` where markup decides, else the lines and hashes.
+def _parsed(pages: DataFrame, whole: bool) -> DataFrame:
+    """(host, path, marked, plain, same) of each page: its kind of list, the list and its hash.
 
-    ``row`` has the other columns of ``pages``; every page is parsed once.
+    With ``whole`` also (row, lines), the other columns of ``pages`` and the packed lines; else (place, page_id). Pages are
+    parsed for each, because hashes alone are a small part of what keeping the lines for both would write.
     """
     host, path = url_parts(F.col("url"))
-    at = [host.alias("host"), path.alias("path"), _place(F.col("url")).alias("place")]
-    own = [*at, F.col("page_id").cast("long").alias("page_id"), as_row(pages, REPLACED).alias("row")]
-    given = pages.select(*own, F.col("html").cast("string").alias("html"))
-    line = pa.struct([("text", pa.string()), ("main", pa.int32())])
+    further = [as_row(pages, REPLACED).alias("row")] if whole else [_place(F.col("url")).alias("place"), F.col("page_id").cast("long").alias("page_id")]
+    given = pages.select(host.alias("host"), path.alias("path"), *further, F.col("html").cast("string").alias("html"))
+    n = len(given.columns) - 1
+    kept = T.StructType([*given.schema.fields[:n], *KEYS.fields, *([T.StructField("lines", T.BinaryType())] if whole else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages_ = [lines_of(h) for h in b.column(5).to_pylist()]
-            marked = [is_marked(p) for p in pages_]
-            columns = [
-                pa.array([joined_text(p, None) if m else None for p, m in zip(pages_, marked, strict=True)], pa.string()),
-                pa.array([None if m else [x._asdict() for x in p] for p, m in zip(pages_, marked, strict=True)], pa.list_(line)),
-                pa.array([None if m else [line_hash(x.text) for x in p if not x.main] for p, m in zip(pages_, marked, strict=True)], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), *columns], names=[*b.schema.names[:5], "text", "lines", "plain"])
+            pages_ = [lines_of(h) for h in b.column(n).to_pylist()]
+            columns = [pa.array([is_marked(p) for p in pages_], pa.bool_()), pa.array([aligned(p) for p in pages_], pa.list_(pa.int64()))]
+            if whole:
+                columns.append(pa.array([packed(p) for p in pages_], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *columns], names=kept.names)
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields[:5], *ADDED.fields]))
+    return given.mapInArrow(run, kept).withColumn("same", F.xxhash64("marked", "plain"))
 
 
 def _paired(pages: DataFrame) -> DataFrame:
-    """(host, path, same, neighbour): for each list of unmarked lines of a host and path, the paired page's.
+    """(host, path, same, neighbour): for each list of lines of a host and path, the paired page's.
 
-    ``pages`` has host, path, place, page_id, ``plain`` and its hash ``same``. Pages are ranked over all hosts by one
-    range sort; consecutive pages of a host with equal lists (copies, re-crawls) are one run, so that the next run
-    always differs. Runs are looked up within spans of consecutive ranks, each of which also holds the run before and
+    ``pages`` has host, path, place, page_id, ``marked``, the list ``plain`` and ``same``, the hash of both. Pages are
+    ranked over all hosts by one range sort, marked ones apart; consecutive pages of a host with equal lists (copies,
+    re-crawls) are one run, so that the next run always differs. Runs are looked up within spans of consecutive ranks, each of which also holds the run before and
     after it; so a host or a path of any size is spread over many tasks.
     """
-    one = pages.groupBy("host", "path", "same").agg(F.min(F.struct("place", "page_id", "plain")).alias("first")).select("host", "path", "same", "first.*")
+    one = pages.groupBy("host", "marked", "path", "same").agg(F.min(F.struct("place", "page_id", "plain")).alias("first")).select("host", "marked", "path", "same", "first.*")
     size = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["host", "path", "place", "page_id", "same"]
+    order = ["host", "marked", "path", "place", "page_id", "same"]
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = one.repartitionByRange(size, *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "at": at}).checkpoint()
     # one row for each partition
-    own, parts, within = F.struct("host", "same"), Window.orderBy("part"), Window.partitionBy("part").orderBy("at")
+    own, parts, within = F.struct("host", "marked", "same"), Window.orderBy("part"), Window.partitionBy("part").orderBy("at")
     ends = ordered.groupBy("part").agg(F.max_by(own, "at").alias("last")).withColumn("prior", F.lag("last").over(parts)).select("part", "prior")
     new = ~own.eqNullSafe(F.coalesce(F.lag(own).over(within), F.col("prior")))
     begun = ordered.join(F.broadcast(ends), "part").withColumn("new", new.cast("long"))
@@ -316,15 +347,15 @@ def _paired(pages: DataFrame) -> DataFrame:
     ranked = begun.withColumn("in", F.sum("new").over(within)).join(F.broadcast(sizes), "part").withColumn("rank", F.col("in") + F.col("before"))
     place = F.struct("path", "place")
     ends = [F.min(place)["place"].alias("low"), F.max(place)["place"].alias("high")]
-    runs = ranked.groupBy("rank").agg(F.first("host").alias("host"), *ends, F.first("plain").alias("plain"))
+    runs = ranked.groupBy("rank").agg(F.first(F.struct("host", "marked")).alias("site"), *ends, F.first("plain").alias("plain"))
     span = F.floor(F.col("rank") / SPAN)
     also = F.when(F.col("rank") % SPAN == 0, span - 1).when(F.col("rank") % SPAN == SPAN - 1, span + 1)
     in_spans = runs.withColumn("own", span).withColumn("span", F.explode(F.array_compact(F.array(span, also))))
     w = Window.partitionBy("span").orderBy("rank")
-    seen = lambda end: F.struct("host", F.col(end).alias("place"), "plain")
+    seen = lambda end: F.struct("site", F.col(end).alias("place"), "plain")
     near = in_spans.withColumns({"b": F.lag(seen("high")).over(w), "a": F.lead(seen("low")).over(w)}).where("span = own").select("rank", "b", "a")
-    alike = lambda other: F.when(F.col(other)["host"] == F.col("host"), shared_length(F.col("place"), F.col(other)["place"])).otherwise(-1)
-    both = ranked.select("host", "path", "place", "same", "rank").join(near, "rank").withColumns({"to_b": alike("b"), "to_a": alike("a")})
+    alike = lambda other: F.when(F.col(other)["site"] == F.struct("host", "marked"), shared_length(F.col("place"), F.col(other)["place"])).otherwise(-1)
+    both = ranked.select("host", "marked", "path", "place", "same", "rank").join(near, "rank").withColumns({"to_b": alike("b"), "to_a": alike("a")})
     chosen = F.when(F.col("to_b") >= F.col("to_a"), F.col("b")["plain"]).otherwise(F.col("a")["plain"])
     return both.where("greatest(to_b, to_a) >= 0").select("host", "path", "same", chosen.alias("neighbour"))
 
@@ -343,23 +374,19 @@ REPLACED = ("html", "text", "n_chars")
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, ...) with ``text`` and ``n_chars`` in place of ``html``.
 
-    Only pages with unmarked lines are paired and shuffled.
+    Every page with lines is paired and aligned; hashes of lines are paired first, and the lines are shuffled once.
     """
-    spark = pages.sparkSession
-    path = scratch_path(spark, "lines")
-    _parsed(pages).write.parquet(path)
-    parsed = spark.read.parquet(path)
-    columns = [*row_columns(pages, REPLACED), F.col("text"), F.length("text").cast("long").alias("n_chars")]
-    decided = parsed.where("text is not null").select(*columns)
-    unmarked = parsed.where("text is null").withColumn("same", F.xxhash64("plain"))
-    if not unmarked.limit(1).count():
-        return decided
-    pairs = _paired(unmarked.select("host", "path", "place", "page_id", "plain", "same"))
-    joined = unmarked.join(pairs, ["host", "path", "same"], "left").select("row", "lines", "neighbour")
+    shared_dir(pages.sparkSession)
+    pairs = _paired(_parsed(pages, whole=False).where(F.size("plain") > 0))
+    # pages without lines have nothing to align; they get keys of their own, so that they don't all meet in one task
+    same = F.when(F.size("plain") > 0, F.col("same")).otherwise(F.monotonically_increasing_id())
+    parsed = _parsed(pages, whole=True).withColumn("same", same)
+    joined = parsed.join(pairs, ["host", "path", "same"], "left").select("row", "lines", "neighbour")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [joined_text([Line(x["text"], x["main"]) for x in lines], n) for lines, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            texts = [joined_text(unpacked(lines), n) for lines, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return decided.union(joined.mapInArrow(run, T.StructType([joined.schema["row"], ADDED["text"]])).select(*columns))
+    done = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))
+    return done.select(*row_columns(pages, REPLACED), F.col("text"), F.length("text").cast("long").alias("n_chars"))

@@ -215,6 +215,22 @@ def test_differencing_decides_what_is_unmarked(spark, docs, monkeypatch):
     assert {r.page_id: r.text for r in html_text.extract(frame).collect()} == {k: f"Story {k} Licence" for k in range(20)}
 
 
+def test_differencing_reads_marked_pages_too(spark, docs, monkeypatch):
+    cards = "<article>Card of another story, long enough to outweigh this one</article><article>And one more of them</article>"
+    rows = [(k, f"http://h.com/{k}", f"<nav>Menu {k}</nav><main><p>Story {k} in its own words, told at some length</p>{cards}</main>") for k in range(20)]
+    # near copies of an article, equal pages, a page without a pair and pages without lines
+    rows += [(100 + k, f"http://n.com/{k}", f"<main><p>Path {k}</p><article><p>One passage that stands on every page of this host</p><p>Of {k}</p></article></main>") for k in range(5)]
+    rows += [(200 + k, f"http://c.com/{k}", "<article>Copy</article>") for k in range(5)] + [(300, None, "<article>Alone</article>")]
+    rows += [(400 + k, "http://e.com/", (None, "", "<nav>Menu</nav>")[k % 3]) for k in range(6)]
+    paired, seen = html_text._paired, []
+    monkeypatch.setattr(html_text, "_paired", lambda pages: seen.append(pages.count()) or paired(pages))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    assert seen == [len(rows) - 6] and len(got) == len(rows)
+    assert {got[k] for k in range(20)} == {f"Story {k} in its own words, told at some length Card of another story, long enough to outweigh this one And one more of them" for k in range(20)}
+    assert all(got[100 + k] == f"One passage that stands on every page of this host Of {k}" and got[200 + k] == "Copy" for k in range(5))
+    assert got[300] == "Alone" and all(got[400 + k] == "" for k in range(6))
+
+
 def test_long_urls_and_repeated_pages(spark, docs):
     rows = [(k, "http://h.com/" + "p" * 40_000 + f"/{k % 60}", f"<p>Top</p><p>Own {k % 60}</p>") for k in range(100)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
